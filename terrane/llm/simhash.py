@@ -138,7 +138,7 @@ def link_groups(group: np.ndarray, rep: np.ndarray, fp: np.ndarray, home: np.nda
     if len(index):
         emb = _embed(fp)
         for step in range(1, 8):
-            a = index[: len(index) - step]
+            a = index[: max(len(index) - step, 0)]
             b = index[step:]
             same = (b - a == step) & (group[a] == group[b]) & (home[a] | home[b]) & (~cross[a] | (side[a] != side[b]))
             a, b = a[same], b[same]
