@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, lines, packing, quality, secrets, simhash, urls
+from terrane.llm import decontaminate, html, licenses, lines, packing, quality, secrets, simhash, urls
 from terrane.session import table
 
 
@@ -22,6 +22,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -38,14 +42,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
