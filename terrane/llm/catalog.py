@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, html, licenses, lines, packing, quality, secrets, simhash, urls
+from terrane.llm import chat, decontaminate, html, licenses, lines, packing, quality, secrets, simhash, urls
 from terrane.session import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_html_extraction": op5_html_extraction,
