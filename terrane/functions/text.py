@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -29,6 +30,11 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def strip_marks(text: Column) -> Column:
     """The text without accents and other combining marks; ASCII texts are not touched."""
     source, target = _fold_table()

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terrane.functions import fixed
-from terrane.functions.text import fold
+from terrane.functions.text import fold, let
 
 
 def host_suffixes(host: Column) -> Column:
@@ -32,14 +32,17 @@ def platform_domain(host: Column) -> Column:
 
 def platform_kind(host: Column) -> Column:
     """Kind of platform of a host: by domain, else by brand; null for an ordinary site."""
-    domain = platform_domain(host)
-    chain = F
-    for kind, hosts in fixed.PLATFORM_HOSTS.items():
-        chain = chain.when(domain.isin(*hosts), F.lit(kind))
-    brand = F.regexp_extract(_plain(host), rf"(?:^|\.)({'|'.join(fixed.PLATFORM_BRANDS)})\.[a-z]{{2,3}}(?:\.[a-z]{{2}})?$", 1)
-    for kind in fixed.PLATFORM_HOSTS:
-        chain = chain.when(brand.isin(*[b for b, k in fixed.PLATFORM_BRANDS.items() if k == kind]), F.lit(kind))
-    return chain.otherwise(F.lit(None).cast("string"))
+
+    def kind_of(known: Column) -> Column:
+        chain = F
+        for kind, hosts in fixed.PLATFORM_HOSTS.items():
+            chain = chain.when(known["domain"].isin(*hosts), F.lit(kind))
+        for kind in fixed.PLATFORM_HOSTS:
+            chain = chain.when(known["brand"].isin(*[b for b, k in fixed.PLATFORM_BRANDS.items() if k == kind]), F.lit(kind))
+        return chain.otherwise(F.lit(None).cast("string"))
+
+    brand = rf"(?:^|\.)({'|'.join(fixed.PLATFORM_BRANDS)})\.[a-z]{{2,3}}(?:\.[a-z]{{2}})?$"
+    return let(_plain(host), lambda h: let(F.struct(platform_domain(h).alias("domain"), F.regexp_extract(h, brand, 1).alias("brand")), kind_of))
 
 
 def host_of(url: Column) -> Column:
@@ -54,24 +57,32 @@ def clean_url(raw: Column) -> Column:
     dropped, an empty path as ``/``. Characters are not encoded anew and international host names
     stay as written.
     """
-    value = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"""[.,;:!)\]}'"]+$""", "")
-    value = F.when((value == "") | value.rlike(r"\s"), F.lit(None)).otherwise(value)
-    value = F.when(value.startswith("//"), F.concat(F.lit("https:"), value)).when(~value.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.concat(F.lit("http://"), value)).otherwise(value)
-    part = lambda k: F.regexp_extract(value, r"(?i)^(https?):/*(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?", k)
-    scheme, host = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), r"\.$", "")
-    default = ((scheme == "http") & (part(3) == "80")) | ((scheme == "https") & (part(3) == "443")) | (part(3) == "")
-    name = lambda q: F.lower(F.substring_index(q, "=", 1))
-    tracks = lambda q: name(q).isin(*fixed.TRACKING_NAMES) | F.exists(F.array(*[F.lit(p) for p in fixed.TRACKING_PREFIXES]), lambda p: F.startswith(name(q), p))
-    query = F.array_join(F.filter(F.split(part(5), "&"), lambda q: (q != "") & ~tracks(q)), "&")
-    ok = (scheme != "") & F.contains(host, F.lit(".")) & ~host.startswith(".") & ~F.contains(host, F.lit(".."))
-    path = F.when(part(4) == "", F.lit("/")).otherwise(part(4))
-    return F.when(ok, F.concat(scheme, F.lit("://"), host, F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), part(3))), path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
+    trimmed = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"""[.,;:!)\]}'"]+$""", "")
+    schemed = lambda v: (
+        F.when((v == "") | v.rlike(r"\s"), F.lit(None)).when(v.startswith("//"), F.concat(F.lit("https:"), v)).when(~v.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.concat(F.lit("http://"), v)).otherwise(v)
+    )
+
+    def parts(v: Column) -> Column:
+        part = lambda k: F.regexp_extract(v, r"(?i)^(https?):/*(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?", k)
+        return F.struct(F.lower(part(1)).alias("scheme"), F.regexp_replace(F.lower(part(2)), r"\.$", "").alias("host"), part(3).alias("port"), part(4).alias("path"), part(5).alias("query"))
+
+    def joined(p: Column) -> Column:
+        scheme, host, port = p["scheme"], p["host"], p["port"]
+        default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
+        name = lambda q: F.lower(F.substring_index(q, "=", 1))
+        tracks = lambda q: name(q).isin(*fixed.TRACKING_NAMES) | name(q).rlike("^(" + "|".join(fixed.TRACKING_PREFIXES) + ")")
+        query = F.array_join(F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~tracks(q)), "&")
+        ok = (scheme != "") & F.contains(host, F.lit(".")) & ~host.startswith(".") & ~F.contains(host, F.lit(".."))
+        path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
+        asked = let(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+        return F.when(ok, F.concat(scheme, F.lit("://"), host, F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, asked))
+
+    return let(let(trimmed, schemed), lambda v: let(parts(v), joined))
 
 
 def own_domain(cleaned: Column) -> Column:
     """The business's own domain: the host without www., null for platforms."""
-    host = host_of(cleaned)
-    return F.when(platform_kind(host).isNull() & (host != ""), F.regexp_replace(host, r"^www\.", ""))
+    return let(host_of(cleaned), lambda h: F.when(platform_kind(h).isNull() & (h != ""), F.regexp_replace(h, r"^www\.", "")))
 
 
 def same_site(a: Column, b: Column) -> Column:

@@ -6,20 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.plans import relational
+from terrane.plans import matching, relational, scalars, states
 
-MODULES: tuple = (relational,)
+MODULES: tuple = (relational, scalars, matching, states)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in MODULES:
-        found |= module.QUERIES
+        found |= module.query.queries
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
     for module in MODULES:
-        found |= module.ORACLES
+        found |= module.query.oracles
     return found

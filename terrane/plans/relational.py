@@ -6,23 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import joins, leads, reports
+from terrane.plans.registry import Registry
 from terrane.session import table
 from terrane.sources import sinks
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query, and its DuckDB equivalent if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 #: A customer is a place, its nation the city, its first order the primary address.
