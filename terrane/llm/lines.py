@@ -49,7 +49,7 @@ def _templates(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, line, template)`` rows, each template once a document, at its first line."""
     lines = F.split(text_of(text_col), "\n")
-    found = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.transform(lines, _templates)).alias("line", "hashes"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.transform(lines, lambda line: _templates(line))).alias("line", "hashes"))
     return found.where(F.size("hashes") > 0).select("doc", "line", F.explode("hashes").alias("template"))
 
 
@@ -108,3 +108,19 @@ def digest(docs: DataFrame) -> DataFrame:
         F.length(text).cast("long").alias("n_chars"),
         F.sha2(text, 256).alias("text_sha256"),
     )
+
+
+_SPACE = r"[\x20\x09-\x0D]+"
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(regexp_replace(l[i], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{_SPACE}'), lambda w: w <> '') AS w
+      FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d)),
+y AS (SELECT doc_id, line, w, len(w) AS n, CAST(ceil((len(w) - {DEPTH}) / 3) AS BIGINT) AS third FROM x WHERE len(w) >= {MIN_TOKENS}),
+z AS (SELECT doc_id, line, w, n, [array_to_string(w[{DEPTH} + 1 + k * third : {DEPTH} + (k + 1) * third], ' ') for k in [0, 1, 2]] AS p FROM y),
+f AS (SELECT doc_id, line, '* ' || array_to_string(w, ' ') AS template FROM z
+      UNION ALL SELECT doc_id, line, k || ' ' || n || ' ' || array_to_string(w[1:{DEPTH}], ' ') || ' | ' || p[(k + 1) % 3 + 1] || ' | ' || p[(k + 2) % 3 + 1] FROM (SELECT *, unnest([0, 1, 2]) AS k FROM z WHERE n >= {MIN_VARIABLE})),
+r AS (SELECT template, min(doc_id) AS first_doc FROM f GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+g AS (SELECT doc_id, list(DISTINCT line ORDER BY line) AS gone FROM f JOIN r USING (template) WHERE doc_id <> first_doc GROUP BY doc_id),
+o AS (SELECT doc_id, l, coalesce(gone, []) AS gone, CASE WHEN gone IS NULL THEN t ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(gone, i)], chr(10)) END AS t FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_dropped, array_to_string(gone, ',') AS dropped, length(t) AS n_chars, sha256(t) AS text_sha256 FROM o
+"""
