@@ -131,3 +131,38 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     joined = placed.join(poor, placed.host == poor.poor, "left").withColumn("fit", fit)
     verdict = F.coalesce("fit.verdict", F.when(F.col("poor").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def _duck_rules(rules: tuple[Rule, ...]) -> str:
+    rows = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.name}')" for r in rules)
+    return f"rules(verdict, rhost, rpath, rule) AS (VALUES {rows})"
+
+
+def _duck_weight(level: str, mean: str) -> str:
+    return f"""(SELECT CASE WHEN coalesce(room, 0) = 0 OR over_ IS NULL OR over_ <= 0 THEN {MOST_WEIGHT} ELSE least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, room / over_ - 1)) END
+      FROM (SELECT sum(power(k - n * {mean}, 2) - n * {mean} * (1 - {mean})) AS over_, sum(n * (n - 1) * {mean} * (1 - {mean})) AS room FROM {level}))"""
+
+
+_TWO, _THREE = "array_to_string(string_split(host, '.')[-2:], '.')", "array_to_string(string_split(host, '.')[-3:], '.')"
+_LONG = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
+ORACLE = rf"""
+WITH {_duck_rules(RULES)},
+u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+h AS (SELECT host, CASE WHEN {_TWO} IN ({_LONG}) THEN {_THREE} ELSE {_TWO} END AS dm, CASE WHEN {_TWO} IN ({_LONG}) THEN {_TWO} ELSE string_split(host, '.')[-1] END AS sx,
+      count(*) AS n, sum(CASE WHEN coalesce(quality = 0, false) OR coalesce(toxic = 1, false) THEN 1 ELSE 0 END) AS k FROM u JOIN labels ON doc_id = page_id WHERE host <> '' GROUP BY host),
+g AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS rate FROM h),
+s0 AS (SELECT sx, sum(n) AS n, sum(k) AS k, (SELECT rate FROM g) AS above FROM h GROUP BY sx),
+w0 AS (SELECT {_duck_weight("s0", "above")} AS w),
+s1 AS (SELECT sx, (k + w * above) / (n + w) AS above FROM s0, w0),
+d0 AS (SELECT dm, sx, sum(n) AS n, sum(k) AS k FROM h GROUP BY dm, sx),
+d1 AS (SELECT dm, n, k, above FROM d0 JOIN s1 USING (sx)),
+w1 AS (SELECT {_duck_weight("d1", "above")} AS w),
+d2 AS (SELECT dm, (k + w * above) / (n + w) AS above FROM d1, w1),
+h1 AS (SELECT host, n, k, above FROM h JOIN d2 USING (dm)),
+w2 AS (SELECT {_duck_weight("h1", "above")} AS w),
+b AS (SELECT host, (k + w * above) / (n + w) AS m, n + w AS t FROM h1, w2),
+poor AS (SELECT host FROM b WHERE m - {BOUND} * sqrt(m * (1 - m) / (t + 1)) > {BAD_RATE}),
+fit AS (SELECT page_id, host, path, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS v FROM (SELECT DISTINCT page_id, host, path FROM u) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, fit.rule, coalesce(fit.v, CASE WHEN u.host IN (SELECT host FROM poor) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fit ON fit.page_id IS NOT DISTINCT FROM u.page_id AND fit.host = u.host AND fit.path = u.path
+"""
