@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.expressions import bind, text_of, words_of
+from terrane.session import checkpointed
 
 #: Documents in which a template must occur to recur.
 MIN_DOCS = 3
@@ -49,7 +50,9 @@ def _templates(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, line, template)`` rows, each template once a document, at its first line."""
     lines = F.split(text_of(text_col), "\n")
-    found = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.transform(lines, lambda line: _templates(line))).alias("line", "hashes"))
+    # Counting and dropping both need the hashes; they are small beside the texts and are made once.
+    hashed = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc"), F.transform(lines, lambda line: _templates(line)).alias("hashes")))
+    found = hashed.select("doc", F.posexplode("hashes").alias("line", "hashes"))
     return found.where(F.size("hashes") > 0).select("doc", "line", F.explode("hashes").alias("template"))
 
 
