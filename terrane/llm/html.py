@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,6 +90,7 @@ def lines_of(page: str) -> list[Line]:
     linked = 0
     stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether it is aside, marks the article, is a link
     aside = marked = link = 0
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -110,6 +112,7 @@ def lines_of(page: str) -> list[Line]:
     def close() -> None:
         nonlocal aside, marked, link
         name, a, m, x = stack.pop()
+        opened[name] -= 1
         if name in _BLOCKS:
             flush()
         aside, marked, link = aside - a, marked - m, link - x
@@ -131,7 +134,7 @@ def lines_of(page: str) -> list[Line]:
         if tag["close"]:
             if name == "br":
                 parts.append(" ")
-            elif any(x[0] == name for x in stack):
+            elif opened[name]:
                 while stack[-1][0] != name:
                     close()
                 close()
@@ -154,7 +157,7 @@ def lines_of(page: str) -> list[Line]:
                         break
                     if stack[k][0] in SCOPES:
                         break
-            elif name == "body" and any(x[0] == "head" for x in stack):
+            elif name == "body" and opened["head"]:
                 while stack[-1][0] != "head":
                     close()
                 close()
@@ -170,6 +173,7 @@ def lines_of(page: str) -> list[Line]:
             continue
         a, m, x = name == "head" or _is_aside(name, tag["attrs"]), name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"], name == "a"
         stack.append((name, a, m, x))
+        opened[name] += 1
         aside, marked, link = aside + a, marked + m, link + x
     flush()
     return found
