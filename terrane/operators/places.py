@@ -22,19 +22,19 @@ def location_tree(country: DataFrame, admin1: DataFrame, admin2: DataFrame | Non
     facts = rows.select(F.col("geonames_id").alias("r_id"), "alternates", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), F.col("population").alias("r_population"))
     named = (lambda c: local_name(c, script)) if script else (lambda c: F.lit(None).cast("string"))
     blank = F.lit(None).cast("double")
-    one = F.broadcast(country.select("country_id"))  # a single row
-    r1 = admin1.join(one, F.lit(True)).select("code", "name", "geonames_id", F.col("country_id").alias("parent"), F.array("geonames_id", "country_id").alias("path"))
+    country_id = F.lit(country.first()["country_id"]).cast("long")  # a single row
+    r1 = admin1.withColumn("country_id", country_id).select("code", "name", "geonames_id", F.col("country_id").alias("parent"), F.array("geonames_id", "country_id").alias("path"))
     regions = r1
     if admin2 is not None:
         above = r1.select(F.col("code").alias("a1"), F.col("geonames_id").alias("a1_id"))
-        r2 = admin2.join(one, F.lit(True)).join(above, F.substring_index("code", ".", 1) == F.col("a1"), "left")
+        r2 = admin2.withColumn("country_id", country_id).join(above, F.substring_index("code", ".", 1) == F.col("a1"), "left")
         r2 = r2.select("code", "name", "geonames_id", F.coalesce("a1_id", "country_id").alias("parent"), F.array_compact(F.array("geonames_id", "a1_id", "country_id")).alias("path"))
         regions = r1.union(r2)
     deep = F.concat_ws(".", "admin1", "admin2")
     kept = rows.where((F.col("feature_class") == "P") & ~F.col("feature_code").isin(*excluded_codes) & F.col("lat").isNotNull() & F.col("lng").isNotNull())
     by_code = regions.select(F.col("code").alias("rc"), F.col("geonames_id").alias("region"), F.col("path").alias("region_path"))
     first = by_code.toDF("rc1", "region1", "path1")
-    cities = kept.join(by_code if admin2 is not None else by_code.where("false"), deep == F.col("rc"), "left").join(first, F.col("admin1") == F.col("rc1"), "left").join(one, F.lit(True))
+    cities = kept.join(by_code if admin2 is not None else by_code.where("false"), deep == F.col("rc"), "left").join(first, F.col("admin1") == F.col("rc1"), "left").withColumn("country_id", country_id)
     box = city_box(F.col("lat"), F.col("lng"), F.col("population"), *radius)
     cities = cities.select("geonames_id", F.coalesce("region", "region1", "country_id").alias("parent"), "name", named(F.col("alternates")).alias("name_local"), "lat", "lng", F.nullif("population", F.lit(0)).alias("population"), box.alias("box"), F.coalesce("region_path", "path1", F.array("country_id")).alias("path"))
     rolled = cities.select(F.explode("path").alias("node"), "box.*").groupBy("node").agg(F.min("south").alias("south"), F.min("west").alias("west"), F.max("north").alias("north"), F.max("east").alias("east"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.plans import matching, relational, scalars, states
+from terrane.plans import matching, relational, scalars, services, states
 
-MODULES: tuple = (relational, scalars, matching, states)
+MODULES: tuple = (relational, scalars, matching, states, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
