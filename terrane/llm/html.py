@@ -37,8 +37,10 @@ NAMES = (
     "nav", "navbar", "navigation", "navi", "menu", "submenu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "topbar", "toolbar",
     "header", "masthead", "footer", "footnav", "sidebar", "aside", "side", "widget", "widgets", "related", "recommended", "recommendations", "trending", "popular",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall",
-    "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "form", "search", "searchbox", "skip", "hidden",
+    "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "discussion", "feedback", "responses", "adsbygoogle", "advertorial", "rail", "replies", "reply", "respond", "form", "search", "searchbox", "skip", "hidden",
 )
+#: Words that make a class with "header" that of the article's own heading.
+OWN_HEADER = ("article", "entry", "post", "story", "content")
 #: Elements that mark the article.
 MARKS = ("article", "main")
 #: Elements that begin and end a block.
@@ -76,8 +78,10 @@ def _is_aside(name: str, attrs: str) -> bool:
         return False
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
-        if key in ("class", "id") and any(w in _NAMES for w in WORDS.findall(value)):
-            return True
+        if key in ("class", "id"):
+            for words in map(WORDS.findall, value.split()):
+                if any(w in _NAMES and not (w == "header" and any(x in OWN_HEADER for x in words)) for w in words):
+                    return True
         if key == "role" and value in _ROLES or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
     return False
@@ -171,7 +175,8 @@ def lines_of(page: str) -> list[Line]:
                     break
         if name in _VOID:
             continue
-        a, m, x = name == "head" or _is_aside(name, tag["attrs"]), name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"], name == "a"
+        aside_here = _is_aside(name, tag["attrs"]) and not (name == "header" and opened["article"] and not tag["attrs"].strip())
+        a, m, x = name == "head" or aside_here, name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"], name == "a"
         stack.append((name, a, m, x))
         opened[name] += 1
         aside, marked, link = aside + a, marked + m, link + x

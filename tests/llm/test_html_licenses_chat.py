@@ -22,6 +22,7 @@ PAGES = {
     "<article><p>x<!-- <p>y</p> --> z</p><p>1 < 2</p></article>": "x z\n\n1 < 2",
     "<article>" + "<div>" * 300 + "deep" + "</div>" * 300 + "</article>": "deep",
     "<article><p>unclosed <a href='x>y'>link</a": "unclosed link",
+    "<header>site</header><article><header><h1>t</h1></header><div class='entry-header'>u</div><div class='reader-comments'>v</div>w</article>": "t\n\nu\n\nw",
     "<article><p>a</p><p class='note'>b</p></article><div class=sidebar>c</div>": "a\n\nb",
 }
 
