@@ -173,6 +173,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that overlap with no benchmark item."""
+    """The rows of ``docs``, with all their columns, that overlap with no benchmark item.
+
+    Rows with the same id go or stay together; rows without an id stay.
+    """
     bad = contaminations(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")

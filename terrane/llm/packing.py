@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 SEQUENCE = 2048
 END_ID = 1
+#: Stands for a missing document id while pieces are packed.
+NO_ID = -(2**63)
 #: Pieces that one group holds on average; a group is packed in one task.
 GROUP_PIECES = 4000
 #: Words whose ids a worker remembers; beyond it, it starts anew.
@@ -194,7 +196,9 @@ def pack(parts: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECE
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     groups = max(1, round(parts.count() / group_pieces))
-    dealt = parts.select(*names, F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).alias("part"))
+    # pandas has no long column with nulls, so a missing id travels as a number that is put back below.
+    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
+    dealt = parts.select(known, *names[1:], F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).alias("part"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -202,7 +206,8 @@ def pack(parts: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECE
         before = rows["length"].groupby(bins).cumsum() - rows["length"]
         return rows[names].assign(sequence_id=rows["part"] * (1 << 32) + bins, offset=before)
 
-    return dealt.groupBy("part").applyInPandas(run, ", ".join(f"{x} long" for x in [*names, "sequence_id", "offset"]))
+    out = dealt.groupBy("part").applyInPandas(run, ", ".join(f"{x} long" for x in [*names, "sequence_id", "offset"]))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +216,7 @@ def packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     ``start`` ids of the document lie before a piece of ``length`` ids; ``doc_tokens`` counts the
     document's ids with the final id 1; ``sequence_id`` and ``offset`` place the piece, without gaps
     from offset 0. Null text is an empty one: a single piece with id 1. Repeated rows are packed
-    each on its own; other columns do not matter; an empty table gives an empty result.
+    each on its own, rows without a document id like any other; other columns do not matter; an empty table gives an empty result.
     """
     from terrane.session import checkpointed
 

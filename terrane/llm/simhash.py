@@ -212,13 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints link at ``max_bits`` or fewer differing bits; ``component_id`` is the smallest
     document id reachable over links, the document's own included. Null and empty texts have
     fingerprint 0 and link like any other; repeated rows each give a row; other columns do not
-    matter; an empty table gives an empty result. Ids must not be null.
+    matter; an empty table gives an empty result. A row without an id links nothing; its component
+    is that of its fingerprint, or null if no row with an id has that.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
-    points = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    points = checkpointed(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     joined = connected_components(links(points, max_bits))
     classes = points.join(joined, points.rep == joined.node, "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, prints.fp == classes.class_fp).select("doc_id", "fp", "component_id")
+    return prints.join(classes, prints.fp == classes.class_fp, "left").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -227,7 +228,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of its component."""
+    """The rows of ``docs``, with all their columns, whose id is the smallest of its component.
+
+    Rows without an id stay; of rows with the same id all stay or none.
+    """
     found = near_duplicates(docs, id_col, text_col, max_bits)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col(id_col) == F.col("__first"), "left_semi")
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
+    return docs.join(later, F.col(id_col) == F.col("__later"), "left_anti")

@@ -90,5 +90,7 @@ def test_groups_and_empty_table(spark):
     parts = spark.range(500).selectExpr("id AS doc_id", "0L AS start", "1 + id * 37 % 900 AS length", "id AS ids_crc32", "0L AS doc_tokens")
     rows = packing.pack(parts, group_pieces=100).collect()
     assert len(rows) == 500 and len({r["sequence_id"] >> 32 for r in rows}) == 5
-    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").limit(0)
-    assert packing.packed(docs).count() == 0
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "x"), (None, "y"), (big, "x")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in packing.packed(docs).collect()) == [str(big), str(big), "None"]
+    assert packing.packed(docs.limit(0)).count() == 0

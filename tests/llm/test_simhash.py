@@ -94,6 +94,8 @@ def test_unary_distance_is_a_lower_bound():
 
 
 def test_repeated_rows_and_empty_table(spark):
-    docs = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (5, None)], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.digest(docs).collect()) == [(3, 3), (3, 3), (5, 5)]
+    docs = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (5, None), (None, "a b c d"), (None, "quite alone here")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.digest(docs).collect()), key=str)
+    assert got == [(3, 3), (3, 3), (5, 5), (None, 3), (None, None)]
+    assert simhash.one_of_each(docs).count() == 5
     assert simhash.digest(docs.limit(0)).count() == 0
