@@ -141,7 +141,7 @@ def test_viterbi_is_the_best_path(spark):
     def value(path):
         total = model.first[path[0]] + lines.score[0][path[0]]
         for k in range(1, len(path)):
-            total += (step if lines.begins[k] else stay)[path[k - 1], path[k]] + lines.score[k][path[k]]
+            total += (step if lines.begins[k] else stay)[path[k - 1]][path[k]] + lines.score[k][path[k]]
         return total
 
     best = max(itertools.product(range(3), repeat=len(lines.text)), key=value)
@@ -151,5 +151,5 @@ def test_viterbi_is_the_best_path(spark):
 def test_chat_edge_cases(spark):
     rows = turns(spark, [(1, 0, "user", None), (1, 0, "user", None), (None, None, "nobody", ""), (2, 1, "USER ", "x")])
     got = chat.format_chat(rows).collect()
-    assert len(got) == 4 and {r["conv_id"] for r in got} == {1, -1, 2}
+    assert len(got) == 4 and {r["conv_id"] for r in got} == {1, None, 2}
     assert chat.format_chat(rows.limit(0)).count() == 0
