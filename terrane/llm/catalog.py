@@ -65,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
+    "op6_secret_scan": secrets.ORACLE,
     "op8_url_filter": urls.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

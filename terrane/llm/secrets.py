@@ -135,3 +135,36 @@ def digest(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         _listed(F.col("spans"), kinds).alias("spans"),
         F.size(F.filter("spans", lambda s: s["looks_live"])).cast("long").alias("n_live"),
     )
+
+
+#: The same patterns for a matcher without look-behind: what must not stand before is matched, too.
+_DUCK = {
+    "hex": "([0-9a-f]{24,})",
+    "access": "(AKIA[A-Z0-9]+)",
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "code_host": "(gh[pousr]_[A-Za-z0-9]+)",
+    "web_token": r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)",
+    "url_login": r"(?:^|[^a-z0-9+])([a-z][a-z0-9+]*://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@)",
+    "private_key": "(-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END)",
+}
+
+
+def _duck_kind(order: int, kind: Kind) -> str:
+    """Rows of one kind: the whole match, the span's text and the value of each match, numbered."""
+    pattern = _DUCK[kind.name].replace("'", "''")
+    text = {"assign": 0}.get(kind.name, 1)
+    value = {"url_login": 2}.get(kind.name, 1)
+    return f"""SELECT doc_id, row_, {order} AS kind, '{kind.name}' AS name, {kind.least} AS least, {str(kind.base).lower()} AS base, unnest(generate_series(1, len(m))) AS i, unnest(m) AS whole, unnest(s) AS span, unnest(v) AS value, unnest(p[:len(m)]) AS gap
+    FROM (SELECT doc_id, row_, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {text}) AS s, regexp_extract_all(t, '{pattern}', {value}) AS v, regexp_split_to_array(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}'))"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(_duck_kind(k, kind) for k, kind in enumerate(KINDS))}),
+e AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY row_, kind ORDER BY i) AS e FROM k),
+c AS (SELECT row_, doc_id, kind, name, base, CAST(e - length(span) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(value) AS h FROM e WHERE length(value) >= least),
+o AS (SELECT h, NOT (count(DISTINCT owner) >= {EXAMPLE_OWNERS} AND count(DISTINCT (owner, c.doc_id)) >= {EXAMPLE_REPOSITORIES}) AS live FROM c JOIN d USING (row_) GROUP BY h),
+g AS (SELECT row_, count(*) FILTER (WHERE name = 'assign') AS n_assign, count(*) FILTER (WHERE name = 'access') AS n_access, count(*) FILTER (WHERE name = 'hex') AS n_hex,
+      string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE base) AS b, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE base OR live) AS a, count(*) FILTER (WHERE live) AS n_live FROM c JOIN o USING (h) GROUP BY row_)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN g USING (row_)
+"""

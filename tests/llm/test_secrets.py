@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import duckdb
+
 from terrane.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +39,16 @@ def test_base_spans_match_plain_scanner(spark):
         assert set(listed.split(",")) - {""} <= set(got[i]["spans"].split(","))
 
 
+def test_whole_result_matches_sql(spark, tmp_path):
+    docs = rows(spark, TEXTS + ["https://u:ownedbyone@h/x"] + ["http://u:copiedbyall@h"] * 12)
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.execute(secrets.ORACLE)
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in secrets.digest(docs).collect()) == sorted(want.fetchall())
+
+
 def test_added_spans_only_for_values_that_look_live(spark):
     live, example = "https://u:ownedbyone@h", "https://u:copiedbyall@h"
     docs = spark.createDataFrame([(i, example, f"src{i % 4}") for i in range(12)] + [(99, live, "src0")], "doc_id long, text string, source string")
