@@ -59,12 +59,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written below the checkpoint folder and read again by the next."""
+    """All stages over ``documents``; each is written below the checkpoint folder and read again by the next.
+
+    A stage's rows go once the next stage's are written; the last ones stay, for the result reads them.
+    """
     docs = table(spark, sf_dir, "documents")
     checkpointed(spark.range(1).toDF("id"))  # sets a folder where the session names none
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            _remove(spark, f"{base}/{k - 1}")
     return docs

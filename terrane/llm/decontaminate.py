@@ -24,7 +24,7 @@ MIN_TOKENS = 13
 #: Share of equal tokens in an overlap.
 MIN_IDENTITY = 0.8
 #: Tokens of benchmark items that one pass over the documents holds in memory.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 _LETTERS = bytes(range(256)).lower()
