@@ -111,13 +111,13 @@ def lateral_top1(spark, d):
     return table(spark, d, "customer").join(best, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.col("o_orderkey").alias("top_order"), F.col("o_totalprice").alias("top_price"))
 
 
-@query("""SELECT c_custkey AS id, coalesce(list(o_orderkey ORDER BY (o_orderstatus = 'O') DESC, o_orderkey) FILTER (o_orderkey IS NOT NULL), []) AS orders,
- coalesce(list(DISTINCT o_orderpriority ORDER BY o_orderpriority) FILTER (o_orderpriority IS NOT NULL), []) AS priorities FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_custkey AS id, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ';' ORDER BY (o_orderstatus = 'O') DESC, o_orderkey), '') AS orders,
+ coalesce(string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority), '') AS priorities FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def ordered_arrays(spark, d):
     """Ordered and distinct array aggregates, empty where there is nothing."""
     item = F.struct((F.col("o_orderstatus") != "O").alias("late"), "o_orderkey")
     g = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["o_orderkey"]).alias("a"), F.array_sort(F.collect_set("o_orderpriority")).alias("p"))
-    return table(spark, d, "customer").join(g, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.coalesce("a", F.array().cast("array<bigint>")).alias("orders"), F.coalesce("p", F.array().cast("array<string>")).alias("priorities"))
+    return table(spark, d, "customer").join(g, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.coalesce(F.array_join(F.transform("a", lambda x: x.cast("string")), ";"), F.lit("")).alias("orders"), F.coalesce(F.array_join("p", ";"), F.lit("")).alias("priorities"))
 
 
 @query("""SELECT c_custkey AS id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS has_large,

@@ -125,12 +125,13 @@ def crawl_funnel(spark, d):
     return services.crawl_funnel(table(spark, d, "orders").select(error.alias("error"), (F.col("o_custkey") % 3).alias("emails_found")))
 
 
-@query("""SELECT c_custkey AS id, coalesce(list(o_orderpriority ORDER BY (o_orderstatus = 'O') DESC, o_orderpriority) FILTER (o_orderkey IS NOT NULL), []) AS emails, coalesce(list(DISTINCT o_orderstatus ORDER BY o_orderstatus) FILTER (o_orderkey IS NOT NULL), []) AS sources FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_custkey AS id, coalesce(string_agg(o_orderpriority, ';' ORDER BY (o_orderstatus = 'O') DESC, o_orderpriority), '') AS emails, coalesce(string_agg(DISTINCT o_orderstatus, ';' ORDER BY o_orderstatus), '') AS sources FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def lead_detail(spark, d):
     """P10 J09."""
     o = table(spark, d, "orders")
     emails = o.select(F.col("o_custkey").alias("place_id"), (F.col("o_orderstatus") == "O").alias("is_primary"), F.col("o_orderpriority").alias("email"))
-    return services.lead_detail(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), emails, o.select(F.col("o_custkey").alias("place_id"), F.col("o_orderstatus").alias("source")))
+    found = services.lead_detail(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), emails, o.select(F.col("o_custkey").alias("place_id"), F.col("o_orderstatus").alias("source")))
+    return found.select("id", F.array_join("emails", ";").alias("emails"), F.array_join("sources", ";").alias("sources"))
 
 
 @query("""SELECT count(*) AS places, count(*) FILTER (WHERE c_custkey % 3 > 0) AS with_email, count(*) FILTER (WHERE c_acctbal < 0) AS held, count(*) FILTER (WHERE c_custkey % 3 = 1) AS generic, count(*) FILTER (WHERE c_custkey % 3 = 2) AS personal, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_acctbal >= 0) AS ready FROM customer""")
