@@ -207,3 +207,45 @@ def not_removed(spark, d):
     ids = table(spark, d, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("place_id"), *[F.lit(None).cast("string").alias(c) for c in ("overture_id", "phone_e164", "website_domain")])
     more = spark.createDataFrame([(None, "5", None, None), (None, None, "+1", "BUILDING")], "place_id long, overture_id string, phone_e164 string, website_domain string")
     return services.not_removed(rows, ids.union(more)).select("id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey % 3 = 1 AND c_nationkey IN (1, 2, 3, 4, 5) AND c_custkey % 7 <> 0 AND c_custkey % 100 >= 40")
+def page_candidates(spark, d):
+    """F04."""
+    from terrane.operators.datasets import page_scope
+
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(k.alias("id"), F.when(F.col("c_mktsegment") == "MACHINERY", "CLOSED_PERMANENTLY").otherwise("OPERATIONAL").alias("business_status"), F.when(k % 3 == 0, "REMOVED").when(k % 3 == 2, "PUBLISHED").alias("page_status"), F.col("c_nationkey").cast("string").alias("taxonomy_primary"), (k % 7 == 0).alias("is_chain"), (k % 100).alias("completeness"))
+    return rows.where(page_scope(types=("1", "2", "3", "4", "5"), min_completeness=40)).select("id")
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0 AND (CAST(s_suppkey AS VARCHAR) LIKE '%1%' OR s_nationkey = 7)")
+def suppression_search(spark, d):
+    """F05."""
+    from terrane.operators.datasets import suppression_search as search
+
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(k.alias("id"), F.when(k % 2 == 0, "MANUAL").otherwise("BOUNCED").alias("reason"), F.concat(F.lit("Ab_"), k.cast("string"), F.lit("@x.cy")).alias("email_normalized"), F.when(F.col("s_nationkey") == 7, F.lit("1.cy")).alias("domain"), F.sha2(k.cast("string"), 256).alias("email_hash"))
+    return rows.where(search("MANUAL", "1")).select("id")
+
+
+@query("""SELECT c_custkey AS id, 'info@shop.cy' AS email, 'GENERIC' AS email_type, c_custkey % 2 = 0 AS is_own_domain FROM customer UNION ALL SELECT c_custkey, 'anna' || c_custkey || '@gmail.com', 'PERSONAL', false FROM customer""")
+def prepared_emails(spark, d):
+    """Addresses in normal form, once a place, without junk."""
+    from terrane.operators.datasets import prepare_emails
+
+    k = F.col("c_custkey")
+    emails = F.array(F.lit(" Info@Shop.cy"), F.concat(F.lit("Anna"), k.cast("string"), F.lit("@gmail.com")), F.lit("mailto:info@shop.cy?x"), F.lit("noreply@shop.cy"), F.lit("no address"))
+    rows = table(spark, d, "customer").select(k.alias("id"), F.when(k % 2 == 0, F.lit("shop.cy")).alias("website_domain"), emails.alias("emails"))
+    return prepare_emails(rows).select("id", "email", "email_type", "is_own_domain")
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'SOCIAL' ELSE 'OWN' END AS platform, count(*) AS n, count(*) FILTER (WHERE c_custkey % 3 <> 1) AS changed, count(*) FILTER (WHERE c_custkey % 2 = 0) AS valid_phones FROM customer GROUP BY 1")
+def cleaning_summary(spark, d):
+    """What a cleaning changes."""
+    from terrane.operators import datasets
+
+    k = F.col("c_custkey")
+    site = F.when(k % 3 == 0, F.lit("https://facebook.com/x?fbclid=1")).when(k % 3 == 1, F.lit("https://shop.cy/")).otherwise(F.lit("shop.cy"))
+    raw = table(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("name"), site.alias("website"), F.when(k % 2 == 0, "99123456").otherwise("12").alias("phone"), F.lit("CY").alias("country_code"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+    return datasets.cleaning_summary(raw, datasets.normalize_places(raw))

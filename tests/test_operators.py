@@ -285,3 +285,24 @@ def test_micro_batches(spark, tmp_path):
     query = refresh.touched_countries(spark, str(tmp_path / "in"), rows.schema, lambda batch, countries: seen.append((batch.count(), countries)), str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert seen == [(3, ["CY", "GR"])]
+
+
+def test_staged_rows_are_merged(spark):
+    from terrane.operators import datasets
+
+    shape = "id int, overture_id string, google_place_id string, name string, name_normalized string, address string, lat double, lng double, city_id int, city_name string, website string, website_domain string, phone_raw string, phone_e164 string, phone_valid boolean"
+    old = spark.createDataFrame([(1, "o1", "g1", "Kept", "kept", None, None, None, None, None, None, None, "22", None, False), (2, "o2", None, "Old", "old", "a", 1.0, 1.0, None, None, "http://x.cy/", "x.cy", None, None, False), (5, None, "g5", "Alone", "alone", None, None, None, None, None, None, None, None, None, False)], shape)
+    emails = spark.createDataFrame([("known@x.cy", 1, "PERSONAL", True)], "email string, place_id int, email_type string, is_own_domain boolean")
+    row = lambda i, name, mails, path=("spa",): (i, name, "anna.cy", "99 123456", "CY", 34.7, 33.0, "street", list(mails), list(path), None, None)
+    staged = spark.createDataFrame([row("o1", "New One", ["Known@x.cy", "a@anna.cy"]), row("o2", "New Two Ltd", ["a@anna.cy", "bad@blocked.cy"]), row("o9", "Nine", ["nine@gmail.com"]), row("o8", "Eight", []), row("o7", "Junk", ["j@j.cy"], ("junk",))], "id string, name string, website string, phone string, country_code string, lat double, lng double, address string, emails array<string>, taxonomy_hierarchy array<string>, basic_category string, taxonomy_primary string")
+    rules = spark.createDataFrame([("spa", 1, None), ("junk", None, "no")], "match string, subcategory_id int, excluded_reason string")
+    sup = spark.createDataFrame([(None, "blocked.cy")], "email_hash string, domain string")
+    merged = datasets.merge_staged(old, emails, staged, rules, sup)
+    got = {r["id"]: r for r in merged.places.collect()}
+    assert set(got) == {1, 2, 5, 6, 7} and got[6]["overture_id"] == "o8" and got[7]["overture_id"] == "o9" and got[7]["__inserted"]
+    assert got[1]["name"] == "Kept" and got[1]["address"] == "street" and got[1]["website_domain"] == "anna.cy" and got[1]["phone_e164"] is None and got[1]["lat"] == 34.7
+    assert got[2]["name_normalized"] == "new two" and got[2]["website_domain"] == "x.cy" and got[2]["phone_e164"] == "+35799123456" and got[2]["lat"] == 1.0
+    assert sorted((r["email"], r["place_id"]) for r in merged.emails.collect()) == [("a@anna.cy", 1), ("known@x.cy", 1), ("nine@gmail.com", 7)]
+    again = datasets.merge_staged(merged.places.drop("__inserted"), merged.emails, staged, rules, sup)
+    strip = lambda df: sorted(map(str, df.drop("__inserted").collect()))
+    assert strip(again.places) == strip(merged.places) and strip(again.emails) == strip(merged.emails)
