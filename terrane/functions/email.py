@@ -101,8 +101,8 @@ def mx_state(first: Column, second: Column) -> Column:
 
 def decode_escapes(text: Column) -> Column:
     r"""``@`` and ``.`` out of the escapes that hide them."""
-    at = F.regexp_replace(text, r"(?i)\\u0040|\\x40|%40|&#0*64;|&#x0*40;|&commat;|＠", "@")
-    return F.regexp_replace(at, r"(?i)\\u002e|\\x2e|&#0*46;|&#x0*2e;|&period;|．", ".")
+    at = F.regexp_replace(text, fixed.ESCAPED_AT, "@")
+    return F.regexp_replace(at, fixed.ESCAPED_DOT, ".")
 
 
 def deobfuscate(text: Column) -> Column:
@@ -111,8 +111,8 @@ def deobfuscate(text: Column) -> Column:
     In ``info at shop dot cy`` the words count only together, so the place of ``at`` is marked first
     and each ``dot`` of the same address follows it; domains of up to seven labels are joined.
     """
-    out = F.regexp_replace(text, r"(?i)\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*", "@")
-    out = F.regexp_replace(out, r"(?i)\s*[\[({<]\s*(?:dot|\.|punto)\s*[\])}>]\s*", ".")
+    out = F.regexp_replace(text, fixed.BRACKETED_AT, "@")
+    out = F.regexp_replace(out, fixed.BRACKETED_DOT, ".")
     out = F.regexp_replace(F.regexp_replace(out, r"\s+AT\s+", "@"), r"\s+DOT\s+", ".")
     out = F.regexp_replace(out, r"(?i)\b([a-z0-9._-]+)\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+\b)", "$1\ue000")
     for _ in range(6):
@@ -130,4 +130,4 @@ def decode_cfemail(code: Column) -> Column:
 
 def join_script_strings(code: Column) -> Column:
     """``'info' + '@shop.cy'`` in one piece."""
-    return F.regexp_replace(code, r"""["']\s*\+\s*["']""", "")
+    return F.regexp_replace(code, fixed.JOINED_STRINGS, "")

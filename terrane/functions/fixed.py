@@ -39,6 +39,12 @@ EMAIL_CANDIDATE = r"(?i)[a-z0-9.!#$%&'*+=?^_`{|}~-]+@[a-z0-9.-]+\.[a-z0-9-]{2,}"
 EMAIL_LEADING_JUNK = r"""^[<("'\[]+"""
 EMAIL_TRAILING_JUNK = r"""[.,;:!?'")\]}>]+$"""
 
+ESCAPED_AT = r"(?i)\\u0040|\\x40|%40|&#0*64;|&#x0*40;|&commat;|＠"
+ESCAPED_DOT = r"(?i)\\u002e|\\x2e|&#0*46;|&#x0*2e;|&period;|．"
+BRACKETED_AT = r"(?i)\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*"
+BRACKETED_DOT = r"(?i)\s*[\[({<]\s*(?:dot|\.|punto)\s*[\])}>]\s*"
+JOINED_STRINGS = r"""["']\s*\+\s*["']"""
+
 GENERIC_MAILBOXES = tuple(
     (
         "info contact contacts hello hi office sales support admin enquiries enquiry inquiries "
