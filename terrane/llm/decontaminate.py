@@ -4,11 +4,12 @@ A spaced seed is a fixed mask over a few neighbouring tokens that ignores some p
 hash of the kept ones survives a substitution at an ignored one. Windows of the benchmark items
 and of the documents are joined on these hashes; around each hit the item is laid over the
 document without gaps and the best segment is scored, so overlaps with substituted tokens are
-verified token by token.
+verified token by token. Items too short for these seeds get seeds over the whole item.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,11 +32,33 @@ _LETTERS = bytes(range(256)).lower()
 #: A-Z in lower case, ASCII punctuation as space.
 TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in _LETTERS)
 
+#: Scripts without spaces: a Han or kana character, or a base letter of South East Asia with its vowel and tone marks.
+UNSPACED = re.compile(
+    "[\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u303b\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+    "|[\u0e40-\u0e44]?[\u0e01-\u0e2e][\u0e2f-\u0e3a\u0e45-\u0e4e]*|[\u0ec0-\u0ec4]?[\u0e81-\u0eae\u0edc-\u0edf][\u0eaf-\u0ebd\u0ec6-\u0ece]*"
+    "|[\u1780-\u17b3](?:\u17d2[\u1780-\u17b3]|[\u17b4-\u17d1\u17d3\u17d7\u17dd])*|[\u1000-\u102a\u103f](?:\u1039[\u1000-\u102a]|[\u102b-\u103e])*"
+)
+#: Punctuation of these scripts, as space.
+UNSPACED_MARKS = re.compile("[\u3000-\u3003\u3008-\u3020\u3030\u303d\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u104a\u104b\u17d4-\u17d6\u0e5a\u0e5b]+")
+
 OUTPUT = "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_equal long"
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
+    text = text or ""
+    if not text.isascii():
+        text = UNSPACED.sub(r" \g<0> ", UNSPACED_MARKS.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
+
+
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks as long as an item of ``n`` tokens, where ``MASKS`` miss some of the substitutions it may have (none below 5 tokens, one up to 7)."""
+    if n < 5:
+        return ("1" * n,)
+    if n < 8:
+        cuts = [round(k * n / 3) for k in range(4)]
+        return tuple("".join("0" if a <= i < b else "1" for i in range(n)) for a, b in zip(cuts, cuts[1:], strict=False))
+    return ()
 
 
 @dataclass
@@ -44,19 +67,25 @@ class Index:
 
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     items: list[np.ndarray] = field(default_factory=list)
-    ids: list[int] = field(default_factory=list)
+    ids: list[int | None] = field(default_factory=list)
 
-    def add(self, item_id: int, words: list[bytes]) -> None:
+    def add(self, item_id: int | None, words: list[bytes]) -> None:
         number = self.vocabulary
         self.ids.append(item_id)
         self.items.append(np.array([number.setdefault(w, len(number) + 1) for w in words], dtype=np.int64))
 
     def seal(self) -> None:
         """Sort the hashes of all windows and mark them in a table of bits for a quick first look."""
-        self.hashes, self.owners, self.places, self.marks = [], [], [], []
-        for mask in MASKS:
+        self.masks, self.hashes, self.owners, self.places, self.marks = [], [], [], [], []
+        by_length: dict[int, list[int]] = {}
+        for k, item in enumerate(self.items):
+            by_length.setdefault(len(item), []).append(k)
+        plans = [(mask, range(len(self.items))) for mask in MASKS] + [(mask, by_length[n]) for n in sorted(by_length) for mask in short_masks(n)]
+        for mask, chosen in plans:
+            self.masks.append(mask)
             h, o, p = [], [], []
-            for k, item in enumerate(self.items):
+            for k in chosen:
+                item = self.items[k]
                 found = seed_hashes(item, mask)
                 h.append(found)
                 o.append(np.full(len(found), k))
@@ -109,7 +138,7 @@ def overlaps(words: list[bytes], index: Index, min_tokens: int = MIN_TOKENS, min
     known = index.vocabulary
     numbers = np.array([known.get(w, 0) for w in words], dtype=np.int64)
     seen: set[tuple[int, int]] = set()
-    for mask, hashes, owners, places, marks in zip(MASKS, index.hashes, index.owners, index.places, index.marks, strict=True):
+    for mask, hashes, owners, places, marks in zip(index.masks, index.hashes, index.owners, index.places, index.marks, strict=True):
         own = seed_hashes(numbers, mask)
         hits = np.flatnonzero(marks[(own >> np.uint64(44)).astype(np.int64)])
         if not len(hits):
@@ -121,7 +150,10 @@ def overlaps(words: list[bytes], index: Index, min_tokens: int = MIN_TOKENS, min
     for k, shift in sorted(seen):
         item = index.items[k]
         first, last = max(0, -shift), min(len(item), len(numbers) - shift)
-        start, length, same = best_segment(item[first:last] == numbers[first + shift : last + shift], min_identity)
+        equal = item[first:last] == numbers[first + shift : last + shift]
+        start, length, same = best_segment(equal, min_identity)
+        if length < len(item) <= min_tokens and len(equal) == len(item) and equal.sum() >= min_identity * len(item) - 1e-9:
+            start, length, same = 0, len(item), int(equal.sum())  # the whole item counts, whatever its ends
         if length >= min(min_tokens, len(item)):
             out.append((index.ids[k], first + start + shift, first + start, length, same))
     return out
@@ -130,7 +162,7 @@ def overlaps(words: list[bytes], index: Index, min_tokens: int = MIN_TOKENS, min
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
     """Indexes over blocks of items; a benchmark of fewer than ``block_tokens`` tokens gives one."""
     index, size = Index(), 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
         words = tokens(row[1])
         if not words:
             continue
@@ -149,7 +181,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     An overlap has at least 13 tokens (or the whole item, if that is shorter) of which 80 % are
     equal, position by position. Tokens are runs without white space and ASCII punctuation, A-Z in
-    lower case. Null or empty texts and items overlap with nothing; repeated rows of a document
+    lower case; in scripts without spaces each character (or letter with its marks) is one. Items
+    without an id are searched as well and reported with a null one. Null or empty texts and items
+    overlap with nothing; repeated rows of a document
     each give their overlaps; other columns do not matter; empty tables give an empty result.
 
     The benchmark travels to the executors in blocks of at most ``block_tokens`` tokens, with one

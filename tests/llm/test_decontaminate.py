@@ -81,3 +81,35 @@ def test_empty_tables(spark):
     assert d.contaminations(docs.limit(0), items).count() == 0
     assert d.contaminations(docs, items.limit(0)).count() == 0
     assert d.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def found_in(text, items):
+    index = d.Index()
+    for k, item in enumerate(items):
+        index.add(k, d.tokens(item))
+    index.seal()
+    return {k for k, *_ in d.overlaps(d.tokens(text), index)}
+
+
+def test_short_items_are_found_whole():
+    rng = random.Random(5)
+    for n in range(1, 14):
+        item = [f"short{rng.randrange(10**6)}" for _ in range(n)]
+        around = lambda words: " ".join([*noise(6), *words, *noise(6)])
+        allowed = int((1 - d.MIN_IDENTITY) * n + 1e-9)
+        for places in itertools.combinations(range(n), allowed):
+            swapped = ["other" if k in places else w for k, w in enumerate(item)]
+            assert found_in(around(swapped), [" ".join(item)]) == {0}, (n, places)
+        swapped = ["other" if k <= allowed else w for k, w in enumerate(item)]
+        assert not found_in(around(swapped), [" ".join(item)])
+        assert n == 1 or not found_in(around(item[:-1][::-1]), [" ".join(item)])
+    assert found_in("the end", ["end", "the", "the end", "end the"]) == {0, 1, 2}
+
+
+def test_scripts_without_spaces():
+    assert d.tokens("Go去年、東京 é1 カナ。") == [x.encode() for x in ("go", "去", "年", "東", "京", "é1", "カ", "ナ")]
+    assert d.tokens("ที่นี่") == [x.encode() for x in ("ที่", "นี่")]
+    item = "光合成は植物が光のエネルギーを使って二酸化炭素と水から有機物を作る反応である。"
+    assert found_in(f"前の文です。{item}次の文です。", [item]) == {0}
+    assert found_in(f"前の文です{item.replace('植物', '草木')}次の文です", [item]) == {0}
+    assert not found_in("全く別の話題についての長い文章がここに続いていて何も共有していない。", [item])
