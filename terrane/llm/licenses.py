@@ -4,6 +4,8 @@ Templates of licence notices are cut into runs of ``GRAM`` tokens; winnowing kee
 hash of every ``WINDOW`` neighbouring ones, which together form a small inverted index. Hashes of
 all runs of a document are looked up in it; hits on neighbouring diagonals make a candidate, and
 an alignment within a band around them gives the matched share of the template and its span.
+Within that span the words that tell a licence from its siblings (name, version, conditions) must
+stand as they do in the template, with nothing between them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,76 @@ TEMPLATES = {
     "CC-BY-4.0 (line)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 (line)": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0 (line)": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 (line)": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 (line)": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 (line)": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-3.0-or-later (grant)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+    "GPL-2.0 (text)": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    "GPL-3.0 (text)": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "LGPL-2.1 (text)": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+    "LGPL-3.0 (text)": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "AGPL-3.0 (text)": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "Apache-2.0 (text)": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "MIT-0": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
 }
 
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+TEMPLATES["BSD-2-Clause (text)"] = f"{TEMPLATES['BSD-2-Clause']} {_BSD_DISCLAIMER}"
+TEMPLATES["BSD-3-Clause (text)"] = f"{TEMPLATES['BSD-2-Clause']} {TEMPLATES['BSD-3-Clause (endorsement)']} {_BSD_DISCLAIMER}"
+
+#: Words that tell a licence from its siblings; each run must stand unbroken in a match (one of several spellings).
+_GPL = "GNU General Public License"
+_LOOSE = (_GPL, "GNU Public License")
+CORES: dict[str, list[tuple[str, ...]]] = {
+    "Apache-2.0 (line)": [("Apache License Version 2.0",)],
+    "Apache-2.0": [("Apache License Version 2.0",)],
+    "Apache-2.0 (text)": [("Apache License Version 2.0",)],
+    "MIT (line)": [("MIT License",)],
+    "MIT": [("notice shall be included", "shall be included in", "included in all copies")],
+    "MIT-0": [("furnished to do so the",)],
+    "ISC": [("provided that the above", "the above copyright notice", "notice appear in all copies")],
+    "0BSD": [("hereby granted the software", "hereby the software")],
+    "BSD (line)": [("a BSD style license",)],
+    "BSD-3-Clause (endorsement)": [("the names of its contributors", "neither the name of", "endorse or promote products")],
+    "BSD-3-Clause (text)": [("the names of its contributors", "neither the name of", "endorse or promote products")],
+    "GPL-2.0 (line)": [(f"{_GPL} version 2",)],
+    "GPL-3.0 (line)": [(f"{_GPL} version 3",)],
+    "LGPL-2.1 (line)": [("GNU Lesser General Public License version 2.1",)],
+    "LGPL-3.0 (line)": [("GNU Lesser General Public License version 3",)],
+    "AGPL-3.0 (line)": [("GNU Affero General Public License version 3",)],
+    "GPL-2.0-or-later": [_LOOSE, ("either version 2 of", "either 2 of")],
+    "GPL-3.0-or-later": [_LOOSE, ("either version 3 of", "either 3 of")],
+    "GPL-3.0-or-later (grant)": [_LOOSE, ("either version 3 of", "either 3 of")],
+    # Of these two the name may lack its first word, but not have another one there.
+    "LGPL-2.1-or-later": [("GNU Lesser General Public License", _GPL), ("2.1 of the License",)],
+    "AGPL-3.0-or-later": [("GNU Affero General Public License", _GPL), ("3 of the License",)],
+    "LGPL-3.0-or-later": [("GNU Lesser General Public License",), ("either version 3",)],
+    "GPL-2.0-only": [_LOOSE, ("License version 2 as",)],
+    "GPL-3.0-only": [_LOOSE, ("License version 3 as",)],
+    "GPL-2.0 (text)": [(f"{_GPL} version 2 June 1991",)],
+    "GPL-3.0 (text)": [(f"{_GPL} version 3 29 June 2007",)],
+    "LGPL-2.1 (text)": [("GNU Lesser General Public License version 2.1",)],
+    "LGPL-3.0 (text)": [("GNU Lesser General Public License version 3",)],
+    "AGPL-3.0 (text)": [("GNU Affero General Public License version 3",)],
+    "MPL-2.0": [("Mozilla Public License v 2.0", "Mozilla Public License version 2.0")],
+}
+_CONDITIONS = {"BY": ("Attribution",), "NC": ("NonCommercial", "Non Commercial"), "ND": ("NoDerivatives", "No Derivatives", "NoDerivs"), "SA": ("ShareAlike", "Share Alike")}
+for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    _names = list(product(*[_CONDITIONS[x] for x in _kind.split("-")]))
+    for _version, _suffix in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+        _key = f"CC-{_kind}-{_version}"
+        # The names of three older templates stay as they are.
+        _long, _short = (f"{_key} (notice)", f"{_key} (line)") if _key == "CC-BY-NC-4.0" else (f"{_key} (line)", f"{_key} (short)")
+        TEMPLATES[_long] = f"This work is licensed under a Creative Commons {'-'.join(_names[0])} {_version} {_suffix} License."
+        TEMPLATES[_short] = f"Licensed under CC {_kind} {_version}."
+        CORES[_long] = [tuple(f"Creative Commons {' '.join(x)} {_version}" for x in _names)]
+        CORES[_short] = [(f"CC {_kind} {_version}",)]
+
 _ASCII = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
 TABLE = bytes(ord(c) for c in _ASCII.lower()) + bytes(range(128, 256))
 TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
@@ -81,8 +152,9 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
 class Index:
     """The inverted index of winnowed template fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], cores: dict[str, list[tuple[str, ...]]] = CORES):
         self.names, self.vocabulary, self.items = list(templates), {}, []
+        self.cores = [[[tokens(x) for x in spellings] for spellings in cores.get(name, ())] for name in templates]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, text in enumerate(templates.values()):
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
@@ -121,10 +193,16 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int) -> tuple
     return best[0], -best[1], best[2]
 
 
+def holds(words: list[bytes], cores: list[list[list[bytes]]]) -> bool:
+    """Whether one spelling of every core is an unbroken run of the words."""
+    return all(any(words[i : i + len(x)] == x for x in spellings for i in range(len(words) - len(x) + 1)) for spellings in cores)
+
+
 def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, int, float]]:
     """``(license, start, end, n_matched, n_template, coverage)`` of one text; spans in code points, end exclusive.
 
-    Of matches whose spans overlap, the one with the most matched tokens is kept.
+    A match holds the cores of its licence. Of matches whose spans overlap, the one with the most
+    matched tokens is kept.
     """
     known = index.vocabulary
     words = tokens(text)
@@ -146,7 +224,7 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
                 end += 1
             middle = (ordered[at] + ordered[end]) // 2
             matched, first, last = align(item, numbers, middle, band)
-            if matched >= max(GRAM, min_coverage * len(item)):
+            if matched >= max(GRAM, min_coverage * len(item)) and holds(words[first : last + 1], index.cores[k]):
                 found.append((matched, first, last, k))
             at = end + 1
     out, taken = [], []

@@ -153,3 +153,22 @@ def test_chat_edge_cases(spark):
     got = chat.format_chat(rows).collect()
     assert len(got) == 4 and {r["conv_id"] for r in got} == {1, None, 2}
     assert chat.format_chat(rows.limit(0)).count() == 0
+
+
+def test_siblings_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    names = lambda text: [x[0] for x in licenses.scan_text(f"some text before {text} and more after", index)]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0 (line)"]
+    assert names("This work is licensed under the GNU General Public License, version 3.") == ["GPL-3.0 (line)"]
+    assert names("This work is licensed under the GNU General Public License, version 1.") == []
+    cc = "This work is licensed under a Creative Commons {} License."
+    assert names(cc.format("Attribution-NonCommercial 4.0 International")) == ["CC-BY-NC-4.0 (notice)"]
+    assert names(cc.format("Attribution-Non-Commercial 4.0 International")) == ["CC-BY-NC-4.0 (notice)"]
+    assert names(cc.format("Attribution-NonCommercial-NoDerivatives 4.0 International")) == ["CC-BY-NC-ND-4.0 (line)"]
+    assert names(cc.format("Attribution-Unheard 4.0 International")) == []
+    assert names("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0 (short)"]
+    grant = licenses.TEMPLATES["AGPL-3.0-or-later"]
+    assert names(grant) == ["AGPL-3.0-or-later"] and names(grant.replace("Affero ", "")) == ["GPL-3.0-or-later (grant)"]
+    assert names(licenses.TEMPLATES["MIT"].replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")) == ["MIT-0"]
+    assert names(grant.replace("Affero", "Lesser")) == ["LGPL-3.0-or-later"]
+    assert names(licenses.TEMPLATES["BSD-3-Clause (text)"]) == ["BSD-3-Clause (text)"]
