@@ -5,7 +5,8 @@ never part of an article (menus, headers, footers, adverts, forms, comments and
 element, role, class or id) and, where the page marks its article, lines outside of it weigh
 nothing; a line's weight is else its text length without the part in links. Sums of weights over
 sliding windows of lines surge where the main text begins and dive where it ends; every line
-between a surge and its dive is kept, but for those that lie in such an element.
+between a surge and its dive is kept, but for those that lie in such an element, and so are the
+lines of weight in the element that contains the kept blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SURGE = 80
 
 #: Elements whose content is no text.
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "textarea", "title", "head")
+#: Those that run to the end of the page where they aren't closed; of the others only the tag is skipped then.
+ENDLESS = ("script", "style", "textarea", "title", "iframe")
 #: Elements that hold no part of an article.
 ASIDE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset")
 #: Roles that hold no part of an article.
@@ -49,6 +52,8 @@ BLOCKS = (
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "head", "button",
 )
+#: Blocks that contain text only, and the outermost containers.
+TEXT_BLOCKS, OUTERMOST = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dt", "dd", "figcaption", "caption", "summary", "legend"), ("html", "body")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 #: An opening tag of the key closes an open element of the values first.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -63,12 +68,19 @@ _RAW, _ASIDE, _ROLES, _NAMES, _MARKS, _BLOCKS, _VOID = map(frozenset, (RAW, ASID
 ENDS = {name: re.compile(rf"</{name}\s*(?:>|\Z)|\Z", re.I) for name in RAW if name != "head"}
 
 
+@dataclass(eq=False)
+class Block:
+    name: str
+    parent: Block | None
+
+
 @dataclass
 class Line:
     text: str
     linked: int
     outside: bool
     marked: bool
+    block: Block
 
 
 def _is_aside(name: str, attrs: str) -> bool:
@@ -95,13 +107,15 @@ def lines_of(page: str) -> list[Line]:
     stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether it is aside, marks the article, is a link
     aside = marked = link = 0
     opened: Counter[str] = Counter()
+    block = Block("html", None)
+    unclosed: set[str] = set()  # names without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                found.append(Line(text, linked, aside > 0, marked > 0))
+                found.append(Line(text, linked, aside > 0, marked > 0, block))
             parts.clear()
         linked = 0
 
@@ -114,11 +128,12 @@ def lines_of(page: str) -> list[Line]:
                 linked += len(text)
 
     def close() -> None:
-        nonlocal aside, marked, link
+        nonlocal aside, marked, link, block
         name, a, m, x = stack.pop()
         opened[name] -= 1
         if name in _BLOCKS:
             flush()
+            block = block.parent
         aside, marked, link = aside - a, marked - m, link - x
 
     at, end = 0, len(page)
@@ -146,7 +161,12 @@ def lines_of(page: str) -> list[Line]:
                 flush()
             continue
         if name in ENDS:
-            at = ENDS[name].search(page, at).end() if not tag["attrs"].endswith("/") or name in ("script", "style") else at
+            if (not tag["attrs"].endswith("/") or name in ("script", "style")) and name not in unclosed:
+                close_tag = ENDS[name].search(page, at)
+                if close_tag.group() or name in ENDLESS:
+                    at = close_tag.end()
+                else:
+                    unclosed.add(name)
             parts.append(" ") if name not in ("script", "style", "template") else None
             continue
         if name == "br":
@@ -178,19 +198,44 @@ def lines_of(page: str) -> list[Line]:
         aside_here = _is_aside(name, tag["attrs"]) and not (name == "header" and opened["article"] and not tag["attrs"].strip())
         a, m, x = name == "head" or aside_here, name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"], name == "a"
         stack.append((name, a, m, x))
+        if name in _BLOCKS:
+            block = Block(name, block)
         opened[name] += 1
         aside, marked, link = aside + a, marked + m, link + x
     flush()
     return found
 
 
+def _in_containers(lines: list[Line], kept: list[bool]) -> list[bool]:
+    """Whether each line shares a container with a kept one: anywhere below it, or as its own block where that is the page."""
+    containers = set()
+    for x, keep in zip(lines, kept, strict=True):
+        if keep and not x.outside:
+            containers.add(x.block.parent or x.block)
+            if x.block.name not in TEXT_BLOCKS:
+                containers.add(x.block)
+    inside: dict[Block, bool] = {}
+
+    def below(block: Block | None) -> bool:
+        path = []
+        while block is not None and block not in inside:
+            path.append(block)
+            block = block.parent
+        found = block is not None and inside[block]
+        for b in reversed(path):
+            found = inside[b] = found or (b in containers and b.name not in OUTERMOST)
+        return found
+
+    return [x.block in containers or x.block.parent in containers or below(x.block) for x in lines]
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text: kept blocks in page order, joined by an empty line; empty if there is none.
 
     Where the page marks its article, any weight is a surge and no weight a dive, so short blocks
     at the edges stay; else a window must reach ``surge``, or the largest sum of a page without
     such a window, to begin a stretch of text, which goes back to its first line of weight and on
-    to the window without any.
+    to the window without any; lines of weight elsewhere in the container of such text are kept too.
     """
     lines = lines_of(page or "")
     has_mark = any(x.marked and not x.outside for x in lines)
@@ -218,6 +263,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         for i in range(first, last):
             kept[i] = weights[i] > 0 or not (has_mark or lines[i].outside)
         k = max(last, k + 1)
+    if not has_mark:
+        near = _in_containers(lines, [keep and w > 0 for keep, w in zip(kept, weights, strict=True)])
+        kept = [keep or (w > 0 and c) for keep, w, c in zip(kept, weights, near, strict=True)]
     return "\n\n".join(x.text for x, keep in zip(lines, kept, strict=True) if keep)
 
 

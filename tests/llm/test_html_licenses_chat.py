@@ -172,3 +172,18 @@ def test_siblings_are_told_apart():
     assert names(licenses.TEMPLATES["MIT"].replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")) == ["MIT-0"]
     assert names(grant.replace("Affero", "Lesser")) == ["LGPL-3.0-or-later"]
     assert names(licenses.TEMPLATES["BSD-3-Clause (text)"]) == ["BSD-3-Clause (text)"]
+
+
+def test_short_blocks_of_the_text_are_kept():
+    ads = "<div class=ad><p>buy</p><p>this</p><p>now</p><p>here</p></div>"
+    long = f"<p>{LONG}</p>"
+    assert html.main_text(f"<div>{long}{ads}<p>Short end.</p></div><div>Copyright</div>") == f"{LONG}\n\nShort end."
+    assert html.main_text(f"<div><p>Short start.</p>{ads}{long}{ads}<ul><li>Item.</ul></div>") == f"Short start.\n\n{LONG}\n\nItem."
+    assert html.main_text(f"<body>{long}{ads}<p>Short end.</p>{ads}<div><p>elsewhere</p></div>") == f"{LONG}\n\nShort end."
+
+
+@pytest.mark.parametrize("name", ["svg", "object", "video", "noscript", "select", "template", "canvas"])
+def test_unclosed_elements_do_not_swallow_the_page(name):
+    assert html.main_text(f"<article><p>one<{name}></p><p>two</p></article>") == "one\n\ntwo"
+    assert html.main_text(f"<article><p>one</p><{name}>x</{name}><p>two</p></article>") == "one\n\ntwo"
+    assert html.main_text("<article><p>one</p><script>x<p>two</p></article>") == "one"
