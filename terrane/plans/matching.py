@@ -61,6 +61,13 @@ def match_components(spark, d):
     return components.connected_components(e)
 
 
+@query()
+def match_components_all(spark, d):
+    """Connected components over all orders; recursive SQL is too slow for the large ones, tests use union-find."""
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("u"), (-1 - F.col("o_orderkey") % 4001).alias("v"))
+    return components.connected_components(e)
+
+
 @query(f"""WITH {POINTS_SQL} SELECT a.id AS id_a, b.id AS id_b, round(1000 * {KM_SQL}, 3) AS metres FROM p a JOIN p b ON a.id < b.id AND abs(floor(a.lat / 0.002) - floor(b.lat / 0.002)) <= 1 AND abs(floor(a.lng / 0.002) - floor(b.lng / 0.002)) <= 1
  WHERE 1000 * {KM_SQL} <= 200 AND a.label % 2 = b.label % 2""")
 def grid_pairs(spark, d):

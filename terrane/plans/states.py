@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane.operators import joins, reports, state
@@ -45,17 +46,30 @@ def insert_or_count(spark, d):
     return state.insert_or_count(old, seen).select("email", "place_id", "seen_count")
 
 
+def _reasons(spark, d, customers):
+    pick = lambda key, *words: F.get(F.array(*[F.lit(w) for w in words]), F.col(key) % len(words))
+    row = lambda df, key, reason: df.select(F.col(key).cast("string").alias("email_hash"), F.lit("x@y.cy").alias("email_normalized"), F.lit("y.cy").alias("domain"), reason.alias("reason"), F.lit("f").alias("source_file"))
+    old = row(table(spark, d, "supplier"), "s_suppkey", pick("s_suppkey", "ERASED", "UNSUBSCRIBED", "BOUNCED", "MANUAL", "EXISTING_VENDOR"))
+    new = row(customers, "c_custkey", pick("c_custkey", "UNSUBSCRIBED", "BOUNCED", "MANUAL"))
+    return state.import_suppression(old, new).select("email_hash", "reason", "change")
+
+
 @query("""WITH o AS (SELECT s_suppkey AS h, list_extract(['ERASED', 'UNSUBSCRIBED', 'BOUNCED', 'MANUAL', 'EXISTING_VENDOR'], CAST(s_suppkey % 5 AS INT) + 1) AS reason FROM supplier), n AS (SELECT c_custkey AS h, list_extract(['UNSUBSCRIBED', 'BOUNCED', 'MANUAL'], CAST(c_custkey % 3 AS INT) + 1) AS reason FROM customer WHERE c_custkey < 200),
  r AS (SELECT * FROM (VALUES ('ERASED', 3), ('UNSUBSCRIBED', 2), ('BOUNCED', 1), ('MANUAL', 0), ('EXISTING_VENDOR', 0)) t(reason, k))
  SELECT CAST(coalesce(o.h, n.h) AS VARCHAR) AS email_hash, CASE WHEN o.h IS NULL OR rn.k > ro.k THEN n.reason ELSE o.reason END AS reason, CASE WHEN o.h IS NULL THEN 'inserted' WHEN rn.k > ro.k THEN 'upgraded' ELSE 'kept' END AS change
  FROM o FULL JOIN n ON o.h = n.h LEFT JOIN r ro ON ro.reason = o.reason LEFT JOIN r rn ON rn.reason = n.reason""")
 def reason_priority(spark, d):
     """M07."""
-    pick = lambda key, *words: F.get(F.array(*[F.lit(w) for w in words]), F.col(key) % len(words))
-    row = lambda df, key, reason: df.select(F.col(key).cast("string").alias("email_hash"), F.lit("x@y.cy").alias("email_normalized"), F.lit("y.cy").alias("domain"), reason.alias("reason"), F.lit("f").alias("source_file"))
-    old = row(table(spark, d, "supplier"), "s_suppkey", pick("s_suppkey", "ERASED", "UNSUBSCRIBED", "BOUNCED", "MANUAL", "EXISTING_VENDOR"))
-    new = row(table(spark, d, "customer").where("c_custkey < 200"), "c_custkey", pick("c_custkey", "UNSUBSCRIBED", "BOUNCED", "MANUAL"))
-    return state.import_suppression(old, new).select("email_hash", "reason", "change")
+    return _reasons(spark, d, table(spark, d, "customer").where("c_custkey < 200"))
+
+
+@query("""WITH o AS (SELECT s_suppkey AS h, list_extract(['ERASED', 'UNSUBSCRIBED', 'BOUNCED', 'MANUAL', 'EXISTING_VENDOR'], CAST(s_suppkey % 5 AS INT) + 1) AS reason FROM supplier), n AS (SELECT c_custkey AS h, list_extract(['UNSUBSCRIBED', 'BOUNCED', 'MANUAL'], CAST(c_custkey % 3 AS INT) + 1) AS reason FROM customer),
+ r AS (SELECT * FROM (VALUES ('ERASED', 3), ('UNSUBSCRIBED', 2), ('BOUNCED', 1), ('MANUAL', 0), ('EXISTING_VENDOR', 0)) t(reason, k))
+ SELECT CAST(coalesce(o.h, n.h) AS VARCHAR) AS email_hash, CASE WHEN o.h IS NULL OR rn.k > ro.k THEN n.reason ELSE o.reason END AS reason, CASE WHEN o.h IS NULL THEN 'inserted' WHEN rn.k > ro.k THEN 'upgraded' ELSE 'kept' END AS change
+ FROM o FULL JOIN n ON o.h = n.h LEFT JOIN r ro ON ro.reason = o.reason LEFT JOIN r rn ON rn.reason = n.reason""")
+def reason_priority_all(spark, d):
+    """All customers as new rows."""
+    return _reasons(spark, d, table(spark, d, "customer"))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, list_extract(['NEW', 'EXPORTED', 'CONTACTED', 'REPLIED', 'ONBOARDED', 'REJECTED'], CAST(c_custkey % 6 AS INT) + 1) AS status, CASE WHEN c_custkey % 6 < 5 THEN c_custkey % 6 END AS r FROM customer),
@@ -123,6 +137,17 @@ def asof_tolerance(spark, d):
     return out.select("key", F.col("at").cast("timestamp_ntz").alias("at"), F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), "value")
 
 
+@query("""WITH s AS (SELECT event_type AS key, date_trunc('hour', ts) AS taken_at, CAST(max(event_id) AS BIGINT) AS value FROM events GROUP BY 1, 2), m AS (SELECT DISTINCT event_type AS key, date_trunc('day', ts) AS at FROM events)
+ SELECT m.key, m.at, max(s.taken_at) AS taken_at, arg_max(s.value, s.taken_at) AS value FROM m LEFT JOIN s ON s.key = m.key AND s.taken_at BETWEEN m.at - INTERVAL 36 HOUR AND m.at - INTERVAL 24 HOUR GROUP BY 1, 2""")
+def asof_tolerance_all(spark, d):
+    """Snapshots of all events."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    snaps = e.groupBy(F.col("event_type").alias("key"), F.date_trunc("hour", "ts").alias("taken_at")).agg(F.max("event_id").alias("value"))
+    moments = e.select(F.col("event_type").alias("key"), F.date_trunc("day", "ts").alias("at")).distinct()
+    out = joins.snapshot_ago(moments, snaps, 24)
+    return out.select("key", F.col("at").cast("timestamp_ntz").alias("at"), F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), "value")
+
+
 @query("""WITH j AS (SELECT user_id AS job, min(ts) AS a, max(ts) AS b FROM events WHERE user_id % 50 = 0 GROUP BY 1) SELECT job, count(*) AS hits FROM j JOIN events e ON e.user_id % 50 = j.job % 49 AND e.ts BETWEEN a AND b GROUP BY 1""")
 def interval_hits(spark, d):
     """Rows seen during a run."""
@@ -132,6 +157,24 @@ def interval_hits(spark, d):
     return hit.groupBy("job").agg(F.count("*").alias("hits"))
 
 
+@query("""WITH j AS (SELECT user_id AS job, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1) SELECT job, count(*) AS hits FROM j JOIN events e ON e.user_id % 50 = j.job % 49 AND e.ts BETWEEN a AND b GROUP BY 1""")
+def interval_hits_all(spark, d):
+    """All users as jobs; rows up to a run's end less those before its start, counted by key and hour, so no run meets its rows."""
+    e = table(spark, d, "events").where("ts IS NOT NULL")
+    j = e.where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("job")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    none = F.lit(None).cast("long")
+    # A start comes before the rows of its moment, an end after them.
+    point = lambda at, place, sign: j.select((F.col("job") % 49).alias("m"), F.col(at).alias("ts"), F.lit(place).alias("place"), F.col("job").cast("long").alias("job"), F.lit(sign).alias("sign"))
+    rows = e.where("user_id IS NOT NULL").select((F.col("user_id") % 50).alias("m"), "ts", F.lit(1).alias("place"), none.alias("job"), F.lit(0).alias("sign"))
+    points = rows.union(point("a", 0, -1)).union(point("b", 2, 1)).withColumn("hour", F.date_trunc("hour", "ts"))
+    is_row = (F.col("place") == 1).cast("long")
+    within = points.withColumn("seen", F.sum(is_row).over(Window.partitionBy("m", "hour").orderBy("ts", "place").rowsBetween(Window.unboundedPreceding, 0)))
+    hours = points.groupBy("m", "hour").agg(F.sum(is_row).alias("n"))
+    earlier = hours.select(F.col("m").alias("m2"), F.col("hour").alias("hour2"), (F.sum("n").over(Window.partitionBy("m").orderBy("hour")) - F.col("n")).alias("earlier"))
+    counted = within.where("place <> 1").join(earlier, (F.col("m") == F.col("m2")) & (F.col("hour") == F.col("hour2")))
+    return counted.groupBy("job").agg(F.sum(F.col("sign") * (F.col("seen") + F.col("earlier"))).alias("hits")).where("hits > 0")
+
+
 @query("""WITH n AS (SELECT max(ts) AS now FROM events) SELECT DISTINCT user_id, event_type FROM events e WHERE EXISTS (SELECT 1 FROM events p, n WHERE p.user_id = e.user_id AND p.event_type = e.event_type AND p.ts >= n.now - INTERVAL 7 DAY)""")
 def cooldown(spark, d):
     """Keys with a search within some days."""
