@@ -209,7 +209,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap with no benchmark item.
 
-    Rows with the same id go or stay together; rows without an id stay.
+    Rows with the same id go or stay together; rows without an id are judged by their text, so that
+    those with the same text do.
     """
-    bad = contaminations(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    # The name of the key must be none of the documents' columns; a text's hash stands in for a missing id.
+    name = "__key"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("text of a row without an id"), F.col(text_col)))
+    keyed = docs.withColumn(name, key)
+    bad = contaminations(keyed, benchmark, name, text_col).select(F.col("doc_id").alias("__bad")).distinct()
+    return keyed.join(bad, F.col(name) == F.col("__bad"), "left_anti").drop(name)

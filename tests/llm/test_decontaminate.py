@@ -113,3 +113,14 @@ def test_scripts_without_spaces():
     assert found_in(f"前の文です。{item}次の文です。", [item]) == {0}
     assert found_in(f"前の文です{item.replace('植物', '草木')}次の文です", [item]) == {0}
     assert not found_in("全く別の話題についての長い文章がここに続いていて何も共有していない。", [item])
+
+
+def test_rows_and_items_without_ids(spark):
+    passage, other = " ".join(ITEMS[1]), " ".join(noise(30))
+    docs = spark.createDataFrame([(None, f"before {passage} after", 1), (None, other, 2), (None, None, 3), (1, passage, 4), (2, other, 5)], "doc_id long, text string, __key int")
+    items = spark.createDataFrame([(None, passage), (None, None)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["n_tokens"]) for r in d.contaminations(docs, items).collect()}
+    assert found == {(None, None, 20), (1, None, 20)}
+    kept = d.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(r["__key"] for r in kept.collect()) == [2, 3, 5]
