@@ -1,129 +1,206 @@
 r"""Line deduplication by a log-template tree of fixed depth (DataFrame functions only).
 
-A line's path in the tree is its token count, then its leading tokens; tokens with digits count
-as variable and are written ``<*>``. A leaf holds templates: the line itself, and the line with
-one third of its remaining tokens (first, middle or last) left variable, so lines that differ in
-a field meet in the same template while at least two thirds of their tokens must agree.
-
-Templates are 64-bit hashes. A template in at least ``min_docs`` documents recurs; its lines stay
-in the document with the smallest id and are dropped from all others, so no passage is lost.
-
-Only hashes and ids are shuffled to find the templates; the texts move once, to be joined with
-the numbers of their dropped lines.
+A line's tokens are its words; a word with a digit is variable from the start and counts as
+``<*>``. The tree has two fixed paths: the number of tokens and then the leading tokens, or the
+trailing ones, so that a field in a line's head still meets its like. A leaf holds the distinct
+lines of a path. Where a leaf has several, its positions are generalised: a token that no other
+line of the leaf has in its place is a field and becomes ``<*>``. Lines of which at least two
+thirds of the tokens stay belong to the template of what stays.
+
+A template recurs by the number of its documents: whole lines from two documents on, generalised
+ones from three, and short lines ("The end."), which meet by chance, from ten. Lines of a
+recurring template go from all documents but the one with the smallest id, so what they share is
+left once. That document is reported beside each dropped line.
+
+Only hashes and ids are shuffled to find the templates; the tokens of a line are needed again in
+leaves of several lines only. The texts move once, to be joined with their dropped lines.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.expressions import bind, text_of, words_of
+from terrane.llm.expressions import SPACE_RUN, bind, fresh, named, text_of, words_of
+from terrane.operators.joins import small
 from terrane.session import checkpointed
 
-#: Documents in which a template must occur to recur.
-MIN_DOCS = 3
-#: Lines of fewer tokens ("The end.") recur by chance and are left alone.
-MIN_TOKENS = 5
-#: Lines of at least so many tokens have templates with a variable third.
-MIN_VARIABLE = 9
-#: Leading tokens on the path.
+#: Leading or trailing tokens on a path; half of the tokens of lines with fewer than six.
 DEPTH = 3
+#: A word with a digit, matched from its beginning.
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Documents from which a template recurs, and the characters in tokens below which a line is short."""
 
+    whole: int = 2
+    generalised: int = 3
+    short: int = 10
+    short_chars: int = 40
 
-def _templates(line: Column, min_tokens: int = MIN_TOKENS) -> Column:
-    """The template hashes of a line, an empty array for a line that is too short."""
+
+def tokens(line: Column) -> Column:
+    """The tokens of a line, those with digits as ``<*>``."""
+    return words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line))
+
+
+def line_key(line: Column, short_chars: int) -> Column:
+    """Hashes of the whole line and its two paths, and whether it is long; null for a line without tokens."""
 
     def of(t: Column) -> Column:
         n = F.size(t)
-        third = F.ceil((n - DEPTH) / 3).cast("int")
-        path = F.xxhash64(n, F.slice(t, 1, DEPTH))
-        part = lambda k: F.xxhash64(F.slice(t, F.lit(DEPTH + 1) + k * third, F.greatest(F.least(third, n - DEPTH - k * third), F.lit(0))))
-        whole = F.xxhash64(n, t)
-        parts = lambda p: F.array(whole, *[F.xxhash64(F.lit(k), path, F.get(p, (k + 1) % 3), F.get(p, (k + 2) % 3)) for k in range(3)])
-        variable = bind(F.array(*[part(F.lit(k)) for k in range(3)]), parts)
-        return F.when(n < min_tokens, F.array().cast("array<bigint>")).when(n < MIN_VARIABLE, F.array(whole)).otherwise(variable)
+        k = F.least(F.lit(DEPTH), F.floor(n / 2)).cast("int")
+        path = lambda side, part: F.when(n > 2, F.xxhash64(F.lit(side), n, part))
+        key = F.struct(
+            F.xxhash64(n, t).alias("whole"),
+            path(0, F.slice(t, F.lit(1), k)).alias("head"),
+            path(1, F.slice(t, n - k + 1, k)).alias("tail"),
+            (F.length(F.array_join(t, "")) >= short_chars).alias("long"),
+        )
+        return F.when(n > 0, key)
 
-    masked = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")
-    return bind(words_of(masked), of)
+    return bind(tokens(line), of)
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, line, template)`` rows, each template once a document, at its first line."""
-    lines = F.split(text_of(text_col), "\n")
-    # Counting and dropping both need the hashes; they are small beside the texts and are made once.
-    hashed = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc"), F.transform(lines, lambda line: _templates(line)).alias("hashes")))
-    found = hashed.select("doc", F.posexplode("hashes").alias("line", "hashes"))
-    return found.where(F.size("hashes") > 0).select("doc", "line", F.explode("hashes").alias("template"))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
-def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(template, n_docs, first_doc)`` of the templates that occur in ``min_docs`` documents or more.
+def line_keys(docs: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, line, whole, head, tail, long)`` of all lines with tokens in documents with an id."""
+    keys = F.transform(_lines(text_of(named(text_col))), lambda line: line_key(line, rules.short_chars))
+    # Counting and dropping both need the hashes; they are small beside the texts and are made once.
+    hashed = checkpointed(docs.select(named(id_col).cast("long").alias("doc"), keys.alias("keys")).where("doc IS NOT NULL"))
+    return hashed.select("doc", F.posexplode("keys").alias("line", "key")).where("key IS NOT NULL").select("doc", "line", "key.*")
 
-    Counted with map-side partial sums, over rows that are distinct by document first, so a
-    template in a third of all documents does not meet in one task.
-    """
-    by_doc = found.groupBy("template", "doc").agg(F.lit(1).alias("one"))
-    counted = by_doc.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"))
-    return counted.where(F.col("n_docs") >= min_docs)
 
+def distinct_lines(keys: DataFrame) -> DataFrame:
+    """Each distinct line with the number of its documents and the smallest of them.
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(doc, lines)``: sorted numbers, from 0, of the lines to drop; only documents that have any."""
-    found = templates(docs, id_col, text_col)
-    often = recurring(found, min_docs).select(F.col("template").alias("often"), "first_doc")
-    hits = found.join(often, found.template == often.often).where("doc <> first_doc")
-    return hits.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    Summed up in the map tasks over rows that are distinct by document first, so a line in a third
+    of all documents does not meet in one task.
+    """
+    by_doc = keys.groupBy("whole", "doc", "head", "tail", "long").agg(F.lit(1).alias("one"))
+    return by_doc.groupBy("whole", "head", "tail", "long").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    r"""All rows and columns of ``docs``, with recurring lines dropped, and two columns more.
+def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
+    """``(whole, template, long)``: the generalised templates of the lines in leaves of several lines.
 
-    ``__n_lines`` counts the ``\n``-separated lines before, ``__dropped`` lists the dropped ones.
-    The text is unchanged, null included, where nothing is dropped. Rows with the same id are one
-    document: they keep or lose a line alike. Rows without an id keep all lines. Empty tables
-    give an empty result.
+    Positions are counted by leaf, place and token with map-side sums; a template is an
+    order-free hash of the tokens that stay with their places, so no leaf is ever collected.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_docs).select(F.col("doc").alias("__doc"), F.col("lines").alias("__dropped"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
-    lines = F.split(F.col(text_col), "\n")
+    paths = distinct.select("whole", "long", "n_docs", "first_doc", F.explode(F.array("head", "tail")).alias("leaf")).where("leaf IS NOT NULL")
+    mixed = paths.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= rules.generalised))
+    members = checkpointed(paths.join(mixed.select(F.col("leaf").alias("m")), F.col("leaf") == F.col("m"), "left_semi").select("whole", "long", "leaf", "first_doc"))
+    # The tokens come from the first document of each line: few documents, or a shuffle where they are many.
+    wanted = small(members.select(F.col("first_doc").alias("w")).distinct())
+    texts = docs.select(named(id_col).cast("long").alias("doc"), text_of(named(text_col)).alias("text")).join(wanted, F.col("doc") == F.col("w"), "left_semi")
+    words = texts.select(F.explode(F.transform(_lines(F.col("text")), lambda line: bind(tokens(line), lambda t: F.struct(F.xxhash64(F.size(t), t).alias("w"), t.alias("words"))))).alias("x")).select("x.*")
+    words = words.join(members.select(F.col("whole").alias("m")).distinct(), F.col("w") == F.col("m"), "left_semi").groupBy("w").agg(F.first("words").alias("words"))
+    placed = checkpointed(members.join(words, F.col("whole") == F.col("w")).select("whole", "long", "leaf", F.transform("words", lambda t: F.xxhash64(t)).alias("words")))
+    at = placed.select("whole", "long", "leaf", F.size("words").alias("n"), F.posexplode("words").alias("place", "token"))
+    kept = at.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("leaf").alias("l"), F.col("place").alias("p"), F.col("token").alias("t"))
+    stays = at.join(kept, (F.col("leaf") == F.col("l")) & (F.col("place") == F.col("p")) & (F.col("token") == F.col("t")))
+    shape = stays.groupBy("leaf", "whole", "long", "n").agg(F.count("*").alias("same"), F.bit_xor(F.xxhash64("place", "token")).alias("mark"))
+    return shape.where("same < n AND 3 * same >= 2 * n").select("whole", F.xxhash64("leaf", "same", "mark").alias("template"), "long")
+
+
+def recurring(docs: DataFrame, keys: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(whole, kept_in)``: lines of recurring templates with the smallest document that keeps one of them."""
+    distinct = checkpointed(distinct_lines(keys))
+    often = lambda most: F.col("n_docs") >= F.when(F.col("long"), F.lit(most)).otherwise(F.lit(max(most, rules.short)))
+    whole = distinct.where(often(rules.whole)).select("whole", F.col("first_doc").alias("kept_in"))
+    shapes = checkpointed(generalise(docs, distinct, rules, id_col, text_col))
+    inside = keys.select("doc", F.col("whole").alias("w")).join(shapes, F.col("w") == F.col("whole")).groupBy("template", "doc").agg(F.min("long").alias("long"))
+    counted = inside.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("kept_in"), F.min("long").alias("long")).where(often(rules.generalised))
+    by_shape = shapes.join(counted.select(F.col("template").alias("t"), "kept_in"), F.col("template") == F.col("t")).select("whole", "kept_in")
+    return whole.union(by_shape).groupBy("whole").agg(F.min("kept_in").alias("kept_in"))
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """``(doc, gone)``: sorted ``(line, kept_in)`` of the lines to drop, numbered from 0; only documents that have any."""
+    keys = line_keys(docs, rules, id_col, text_col)
+    often = recurring(docs, keys, rules, id_col, text_col).select(F.col("whole").alias("often"), "kept_in")
+    hits = keys.select("doc", "line", "whole").join(often, F.col("whole") == F.col("often")).where("doc > kept_in")
+    return hits.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("line", "kept_in"))).alias("gone"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    r"""All rows and columns of ``docs``, with recurring lines dropped, and one column more.
+
+    ``__gone`` (with further underscores if ``docs`` has that name) lists ``(line, kept_in)``: the
+    numbers, from 0, of the dropped ``\n``-separated lines and the document that keeps a line of the
+    template. The text is unchanged, null included, where nothing is dropped. Rows with the same id
+    are one document: they keep or lose a line alike. Of documents with a template the smallest id
+    keeps its lines, so there are no ties. Rows without an id keep all lines. Empty tables give an
+    empty result.
+    """
+    doc, gone = fresh(docs, "__doc", "__gone")
+    found = dropped_lines(docs, id_col, text_col, rules).toDF(doc, gone)
+    joined = docs.join(found, named(id_col).cast("long") == F.col(doc), "left")
 
     def kept(x: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__dropped"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform(gone, lambda g: g["line"]))
         return F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")
 
-    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(bind(lines, kept))
-    return joined.select(
-        *[F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns],
-        F.size(F.split(text_of(text_col), "\n")).alias("__n_lines"),
-        F.coalesce("__dropped", F.array().cast("array<int>")).alias("__dropped"),
-    )
+    text = F.when(F.col(gone).isNull(), named(text_col)).otherwise(bind(_lines(named(text_col)), kept))
+    none = F.array().cast("array<struct<line:int,kept_in:bigint>>")
+    return joined.select(*[named(c) if c != text_col else text.alias(text_col) for c in docs.columns], F.coalesce(gone, none).alias(gone))
+
+
+def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` without recurring lines, with the same columns; rows of which no word is left go.
+
+    Rows that lose no line stay as they are, those without a word included. ``length_col``, where the
+    table has it, counts the text that is left.
+    """
+    (gone,) = fresh(docs, "__gone")
+    done = dedup(docs, id_col, text_col, rules)
+    whole = F.size(gone) == 0
+    kept = done.where(whole | named(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    left = F.length(text_of(named(text_col)))
+    return kept.select(*[F.when(whole, named(c)).otherwise(left.cast(t)).alias(c) if c == length_col else named(c) for c, t in docs.dtypes])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Lines before, numbers of the dropped ones, length and checksum of the text that is left."""
+    """Lines left, numbers of the dropped ones and who keeps them, length and checksum of the text that is left."""
     done = dedup(docs.select("doc_id", "text"))
     text = text_of("text")
+    listed = lambda field: F.array_join(F.transform("__gone", lambda g: g[field].cast("string")), ",")
+    left = F.when(text == "", F.lit(0)).otherwise(F.size(_lines(text)))
     return done.select(
         "doc_id",
-        F.col("__n_lines").cast("long").alias("n_lines"),
-        F.size("__dropped").cast("long").alias("n_dropped"),
-        F.array_join(F.transform("__dropped", lambda i: i.cast("string")), ",").alias("dropped"),
+        left.cast("long").alias("n_left"),
+        F.size("__gone").cast("long").alias("n_dropped"),
+        listed("line").alias("dropped"),
+        listed("kept_in").alias("kept_in"),
         F.length(text).cast("long").alias("n_chars"),
         F.sha2(text, 256).alias("text_sha256"),
     )
 
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]*"
+_RULES = Rules()
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-x AS (SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(regexp_replace(l[i], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '{_SPACE}'), lambda w: w <> '') AS w
-      FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d)),
-y AS (SELECT doc_id, line, w, len(w) AS n, CAST(ceil((len(w) - {DEPTH}) / 3) AS BIGINT) AS third FROM x WHERE len(w) >= {MIN_TOKENS}),
-z AS (SELECT doc_id, line, w, n, [array_to_string(w[{DEPTH} + 1 + k * third : {DEPTH} + (k + 1) * third], ' ') for k in [0, 1, 2]] AS p FROM y),
-f AS (SELECT doc_id, line, '* ' || array_to_string(w, ' ') AS template FROM z
-      UNION ALL SELECT doc_id, line, k || ' ' || n || ' ' || array_to_string(w[1:{DEPTH}], ' ') || ' | ' || p[(k + 1) % 3 + 1] || ' | ' || p[(k + 2) % 3 + 1] FROM (SELECT *, unnest([0, 1, 2]) AS k FROM z WHERE n >= {MIN_VARIABLE})),
-r AS (SELECT template, min(doc_id) AS first_doc FROM f GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-g AS (SELECT doc_id, list(DISTINCT line ORDER BY line) AS gone FROM f JOIN r USING (template) WHERE doc_id <> first_doc GROUP BY doc_id),
-o AS (SELECT doc_id, l, coalesce(gone, []) AS gone, CASE WHEN gone IS NULL THEN t ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(gone, i)], chr(10)) END AS t FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_dropped, array_to_string(gone, ',') AS dropped, length(t) AS n_chars, sha256(t) AS text_sha256 FROM o
+x AS (SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(regexp_replace(l[i], '{_WORD}[0-9]{_WORD}', '<*>', 'g'), '{SPACE_RUN}'), lambda w: w <> '') AS w
+      FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d WHERE doc_id IS NOT NULL)),
+y AS (SELECT doc_id, line, w, len(w) AS n, least({DEPTH}, len(w) // 2) AS k, array_to_string(w, ' ') AS whole, length(array_to_string(w, '')) >= {_RULES.short_chars} AS long_ FROM x WHERE len(w) > 0),
+u AS (SELECT whole, any_value(w) AS w, any_value(n) AS n, any_value(k) AS k, any_value(long_) AS long_, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM y GROUP BY whole),
+p AS (SELECT *, 'h ' || n || ' ' || array_to_string(w[1:k], ' ') AS leaf FROM u WHERE n > 2 UNION ALL SELECT *, 't ' || n || ' ' || array_to_string(w[n - k + 1:n], ' ') FROM u WHERE n > 2),
+m AS (SELECT leaf FROM p GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {_RULES.generalised}),
+a AS (SELECT leaf, whole, long_, n, unnest(generate_series(1, n)) AS place, unnest(w) AS token FROM p WHERE leaf IN (SELECT leaf FROM m)),
+s AS (SELECT leaf, place, token FROM a GROUP BY ALL HAVING count(*) > 1),
+g AS (SELECT whole, long_, leaf || ' | ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS template FROM a JOIN s USING (leaf, place, token) GROUP BY leaf, whole, long_, n HAVING count(*) < n AND 3 * count(*) >= 2 * n),
+c AS (SELECT template, min(doc_id) AS kept_in FROM g JOIN y USING (whole) GROUP BY template HAVING count(DISTINCT doc_id) >= CASE WHEN bool_and(g.long_) THEN {_RULES.generalised} ELSE {max(_RULES.generalised, _RULES.short)} END),
+r AS (SELECT whole, min(kept_in) AS kept_in FROM (SELECT whole, first_doc AS kept_in FROM u WHERE docs >= CASE WHEN long_ THEN {_RULES.whole} ELSE {max(_RULES.whole, _RULES.short)} END UNION ALL SELECT whole, kept_in FROM g JOIN c USING (template)) GROUP BY whole),
+h AS (SELECT DISTINCT doc_id, line, kept_in FROM y JOIN r USING (whole) WHERE doc_id > kept_in),
+e AS (SELECT doc_id, list(line ORDER BY line, kept_in) AS gone, list(kept_in ORDER BY line, kept_in) AS keepers FROM h GROUP BY doc_id),
+o AS (SELECT doc_id, coalesce(gone, []) AS gone, coalesce(keepers, []) AS keepers, CASE WHEN gone IS NULL THEN t ELSE array_to_string([l[i + 1] for i in range(len(l)) if NOT list_contains(gone, i)], chr(10)) END AS t FROM d LEFT JOIN e USING (doc_id))
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS BIGINT) AS n_left, CAST(len(gone) AS BIGINT) AS n_dropped, array_to_string(gone, ',') AS dropped, array_to_string(keepers, ',') AS kept_in, length(t) AS n_chars, sha256(t) AS text_sha256 FROM o
 """

@@ -12,28 +12,64 @@ from terrane.llm import catalog, lines, quality, urls
 FIXED = "a line that many documents of the corpus have in common"
 
 
+def left(frame):
+    return {r["doc_id"]: r["text"] for r in frame.collect()}
+
+
 def test_recurring_lines_stay_once(spark):
     rows = [(i, f"own words number {'abcdefghij'[i]} start here now\n{FIXED}\nend") for i in range(6)]
     rows += [(20, FIXED), (21, None), (22, ""), (23, "short one\nshort one"), (24, f"{FIXED}\n{FIXED}")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, line int")
     got = {r["doc_id"]: r for r in lines.dedup(docs).collect()}
-    assert got[0]["text"] == rows[0][1] and got[0]["__dropped"] == []
-    assert all(got[i]["text"] == rows[i][1].replace(FIXED + "\n", "") for i in range(1, 6))
+    assert got[0]["text"] == rows[0][1] and got[0]["__gone"] == []
+    assert all(got[i]["text"] == rows[i][1].replace(FIXED + "\n", "") and [tuple(g) for g in got[i]["__gone"]] == [(1, 0)] for i in range(1, 6))
     assert got[20]["text"] == "" and got[24]["text"] == "" and got[21]["text"] is None and got[22]["text"] == "" and got[23]["text"] == "short one\nshort one"
     assert got[0]["line"] == 1
+    kept = lines.without_recurring(docs)
+    assert kept.columns == docs.columns and set(left(kept)) == {*range(6), 21, 22, 23}
+
+
+NAMES = ["anna", "bert", "carl", "dora"]
+
+
+def test_variable_fields_are_generalised(spark):
+    def make(k):
+        return [
+            f"order {100 + k} was shipped to {NAMES[k]} from our main store in the old town",
+            f"user {NAMES[k]} has logged in from {NAMES[-k - 1]}ville to the reading room of ours",  # two fields, one near the head
+            f"{NAMES[k]} has signed the guest book of the town hall today",  # a field before the trailing path
+            f"the guest book of the town hall was signed by {NAMES[k]}",
+            f"zugang gewährt von hauptverwaltung {NAMES[k]} heutemorgen",  # six tokens
+            f"the main reason is {' '.join(w + NAMES[k] for w in ('apple', 'pear', 'plum', 'fig', 'lime', 'kiwi'))}",  # a shared path alone is no template
+        ]
+
+    docs = spark.createDataFrame([(k, "\n".join(make(k))) for k in range(4)], "doc_id long, text string")
+    assert left(lines.dedup(docs)) == {0: "\n".join(make(0)), **{k: make(k)[-1] for k in (1, 2, 3)}}
+    # Two documents are not enough for a generalised template, unless nothing but digits differs.
+    assert left(lines.dedup(docs.where("doc_id < 2"))) == {k: "\n".join(make(k)) for k in (0, 1)}
+
+
+def test_lines_of_two_documents_recur_unless_short(spark):
+    docs = spark.createDataFrame([(1, FIXED), (2, FIXED), (2, FIXED), (None, FIXED)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup(docs).collect()) == [(0, FIXED), (1, FIXED), (2, ""), (2, "")]
+    short = spark.createDataFrame([(i, "All rights reserved.") for i in range(12)], "doc_id long, text string")
+    assert left(lines.dedup(short)) == {i: "All rights reserved." if i == 0 else "" for i in range(12)}
+    assert set(left(lines.dedup(short.where("doc_id < 9"))).values()) == {"All rights reserved."}
+    unspaced = "全ての文書に共通する一文がここにあり、空白を含まないが十分に長いので一行として数えられるものとする。"
+    assert left(lines.dedup(spark.createDataFrame([(5, unspaced), (7, unspaced)], "doc_id long, text string"))) == {5: unspaced, 7: ""}
+    assert lines.digest(docs.limit(0)).count() == 0
 
 
-def test_variable_fields_meet_in_a_template(spark):
-    make = lambda who, n: f"order {n} was shipped to {who} from our main store in the old town"
-    docs = spark.createDataFrame([(k, make(w, 100 + k)) for k, w in enumerate(["anna", "bert", "carl", "dora"])], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in lines.dedup(docs).collect()}
-    assert got[0] == make("anna", 100) and [got[k] for k in (1, 2, 3)] == ["", "", ""]
+def test_clashing_names(spark):
+    more = ["__doc", "__gone", "doc", "line", "gone", "whole", "kept_in", "w", "m", "a.b"]
+    docs = spark.createDataFrame([(i, FIXED, *range(len(more))) for i in (4, 9)], ["doc_id", "text", *more])
+    assert sorted(map(tuple, lines.without_recurring(docs).collect())) == [(4, FIXED, *range(len(more)))]
 
 
-def test_lines_of_two_documents_do_not_recur(spark):
-    docs = spark.createDataFrame([(1, FIXED), (2, FIXED), (2, FIXED)], "doc_id long, text string")
-    assert [r["text"] for r in lines.dedup(docs).collect()] == [FIXED] * 3
-    assert lines.digest(docs.limit(0)).count() == 0
+def test_long_texts(spark):
+    many = "\n".join(f"line {chr(97 + k % 26)}{'x' * (k % 97)} of a very long document that has a great many of them" for k in range(20000))
+    docs = spark.createDataFrame([(1, many), (2, "x" * 2_000_000), (3, "9" * 2_000_000 + "\n" + FIXED)], "doc_id long, text string")
+    assert left(lines.dedup(docs)) == {1: many, 2: "x" * 2_000_000, 3: "9" * 2_000_000 + "\n" + FIXED}
 
 
 TEXTS = [
