@@ -9,10 +9,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, lines, packing, quality, simhash
-from terrane.llm.expressions import text_of
 from terrane.session import checkpointed, table
 
 
@@ -26,10 +24,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     ``n_chars``, where the table has it, counts the text that is left.
     """
-    done = lines.dedup(docs)
-    kept = done.where((F.size("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.when(F.size("__dropped") == 0, F.col(c)).otherwise(F.length(text_of("text")).cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return kept.select(*columns)
+    return lines.without_recurring(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
