@@ -43,9 +43,9 @@ def test_stages(spark, tmp_path):
     good, lined, single, clean = seen
     assert set(good) == set(rows) - {33, 34}
     footer = "\nthe same footer line of some words for all documents here"
-    assert set(lined) == set(good)
+    assert set(lined) == set(good) - {30}  # a copy of document 3, of which no line is left
     assert lined[40]["text"] == rows[40] and all(lined[i]["text"] == rows[i].removesuffix(footer) and lined[i]["n_chars"] == len(lined[i]["text"]) for i in range(41, 45))
-    assert set(single) == set(lined) - {30, 31}
+    assert set(single) == set(lined) - {31}
     assert set(clean) == set(single) - {32}
     packed = pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in packed} == set(clean)
