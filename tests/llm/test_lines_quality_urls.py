@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import catalog, lines, quality, urls
 
@@ -129,11 +131,46 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels.limit(0)).count() == 0
 
 
-def test_bad_host_is_blocked_by_its_bound(spark):
-    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else f'h{i % 9}'}.test/x") for i in range(400)], "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if i < 40 else 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
-    blocked = {r["host"] for r in urls.judge(pages, labels).where("verdict = 'block'").collect()}
-    assert blocked == {"bad.test"}
+def planted_hosts():
+    """Labelled pages by host, and hosts of which some should be blocked: by themselves, their domain or their suffix."""
+    rows = [(f"h{i % 60}.site{i % 30}.test", i // 60 % 20 == 0) for i in range(3000)]
+    rows += [("bad.site1.test", True)] * 40 + [("one.site2.test", True)]
+    rows += [(f"w{i}.farm.test", True) for i in range(40) for _ in range(4)] + [("new.farm.test", None)]
+    rows += [(f"shop{i}.spam", True) for i in range(40) for _ in range(4)] + [("fresh.other.spam:8080", None), ("quiet.site3.test", None)]
+    return rows
+
+
+def test_hosts_are_blocked_by_host_domain_and_suffix_like_sql(spark, tmp_path):
+    rows = planted_hosts()
+    pages = spark.createDataFrame([(i, f"http://{h}/x", i) for i, (h, _) in enumerate(rows)], "page_id long, url string, poor int")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, None) for i, (_, bad) in enumerate(rows) if bad is not None], "doc_id long, quality int, toxic int")
+    for name, frame in (("pages", pages), ("labels", labels)):
+        frame.write.parquet(str(tmp_path / name))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = con.execute(f"SELECT page_id, verdict FROM ({urls.ORACLE})").fetchall()
+    got = sorted((r["page_id"], r["verdict"]) for r in urls.judge(pages, labels).collect())
+    assert got == sorted(want)
+    blocked = {rows[i][0] for i, verdict in got if verdict == "block"}
+    assert blocked == {"bad.site1.test", "new.farm.test", "fresh.other.spam:8080"} | {h for h, bad in rows if bad and h.endswith((".farm.test", ".spam"))}
+
+
+def test_posterior_probability_matches_a_plain_sum(spark):
+    rng = np.random.default_rng(4)
+    cases = [(0.3, 4.0), (1.0, 1.0), (40.5, 3.2), (1000.0, 1400.0), (5e5, 6e5), (0.52, 1.48)] + [tuple(rng.uniform(0.3, 60, 2)) for _ in range(20)]
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double")
+    for row in frame.select("a", "b", urls.exceeds(F.col("a"), F.col("b"), 0.45).alias("p")).collect():
+        y = np.linspace(np.log(row["a"] / row["b"]) - 200 / min(row["a"], 1), np.log(row["a"] / row["b"]) + 200 / min(row["b"], 1), 4_000_001) if row["a"] < 1000 else np.linspace(-0.5, 0.5, 4_000_001) + np.log(row["a"] / row["b"])
+        f = -row["a"] * np.logaddexp(0, -y) - row["b"] * np.logaddexp(0, y)
+        f = np.exp(f - f.max())
+        assert abs(row["p"] - f[y > np.log(0.45 / 0.55)].sum() / f.sum()) < 1e-4
+
+
+def test_levels_of_hosts(spark):
+    names = {"a.b.co.uk:81": ("b.co.uk", "co.uk"), "me@x.example.com.": ("example.com", "com"), "10.0.0.1": ("10.0.0.1", ""), "u.github.io": ("u.github.io", "github.io"), "test": ("test", "test"), "co.uk": ("co.uk", "co.uk")}
+    frame = spark.createDataFrame([(h,) for h in names], "h string").select("h", urls.domain_of(F.col("h")).alias("d"), urls.suffix_of(F.col("h")).alias("s"))
+    assert {r["h"]: (r["d"], r["s"]) for r in frame.collect()} == names
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
