@@ -20,13 +20,19 @@ from terrane.session import checkpointed
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of secret: matches of ``pattern`` whose group ``group`` has at least ``least`` characters."""
+    """A kind of secret: matches of ``pattern`` whose group ``group``, the value, has at least ``least`` characters.
+
+    Matches in which ``unless`` is found don't count; ``mixed`` asks for a letter, a digit and ten
+    different characters in the value, as random ones have.
+    """
 
     name: str
     pattern: str
     group: int
     least: int
     base: bool
+    unless: str = ""
+    mixed: bool = False
 
 
 #: Kinds in the order in which spans with the same start are listed.
@@ -38,14 +44,43 @@ KINDS = (
     Kind("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0, 40, False),
     Kind("url_login", r"(?<![a-z0-9+])[a-z][a-z0-9+]*+://[^\s/:@]++:([^\s/:@]++)@", 1, 6, False),
     Kind("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END", 0, 64, False),
+    Kind("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=-]+)", 1, 16, False, mixed=True),
+    # A quoted value of any other name: what tells it from a setting is that it looks random and that one owner has it.
+    Kind("quoted", r"""(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++["']?\x20*[:=]\x20*["']([A-Za-z0-9+/_.=-]+)["']""", 1, 20, False, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", True),
 )
-#: A value in at least this many owners' repositories is a copied example.
+DIFFERENT = 10
+#: A value of at least so many owners in so many repositories is a copied example; where a table has no
+#: column of repositories, each document counts as one.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 10
 
 
+def running_sums(steps: Column, chunk: int = 256) -> Column:
+    """The sums of the first one, two, … entries of an array of bigints.
+
+    An array can only grow by copying, so it is summed in chunks, and the chunks' totals on their
+    own: a text with a million matches costs some hundred copies an entry, not a million.
+    """
+    grow = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["sums"], F.array(a["at"] + x)).alias("sums"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+    sums = lambda places, value: F.aggregate(places, start, lambda a, i: grow(a, value(i)), lambda a: a["sums"])
+    n = F.size(steps)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(chunk)), lambda c: sums(F.sequence(c, F.least(c + chunk, n) - 1), lambda i: F.get(steps, i)))
+
+    def joined(found: Column) -> Column:
+        totals = F.transform(found, lambda x: F.get(x, F.size(x) - 1))
+        before = bind(totals, lambda t: sums(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i)))
+        return bind(before, lambda ends: F.flatten(F.transform(found, lambda x, k: F.transform(x, lambda v: v + F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(ends, k - 1))))))
+
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(bind(parts, joined))
+
+
+def _looks_random(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= DIFFERENT)
+
+
 def _matches(text: Column, kind: Kind, order: int) -> Column:
-    """Spans and values of one kind, as structs in text order.
+    """All matches of one kind with their values and the lengths of the text before each; null without any.
 
     Splitting at the pattern and extracting it walk the same matches, so the lengths of the parts
     in between give the positions. Runs of hexadecimal digits are everywhere in prose; as a run is
@@ -53,23 +88,38 @@ def _matches(text: Column, kind: Kind, order: int) -> Column:
     """
     pattern = f"[0-9a-f]{{{kind.least},}}" if kind.name == "hex" else kind.pattern
 
-    def placed(found: Column) -> Column:
-        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda p: F.length(p))
-        steps = F.zip_with(gaps, F.transform(found, lambda p: F.length(p)), lambda a, b: (a + b).cast("long"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends"))
-        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends"))
-        ends = F.aggregate(steps, start, step, lambda a: a["ends"])
+    def of(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda p: F.length(p)), F.lit(1), F.size(found))
         values = found if kind.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(kind.group))
-        rows = F.transform(F.arrays_zip(ends.alias("end"), found.alias("m"), values.alias("v")), lambda r: F.struct((r["end"] - F.length(r["m"])).cast("long").alias("start"), F.lit(order).alias("kind"), r["end"].alias("end"), r["v"].alias("value")))
-        return F.filter(rows, lambda r: F.length(r["value"]) >= kind.least)
+        return F.struct(F.lit(order).alias("kind"), found.alias("found"), values.alias("values"), gaps.alias("gaps"))
+
+    return F.when(text.rlike(pattern), bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of))
 
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    return F.when(text.rlike(pattern), bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
+
+def _counts(kinds: tuple[Kind, ...], kind: Column, match: Column, value: Column) -> Column:
+    """Whether a match is a candidate of its kind."""
+    chain = F
+    for k, x in enumerate(kinds):
+        test = F.length(value) >= x.least
+        if x.unless:
+            test &= ~match.rlike(x.unless)
+        if x.mixed:
+            test &= _looks_random(value)
+        chain = chain.when(kind == k, test)
+    return chain.otherwise(F.lit(False))
 
 
 def candidates(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
-    """All candidates of a text, sorted by start and kind."""
-    return F.sort_array(F.concat(*[_matches(text, kind, k) for k, kind in enumerate(kinds)]))
+    """All candidates ``(start, kind, end, value)`` of a text, sorted by start and kind."""
+
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(x["gaps"], x["found"], lambda gap, m: (gap + F.length(m)).cast("long"))
+        rows = F.arrays_zip(bind(steps, lambda s: running_sums(s)).alias("end"), x["found"].alias("m"), x["values"].alias("v"))
+        good = F.filter(rows, lambda r: _counts(kinds, x["kind"], r["m"], r["v"]))
+        return F.transform(good, lambda r: F.struct((r["end"] - F.length(r["m"])).cast("long").alias("start"), x["kind"].alias("kind"), r["end"].alias("end"), r["v"].alias("value")))
+
+    found = F.array_compact(F.array(*[_matches(text, kind, k) for k, kind in enumerate(kinds)]))
+    return F.sort_array(F.flatten(F.transform(found, placed)))
 
 
 def _names(kinds: tuple[Kind, ...]) -> Column:
@@ -146,6 +196,8 @@ _DUCK = {
     "web_token": r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)",
     "url_login": r"(?:^|[^a-z0-9+])([a-z][a-z0-9+]*://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@)",
     "private_key": "(-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END)",
+    "bearer": r"((?i:bearer)\x20+([A-Za-z0-9+/_.=-]+))",
+    "quoted": r"""(?:^|[^A-Za-z0-9_-])([A-Za-z0-9_-]+["']?\x20*[:=]\x20*["']([A-Za-z0-9+/_.=-]+)["'])""",
 }
 
 
@@ -153,16 +205,18 @@ def _duck_kind(order: int, kind: Kind) -> str:
     """Rows of one kind: the whole match, the span's text and the value of each match, numbered."""
     pattern = _DUCK[kind.name].replace("'", "''")
     text = {"assign": 0}.get(kind.name, 1)
-    value = {"url_login": 2}.get(kind.name, 1)
-    return f"""SELECT doc_id, row_, {order} AS kind, '{kind.name}' AS name, {kind.least} AS least, {str(kind.base).lower()} AS base, unnest(generate_series(1, len(m))) AS i, unnest(m) AS whole, unnest(s) AS span, unnest(v) AS value, unnest(p[:len(m)]) AS gap
-    FROM (SELECT doc_id, row_, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {text}) AS s, regexp_extract_all(t, '{pattern}', {value}) AS v, regexp_split_to_array(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}'))"""
+    value = {"url_login": 2, "bearer": 2, "quoted": 2}.get(kind.name, 1)
+    unless = f"NOT regexp_matches(whole, '{kind.unless.replace("'", "''")}')" if kind.unless else "true"
+    mixed = f"regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {DIFFERENT}" if kind.mixed else "true"
+    return f"""SELECT *, {unless} AND {mixed} AS good FROM (SELECT doc_id, row_, {order} AS kind, '{kind.name}' AS name, {kind.least} AS least, {str(kind.base).lower()} AS base, unnest(generate_series(1, len(m))) AS i, unnest(m) AS whole, unnest(s) AS span, unnest(v) AS value, unnest(p[:len(m)]) AS gap
+    FROM (SELECT doc_id, row_, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {text}) AS s, regexp_extract_all(t, '{pattern}', {value}) AS v, regexp_split_to_array(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}')))"""
 
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row_, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
 k AS ({" UNION ALL ".join(_duck_kind(k, kind) for k, kind in enumerate(KINDS))}),
 e AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY row_, kind ORDER BY i) AS e FROM k),
-c AS (SELECT row_, doc_id, kind, name, base, CAST(e - length(span) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(value) AS h FROM e WHERE length(value) >= least),
+c AS (SELECT row_, doc_id, kind, name, base, CAST(e - length(span) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(value) AS h FROM e WHERE length(value) >= least AND good),
 o AS (SELECT h, NOT (count(DISTINCT owner) >= {EXAMPLE_OWNERS} AND count(DISTINCT (owner, c.doc_id)) >= {EXAMPLE_REPOSITORIES}) AS live FROM c JOIN d USING (row_) GROUP BY h),
 g AS (SELECT row_, count(*) FILTER (WHERE name = 'assign') AS n_assign, count(*) FILTER (WHERE name = 'access') AS n_access, count(*) FILTER (WHERE name = 'hex') AS n_hex,
       string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE base) AS b, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE base OR live) AS a, count(*) FILTER (WHERE live) AS n_live FROM c JOIN o USING (h) GROUP BY row_)
