@@ -1,18 +1,20 @@
 """Quality rules: a short-circuit cascade ordered by rejections per second (DataFrame functions only).
 
-Every rule is one Boolean column over a text; a document is rejected if any rule rejects it.
-The order of the rules never changes the verdict, only what it costs: ``order_rules`` measures
-each rule's cost and selectivity on a bounded sample and puts the rule first that rejects most
-per second; ``rejection`` then builds one CASE expression whose later branches are not
-evaluated for rows that an earlier branch has rejected.
+Every rule is one Boolean column over a text and its words; a document is rejected if any rule
+rejects it. The order of the rules never changes the verdict, only what it costs: ``order_rules``
+measures each rule's cost and selectivity on a bounded sample and puts first the rule that rejects
+most per second, then the one that rejects most of what is left, and so on; ``cascade`` builds one
+CASE expression whose later branches are not evaluated for rows that an earlier one has rejected.
 """
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,106 +86,143 @@ def letters(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A name and the column that is true for a text which the rule rejects (never null)."""
+    """A name and the column that is true for a text and its words which the rule rejects (never null)."""
 
     name: str
-    rejects: Callable[[Column], Column]
-
-
-def n_words(text: Column) -> Column:
-    return F.size(words_of(text))
+    rejects: Callable[[Column, Column], Column]
 
 
 #: A text without words, or with fewer than 50, says too little.
-TOO_SHORT = Rule("too_short", lambda t: n_words(t) < 50)
+TOO_SHORT = Rule("too_short", lambda t, w: F.size(w) < 50)
 #: More than half of the words lie in windows that the text repeats.
-REPETITIVE = Rule("repetitive", lambda t: bind(words_of(t), lambda w: 100 * repeated_words(w) > 50 * F.size(w)))
+REPETITIVE = Rule("repetitive", lambda t, w: 100 * repeated_words(w) > 50 * F.size(w))
 #: More than one symbol for ten words: mark-up, tables or noise rather than prose.
-SYMBOL_NOISE = Rule("symbol_noise", lambda t: 10 * symbols(t) > n_words(t))
+SYMBOL_NOISE = Rule("symbol_noise", lambda t, w: 10 * symbols(t) > F.size(w))
 #: More than one exclamation mark for ten words.
-EXCLAIMING = Rule("exclaiming", lambda t: 10 * F.length(F.regexp_replace(t, "[^!]+", "")) > n_words(t))
+EXCLAIMING = Rule("exclaiming", lambda t, w: 10 * F.length(F.regexp_replace(t, "[^!]+", "")) > F.size(w))
 #: More than four capitals in ten letters.
-SHOUTING = Rule("shouting", lambda t: 10 * capital_letters(t) > 4 * letters(t))
+SHOUTING = Rule("shouting", lambda t, w: 10 * capital_letters(t) > 4 * letters(t))
 #: At least five lines, more than four in ten of them repeated.
-SAME_LINES = Rule("same_lines", lambda t: bind(lines_with_words(t), lambda x: (F.size(x) >= 5) & (10 * (F.size(x) - F.size(F.array_distinct(x))) > 4 * F.size(x))))
+SAME_LINES = Rule("same_lines", lambda t, w: bind(lines_with_words(t), lambda x: (F.size(x) >= 5) & (10 * (F.size(x) - F.size(F.array_distinct(x))) > 4 * F.size(x))))
 #: Words of less than two or more than twelve and a half code points on average.
-ODD_WORDS = Rule("odd_words", lambda t: bind(words_of(t), lambda w: bind(F.length(F.array_join(w, "")), lambda n: (n < 2 * F.size(w)) | (2 * n > 25 * F.size(w)))))
+ODD_WORDS = Rule("odd_words", lambda t, w: bind(F.length(F.array_join(w, "")), lambda n: (n < 2 * F.size(w)) | (2 * n > 25 * F.size(w))))
 
 BASE_RULES = (TOO_SHORT, REPETITIVE)
 RULES = (*BASE_RULES, SYMBOL_NOISE, EXCLAIMING, SHOUTING, SAME_LINES, ODD_WORDS)
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = 500, longest: int = 100_000, seed: int = 7) -> tuple[Rule, ...]:
-    """The rules by rejections per second, most first.
+def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = 500, longest: int = 100_000, files: int = 8, seed: int = 7) -> list[str]:
+    """At most ``rows`` texts of at most ``longest`` characters, at random from ``files`` random files of the table.
 
-    ``sample_rows`` bounds the sample: rows of a random twentieth of the table's first partitions, as
-    many of them as it takes, so the rest of the table is not read; a small table counts whole. Texts
-    of more than ``longest`` characters are left out of the sample, so its size is bounded. Each rule
-    is timed twice over the sample, after a run without any rule whose time is taken off; the lower
-    time counts. Ties keep the given order. An empty table keeps the given order too.
+    So a sorted table does not show its head only. The other files are not read. A table that is not
+    a plain scan of files gives rows of its first partitions.
     """
-    spark = docs.sparkSession
     texts = docs.select(text_of(text_col).alias("t")).where(F.length("t") <= longest)
-    rows = texts.sample(0.05, seed).take(sample_rows)
-    if len(rows) < sample_rows // 5:
-        rows = texts.take(sample_rows)
-    if not rows:
+    paths = sorted(docs.inputFiles())
+    if len(paths) > files:
+        try:
+            chosen = [path.rsplit("/", 1)[-1] for path in random.Random(seed).sample(paths, files)]
+            few = docs.where(F.col("_metadata.file_name").isin(chosen))
+            texts = few.select(text_of(text_col).alias("t")).where(F.length("t") <= longest)
+        except AnalysisException:  # the rows of these files have been through other operators
+            pass
+    n = texts.count() if paths else 0
+    found = [r[0] for r in (texts.sample(min(1.0, 1.5 * rows / n), seed) if n else texts).take(rows)]
+    return found or [r[0] for r in docs.select(text_of(text_col).alias("t")).where(F.length("t") <= longest).take(rows)]
+
+
+def greedy_order(rejects: list[tuple[bool, ...]], costs: list[float]) -> list[int]:
+    """Numbers of the rules: each next one rejects most, for its cost, of what the rules before it leave; ties as given."""
+    left, order, rest = rejects, [], list(range(len(costs)))
+    while rest:
+        best = max(rest, key=lambda k: (sum(row[k] for row in left) / costs[k], -k))
+        order.append(best)
+        rest.remove(best)
+        left = [row for row in left if not row[best]]
+    return order
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", rows: int = 500, repeat: int = 4) -> tuple[Rule, ...]:
+    """The rules by rejections per second among the texts that the rules before them leave.
+
+    Costs and rejections are measured on a sample of at most ``rows`` texts. Each rule is timed twice over
+    the sample, taken ``repeat`` times so that the work stands out from what a job costs anyway; the
+    lower time counts, less that of a job that only splits the words, and at least a twentieth of
+    it. An empty table keeps the given order.
+    """
+    spark = docs.sparkSession
+    texts = sample_texts(docs, text_col, rows)
+    if not texts:
         return rules
-    sample = spark.createDataFrame(rows, "t string").coalesce(1)
+    # One partition, and no rule can be folded into a constant.
+    sample = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    many = sample.select("t", F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("k"))
 
-    def timed(column: Column) -> tuple[float, int]:
-        best, hits = float("inf"), 0
+    def timed(test: Callable[[Column, Column], Column]) -> float:
+        best = float("inf")
         for _ in range(2):
             began = time.perf_counter()
-            hits = sample.agg(F.count_if(column)).first()[0]
+            many.agg(F.count_if(with_words(F.col("t"), lambda w: test(F.col("t"), w)))).first()
             best = min(best, time.perf_counter() - began)
-        return best, hits
+        return best
 
-    base, _ = timed(F.length("t") < 0)
-    worth = {}
-    for rule in rules:
-        seconds, hits = timed(rule.rejects(F.col("t")))
-        worth[rule.name] = hits / max(seconds - base, 1e-3)
-    return tuple(sorted(rules, key=lambda rule: -worth[rule.name]))
+    base = timed(lambda t, w: F.size(w) < 0)
+    costs = [max(timed(rule.rejects) - base, base / 20) for rule in rules]
+    answers = with_words(F.col("t"), lambda w: F.array(*[rule.rejects(F.col("t"), w) for rule in rules]))
+    rejects = [tuple(row[0]) for row in sample.select(answers).collect()]
+    return tuple(rules[k] for k in greedy_order(rejects, costs))
 
 
-def rejection(rules: tuple[Rule, ...], text: Column) -> Column:
+def with_words(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over the words of the text, which are split once for all rules."""
+    return bind(words_of(text), body)
+
+
+def cascade(rules: tuple[Rule, ...], text: Column, words: Column) -> Column:
     """True if any rule rejects the text; rules after the first that rejects it are not evaluated."""
     chain = F
     for rule in rules:
-        chain = chain.when(rule.rejects(text), F.lit(True))
+        chain = chain.when(rule.rejects(text, words), F.lit(True))
     return chain.otherwise(F.lit(False)) if rules else F.lit(False)
 
 
+def rejection(rules: tuple[Rule, ...], text: Column) -> Column:
+    """The cascade over a text."""
+    return with_words(text, lambda w: cascade(rules, text, w))
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each document: its counts, whether a base rule rejects it, and the verdict.
 
-    Null text is an empty one (no words, rejected). Repeated rows are judged one by one, columns
-    other than the id and the text do not matter, an empty table gives an empty result.
+    The counts are wanted for every document, so the base rules, which are comparisons of counts,
+    come first in the cascade; the others run, in the order measured, for what these leave. Null
+    text is an empty one (no words, rejected). Repeated rows are judged one by one, columns other
+    than the id and the text do not matter, an empty table gives an empty result.
     """
-    rest = tuple(rule for rule in order_rules(docs, rules, text_col) if rule not in BASE_RULES)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
-    text = F.col("__text")
-    counted = texts.select(
-        "doc_id",
-        bind(
-            words_of(text),
-            lambda w: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-                symbols(text).alias("n_symbols"),
-                duplicate_lines(text).alias("n_dup_lines"),
-                repeated_words(w).alias("n_repeat_words"),
-            ),
-        ).alias("__m"),
-        rejection(rest, text).alias("__rejected"),
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("doc_id", "__m.*", "__rejected").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("__rejected")).alias("kept"))
+    rest = order_rules(docs, tuple(rule for rule in rules if rule not in BASE_RULES), text_col)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t"))
+    text = F.col("t")
+
+    def counts(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            symbols(text).alias("n_symbols"),
+            duplicate_lines(text).alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+        )
+
+    def judged(w: Column) -> Column:
+        failed = lambda m: (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        verdict = lambda m: F.when(failed(m), F.lit(False)).otherwise(~cascade(rest, text, w))
+        return bind(counts(w), lambda m: F.struct(*[m[c].alias(c) for c in fields], failed(m).alias("base_failed"), verdict(m).alias("kept")))
+
+    return texts.select("doc_id", with_words(text, judged).alias("m")).select("doc_id", "m.*")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, with all their columns; cheap, selective rules are tried first."""
+    """The rows that no rule rejects, with all their columns; of the rules those that reject most for their cost come first."""
     return docs.where(~rejection(order_rules(docs, rules, text_col), text_of(text_col)))
 
 

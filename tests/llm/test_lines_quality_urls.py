@@ -100,6 +100,25 @@ def test_filter_keeps_what_no_rule_rejects(spark):
         assert docs.where(~quality.rejection(order, quality.text_of("text"))).count() == len(kept)
 
 
+def test_greedy_order_is_by_what_is_left():
+    rejects = [(True, True, False)] * 6 + [(False, False, True)] * 2 + [(False, False, False)] * 4
+    assert quality.greedy_order(rejects, [1.0, 1.1, 1.0]) == [0, 2, 1]
+    assert quality.greedy_order(rejects, [10.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.greedy_order([], [1.0, 1.0]) == [0, 1]
+
+
+def test_sample_is_not_the_head_of_a_table(spark, tmp_path):
+    frame = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id) AS text", "1 AS t")
+    frame.repartitionByRange(20, "doc_id").write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    for docs in (table, table.where("doc_id >= 0"), spark.createDataFrame(table.limit(900).collect())):
+        texts = quality.sample_texts(docs, rows=100)
+        assert 50 <= len(texts) <= 100
+    ids = [int(x[1:]) for x in quality.sample_texts(table, rows=100)]
+    assert max(ids) - min(ids) > 1500
+    assert quality.sample_texts(table.limit(0)) == []
+
+
 def test_rule_order_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert {r.name for r in quality.order_rules(docs)} == {r.name for r in quality.RULES}
