@@ -1,12 +1,13 @@
 """HTML extraction by line-block distribution.
 
-A page is stripped to its text blocks, one a line, in page order. Lines inside elements that are
-never part of an article (menus, headers, footers, adverts, forms, comments and the like, by
-element, role, class or id) and, where the page marks its article, lines outside of it weigh
-nothing; a line's weight is else its text length without the part in links. Sums of weights over
-sliding windows of lines surge where the main text begins and dive where it ends; every line
-between a surge and its dive is kept, but for those that lie in such an element, and so are the
-lines of weight in the element that contains the kept blocks.
+A page is stripped to its text blocks, one a line, in page order. Every line has a weight: its
+text length without the part in links, times what the mark-up says about it. Lines inside an
+element that marks the article weigh more, the others of such a page less; lines inside elements
+that are no part of an article (menus, headers, footers, forms and the like, by element, role,
+class or id) weigh nothing, but a class or id that only contains such a word ("social-science")
+is overruled where its element holds most of the page's text. Sums of weights over sliding
+windows of lines surge where the main text begins and dive where it ends; lines of weight between
+a surge and its dive are kept, and so are those elsewhere in the element that contains them.
 """
 
 from __future__ import annotations
@@ -23,8 +24,14 @@ from pyspark.sql import functions as F
 
 #: Lines of a window.
 WINDOW = 3
-#: Summed weight at which a window counts as text on a page that does not mark its article.
+#: Summed weight at which a window counts as text.
 SURGE = 80
+#: Weight of a character inside an element that marks the article, in a link there, and outside on a page with such a mark.
+MARKED, MARKED_LINK, UNMARKED = 8.0, 0.8, 0.25
+#: Lines in a row that are links only and make a menu.
+LINK_RUN = 3
+#: Share of the page's text from which an element overrules a class that only contains a word of ``NAMES``.
+OVERRULED = 0.5
 
 #: Elements whose content is no text.
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "textarea", "title", "head")
@@ -42,6 +49,11 @@ NAMES = (
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall",
     "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "discussion", "feedback", "responses", "adsbygoogle", "advertorial", "rail", "replies", "reply", "respond", "form", "search", "searchbox", "skip", "hidden",
 )
+#: Words that may stand beside those in a class without making it mean anything else.
+GLUE = (
+    "area", "bar", "block", "bottom", "box", "col", "column", "container", "global", "group", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "my",
+    "outer", "page", "panel", "primary", "reader", "right", "row", "secondary", "section", "site", "slot", "text", "the", "title", "top", "unit", "user", "wrap", "wrapper",
+)
 #: Words that make a class with "header" that of the article's own heading.
 OWN_HEADER = ("article", "entry", "post", "story", "content")
 #: Elements that mark the article.
@@ -64,7 +76,8 @@ TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
-_RAW, _ASIDE, _ROLES, _NAMES, _MARKS, _BLOCKS, _VOID = map(frozenset, (RAW, ASIDE, ROLES, NAMES, MARKS, BLOCKS, VOID))
+_ASIDE, _ROLES, _NAMES, _GLUE, _MARKS, _BLOCKS, _VOID = map(frozenset, (ASIDE, ROLES, NAMES, GLUE, MARKS, BLOCKS, VOID))
+_ENDED = frozenset((*SCOPES, *(x for names in IMPLIED.values() for x in names)))
 ENDS = {name: re.compile(rf"</{name}\s*(?:>|\Z)|\Z", re.I) for name in RAW if name != "head"}
 
 
@@ -74,40 +87,61 @@ class Block:
     parent: Block | None
 
 
+@dataclass(eq=False)
+class Doubt:
+    """An element whose class or id only contains a word of ``NAMES``, inside another one or none."""
+
+    parent: Doubt | None
+    chars: int = 0
+    holds: bool = True
+
+
 @dataclass
 class Line:
+    """A text block: characters in links, whether it is surely no part of an article, doubts, article mark, element."""
+
     text: str
     linked: int
     outside: bool
-    marked: bool
+    doubt: Doubt | None
+    mark: Block | None
     block: Block
 
 
-def _is_aside(name: str, attrs: str) -> bool:
-    if name in _ASIDE:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
-    for key, value in ATTR.findall(attrs):
-        key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
-        if key in ("class", "id"):
-            for words in map(WORDS.findall, value.split()):
-                if any(w in _NAMES and not (w == "header" and any(x in OWN_HEADER for x in words)) for w in words):
-                    return True
-        if key == "role" and value in _ROLES or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+NOTHING, DOUBTFUL, SURE = range(3)
+
+
+def aside_evidence(name: str, attrs: str, in_article: bool) -> int:
+    """What tag, role, class and id say: nothing, a doubt, or that the element is surely no part of an article."""
+    words_of = lambda value: [WORDS.findall(x) for x in value.split()]
+    given = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in ATTR.findall(attrs)} if attrs.strip() else {}
+    own = {w for words in words_of(given.get("class", "") + " " + given.get("id", "")) for w in words}
+    if name in _ASIDE and not (name == "header" and in_article and (not given or own & set(OWN_HEADER))):
+        return SURE
+    if name in ("html", "body", "article", "main"):
+        return NOTHING
+    if given.get("role") in _ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
+        return SURE
+    found = NOTHING
+    for key in ("class", "id"):
+        for words in words_of(given.get(key, "")):
+            hits = [w for w in words if w in _NAMES and not (w == "header" and any(x in OWN_HEADER for x in words))]
+            if hits:
+                found = max(found, SURE if all(w in _NAMES or w in _GLUE or w.isdigit() for w in words) else DOUBTFUL)
+    return found
 
 
 def lines_of(page: str) -> list[Line]:
-    """The text blocks of a page in order; white space inside a block is one space."""
+    """The text blocks of a page in order; white space inside a block is one space. Linear in the page."""
     found: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether it is aside, marks the article, is a link
-    aside = marked = link = 0
+    stack: list[tuple[str, bool, Doubt | None, Block | None, bool]] = []  # name, surely aside, doubt, mark, link
+    blocks: list[int] = []  # places of blocks in the stack, and of elements with implied ends and their scopes
+    ended: list[int] = []
+    aside = link = 0
     opened: Counter[str] = Counter()
-    block = Block("html", None)
+    block, doubt, mark = Block("html", None), None, None
     unclosed: set[str] = set()  # names without an end tag in the rest of the page
 
     def flush() -> None:
@@ -115,7 +149,7 @@ def lines_of(page: str) -> list[Line]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                found.append(Line(text, linked, aside > 0, marked > 0, block))
+                found.append(Line(text, linked, aside > 0, doubt, mark, block))
             parts.clear()
         linked = 0
 
@@ -128,13 +162,22 @@ def lines_of(page: str) -> list[Line]:
                 linked += len(text)
 
     def close() -> None:
-        nonlocal aside, marked, link, block
-        name, a, m, x = stack.pop()
+        nonlocal aside, doubt, mark, link, block
+        name, sure, own_doubt, own_mark, is_link = stack.pop()
         opened[name] -= 1
         if name in _BLOCKS:
             flush()
             block = block.parent
-        aside, marked, link = aside - a, marked - m, link - x
+            blocks.pop()
+        if name in _ENDED:
+            ended.pop()
+        aside, link = aside - sure, link - is_link
+        doubt = own_doubt.parent if own_doubt else doubt
+        mark = None if own_mark else mark
+
+    def close_to(k: int) -> None:
+        while len(stack) > k:
+            close()
 
     at, end = 0, len(page)
     while at < end:
@@ -174,44 +217,126 @@ def lines_of(page: str) -> list[Line]:
         if name in _BLOCKS:
             flush()
             if name in IMPLIED:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in reversed(ended):
                     if stack[k][0] in IMPLIED[name]:
-                        while len(stack) > k:
-                            close()
+                        close_to(k)
                         break
                     if stack[k][0] in SCOPES:
                         break
             elif name == "body" and opened["head"]:
-                while stack[-1][0] != "head":
+                while opened["head"]:
                     close()
-                close()
             # A block ends an open paragraph and the inline elements in it.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
+            if blocks and stack[blocks[-1]][0] == "p":
+                close_to(blocks[-1])
         if name in _VOID:
             continue
-        aside_here = _is_aside(name, tag["attrs"]) and not (name == "header" and opened["article"] and not tag["attrs"].strip())
-        a, m, x = name == "head" or aside_here, name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"], name == "a"
-        stack.append((name, a, m, x))
+        evidence = aside_evidence(name, tag["attrs"], opened["article"] > 0)
+        sure = name == "head" or evidence == SURE
+        own_doubt = Doubt(doubt) if evidence == DOUBTFUL else None
         if name in _BLOCKS:
             block = Block(name, block)
+            blocks.append(len(stack))
+        if name in _ENDED:
+            ended.append(len(stack))
+        marks = name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"]
+        own_mark = block if marks and mark is None else None
+        stack.append((name, sure, own_doubt, own_mark, name == "a"))
         opened[name] += 1
-        aside, marked, link = aside + a, marked + m, link + x
+        aside, link, doubt, mark = aside + sure, link + (name == "a"), own_doubt or doubt, own_mark or mark
     flush()
     return found
 
 
+def _settle_doubts(lines: list[Line]) -> None:
+    """Mark the lines in doubtful elements as outside, unless the element holds most of the page's text."""
+    total = 0
+    for x in lines:
+        if not x.outside:
+            total += len(x.text) - x.linked
+            if x.doubt:
+                x.doubt.chars += len(x.text) - x.linked
+    seen: set[Doubt] = set()
+    for x in lines:
+        d = x.doubt
+        while d is not None and d not in seen:
+            seen.add(d)
+            d = d.parent
+    # Inner elements first: their texts belong to the outer ones too.
+    depth: dict[Doubt, int] = {}
+    for d in seen:
+        path = []
+        while d is not None and d not in depth:
+            path.append(d)
+            d = d.parent
+        k = depth[d] if d is not None else -1
+        for y in reversed(path):
+            k += 1
+            depth[y] = k
+    chain = sorted(seen, key=depth.__getitem__, reverse=True)
+    for d in chain:
+        if d.parent is not None:
+            d.parent.chars += d.chars
+    for d in reversed(chain):
+        d.holds = d.chars < OVERRULED * total or (d.parent is not None and d.parent.holds)
+    for x in lines:
+        x.outside = x.outside or (x.doubt is not None and x.doubt.holds)
+
+
+def line_weights(lines: list[Line]) -> list[float]:
+    """The weight of each line: its characters outside of links times what the mark-up says."""
+    has_mark = any(x.mark and not x.outside for x in lines)
+
+    def weight(x: Line) -> float:
+        own = max(0, len(x.text) - x.linked)
+        if x.outside:
+            return 0.0
+        if x.mark:
+            return MARKED * own + MARKED_LINK * min(x.linked, len(x.text))
+        return own * (UNMARKED if has_mark else 1.0)
+
+    return [weight(x) for x in lines]
+
+
+def stretches(weights: list[float], parts: list[object], window: int = WINDOW, surge: float = SURGE) -> list[bool]:
+    """Whether each line lies between a surge and the next dive.
+
+    A surge is a window whose sum reaches ``surge``, or the largest sum of a page without such a
+    window; the dive is the next window without any weight. From the surge the stretch goes back
+    over lines of weight. Windows do not reach from one part (a run of equal ``parts``) into another.
+    """
+    n, kept = len(weights), [False] * len(weights)
+    ends, sums = [0] * n, [0.0] * n
+    for k in range(n - 1, -1, -1):
+        ends[k] = ends[k + 1] if k + 1 < n and parts[k + 1] == parts[k] else k + 1
+        sums[k] = sum(weights[k : min(k + window, ends[k])])
+    surge = min(surge, max(sums, default=0.0)) or 1.0
+    k = begin = 0
+    while k < n:
+        if k and parts[k] != parts[k - 1]:
+            begin = k
+        if sums[k] < surge:
+            k += 1
+            continue
+        first, last = k, k
+        while not weights[first]:
+            first += 1
+        while first > begin and not kept[first - 1] and weights[first - 1]:
+            first -= 1
+        while last < ends[k] and sums[last]:
+            last += 1
+        for i in range(first, last):
+            kept[i] = True
+        k = max(last, k + 1)
+    return kept
+
+
 def _in_containers(lines: list[Line], kept: list[bool]) -> list[bool]:
     """Whether each line shares a container with a kept one: anywhere below it, or as its own block where that is the page."""
     containers = set()
     for x, keep in zip(lines, kept, strict=True):
-        if keep and not x.outside:
-            containers.add(x.block.parent or x.block)
+        if keep:
+            containers.add(x.mark or x.block.parent or x.block)
             if x.block.name not in TEXT_BLOCKS:
                 containers.add(x.block)
     inside: dict[Block, bool] = {}
@@ -229,43 +354,26 @@ def _in_containers(lines: list[Line], kept: list[bool]) -> list[bool]:
     return [x.block in containers or x.block.parent in containers or below(x.block) for x in lines]
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The main text: kept blocks in page order, joined by an empty line; empty if there is none.
 
-    Where the page marks its article, any weight is a surge and no weight a dive, so short blocks
-    at the edges stay; else a window must reach ``surge``, or the largest sum of a page without
-    such a window, to begin a stretch of text, which goes back to its first line of weight and on
-    to the window without any; lines of weight elsewhere in the container of such text are kept too.
+    Kept are the lines of a stretch that are not outside, but for menus (several lines in a row of
+    links only, without an article mark), and lines of weight that share a container with them.
     """
     lines = lines_of(page or "")
-    has_mark = any(x.marked and not x.outside for x in lines)
-    weights = [0 if x.outside or (has_mark and not x.marked) else max(0, len(x.text) - x.linked) for x in lines]
-    if has_mark:
-        # Blocks of the article that are links only belong to it all the same.
-        weights = [max(w, 1) if x.marked and not x.outside else 0 for w, x in zip(weights, lines, strict=True)]
-        window, surge = 1, 1
-    n, kept = len(lines), [False] * len(lines)
-    sums = [sum(weights[k : k + window]) for k in range(n)]
-    surge = min(surge, max(sums, default=0)) or 1
-    k = 0
-    while k < n:
-        if sums[k] < surge:
-            k += 1
-            continue
-        first = k
-        while first < n and not weights[first]:
-            first += 1
-        while first and not kept[first - 1] and weights[first - 1]:
-            first -= 1
-        last = k
-        while last < n and sums[last]:
-            last += 1
-        for i in range(first, last):
-            kept[i] = weights[i] > 0 or not (has_mark or lines[i].outside)
-        k = max(last, k + 1)
-    if not has_mark:
-        near = _in_containers(lines, [keep and w > 0 for keep, w in zip(kept, weights, strict=True)])
-        kept = [keep or (w > 0 and c) for keep, w, c in zip(kept, weights, near, strict=True)]
+    _settle_doubts(lines)
+    weights = line_weights(lines)
+    found = stretches(weights, [x.mark for x in lines], window, surge)
+    solid = [keep and w > 0 for keep, w in zip(found, weights, strict=True)]
+    near = _in_containers(lines, solid)
+    run, menus = 0, [False] * len(lines)
+    for k, (x, w) in enumerate(zip(lines, weights, strict=True)):
+        run = run + 1 if not w and not x.outside else 0
+        if run >= LINK_RUN:
+            menus[k] = True
+        if run == LINK_RUN:
+            menus[k - run + 1 : k] = [True] * (run - 1)
+    kept = [(keep and not x.outside and not menu) or (w > 0 and c) for x, keep, menu, w, c in zip(lines, found, menus, weights, near, strict=True)]
     return "\n\n".join(x.text for x, keep in zip(lines, kept, strict=True) if keep)
 
 

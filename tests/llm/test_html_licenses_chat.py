@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import os
+import time
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -187,3 +190,77 @@ def test_unclosed_elements_do_not_swallow_the_page(name):
     assert html.main_text(f"<article><p>one<{name}></p><p>two</p></article>") == "one\n\ntwo"
     assert html.main_text(f"<article><p>one</p><{name}>x</{name}><p>two</p></article>") == "one\n\ntwo"
     assert html.main_text("<article><p>one</p><script>x<p>two</p></article>") == "one"
+
+
+@pytest.mark.parametrize("name", ["social-science", "side-by-side", "comments-enabled", "post-with-sidebar"])
+def test_a_class_word_does_not_lose_the_article(name):
+    assert html.main_text(f'<div class="{name}"><p>{LONG}</p><p>end</p><div class="related">{LONG}</div></div><div class="social-links">{LONG}</div>') == f"{LONG}\n\nend"
+    # Where it is the lesser part of the page, the word counts.
+    assert html.main_text(f'<div><p>{LONG}</p><p>{LONG}</p></div><div class="{name}"><p>{LONG}</p></div>') == f"{LONG}\n\n{LONG}"
+
+
+def test_comments_longer_than_the_article_are_none_of_it():
+    assert html.main_text(f"<article><p>{LONG}</p></article><div class='reader-comments'>{'<p>' + LONG + '</p>'}{'<p>' + LONG + '</p>' * 9}</div>") == LONG
+    assert html.main_text(f"<div><p>{LONG}</p></div><div id='comment-list'>{('<p>' + LONG + '</p>') * 9}</div>") == LONG
+
+
+def test_marks_are_weights():
+    notice = "<div>Copyright of this site, all rights reserved.</div>"
+    links = "".join(f"<li><a href=x>other page {k}</a></li>" for k in range(5))
+    assert html.main_text(f"{notice}<article><p>Short.</p><p>{LONG}</p></article>{notice}") == f"Short.\n\n{LONG}"
+    assert html.main_text(f"<ul>{links}</ul><div><h1>Title</h1><p>{LONG}</p></div><ul>{links}</ul>") == f"Title\n\n{LONG}"
+    teaser, story = "<article><h2>Teaser</h2></article>", "".join(f"<p>{LONG} {k}{LONG}{LONG}</p>" for k in range(4))
+    assert html.main_text(f"{teaser}<div>{story}</div>").endswith(f"3{LONG}{LONG}")  # a mark that holds nothing does not hide a long text
+
+
+def plain_stretches(weights, parts, window, surge):
+    """Surge and dive by looking at every window of every part anew."""
+    n = len(weights)
+    same = lambda a, b: all(parts[i] == parts[a] for i in range(min(a, b), max(a, b) + 1))
+    total = lambda k: sum(weights[i] for i in range(k, min(n, k + window)) if same(k, i))
+    surge = min([surge, max([total(k) for k in range(n)], default=0)]) or 1
+    kept = [False] * n
+    for k in range(n):
+        if total(k) >= surge and not kept[k]:
+            last = k
+            while last < n and same(k, last) and total(last):
+                last += 1
+            first = next(i for i in range(k, n) if weights[i])
+            while first and same(k, first - 1) and weights[first - 1] and not kept[first - 1]:
+                first -= 1
+            for i in range(first, last):
+                kept[i] = True
+    return kept
+
+
+def test_stretches_match_a_plain_version():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n = int(rng.integers(0, 40))
+        weights = [float(x) for x in rng.choice([0, 0, 0, 5, 30, 90, 200], n)]
+        parts = np.cumsum(rng.random(n) < 0.15).tolist()
+        assert html.stretches(weights, parts, 3, 80) == plain_stretches(weights, parts, 3, 80)
+
+
+def test_the_distribution_finds_the_article_without_its_mark():
+    """On the real pages; with the mark gone, nothing but the windows tells the article from the rest."""
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test data here")
+    pages = [row[0] for row in duckdb.sql(f"SELECT html FROM '{folder}'").fetchall()]
+    bare = [x.replace("<article>", "<div>").replace("</article>", "</div>") for x in pages]
+    same = [html.main_text(x) == html.main_text(y) for x, y in zip(pages, bare, strict=True)]
+    assert all("<article>" in x for x in pages) and sum(same) >= 0.99 * len(pages)
+
+
+@pytest.mark.parametrize("make", [lambda n: "<span>" * n + "<li>" * n, lambda n: "<li><ul>" + "<span>" * n + "<li>x</li>" * n, lambda n: "<p>" + "<b>" * n + "<p>" * n, lambda n: "<td>" * n + "<tr>" * n, lambda n: '<div class="social-x">' * n + "t"])
+def test_awkward_pages_cost_in_proportion(make):
+    def took(n):
+        best = 1e9
+        for _ in range(2):
+            began = time.perf_counter()
+            html.main_text(make(n))
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(40_000) < 2.3 * max(took(20_000), 0.5)
