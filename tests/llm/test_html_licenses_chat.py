@@ -9,6 +9,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import chat, html, licenses
 
@@ -264,3 +265,43 @@ def test_awkward_pages_cost_in_proportion(make):
         return best
 
     assert took(40_000) < 2.3 * max(took(20_000), 0.5)
+
+
+def test_hidden_roles_are_recovered_on_the_real_table(spark):
+    """Every conversation is decoded from its texts by a model of other conversations."""
+    folder = "/root/testdata/sf0.01/conversations.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test data here")
+    table = spark.read.parquet(folder)
+    got = chat.format_chat(table, hide_roles=True).where("part = 0").collect()
+    assert len(got) == table.count()
+    right = sum(r["role"] == r["given_role"] for r in got)
+    assert right / len(got) > 0.95
+    # Whatever the rows' own roles are, they don't reach the decoder of their fold.
+    wrong = table.withColumn("role", F.when(chat.fold_of(F.col("conv_id"), chat.FOLDS) == 0, F.lit("assistant")).otherwise(F.col("role")))
+    again = {(r["conv_id"], r["turn"]): r["role"] for r in chat.format_chat(wrong, hide_roles=True).where(chat.fold_of(F.col("conv_id"), chat.FOLDS) == 0).collect()}
+    assert all(again[r["conv_id"], r["turn"]] == r["role"] for r in got if (r["conv_id"], r["turn"]) in again) and again
+
+
+def test_features_mean_the_same_to_spark_and_python(spark):
+    lines = ["", "Hello there", "- item", "12) item", "    code", "x = {", "What is it?", "Sure, here is", "you are a bot", "é" * 5000, "* * *", "\ttab", "Hola", "good morning all", "TELL me;"]
+    frame = spark.createDataFrame([(x,) for x in lines], "t string").select("t", *[c.alias(f"x{k}") for k, c in enumerate(chat.feature_columns(F.col("t")))])
+    assert {tuple(r) for r in frame.collect()} == {(x, *chat.features(x)) for x in lines}
+
+
+def test_counts_of_repeated_turns(spark):
+    rows = turns(spark, [(1, 0, "user", "a")] * 3 + [(1, 1, "assistant", "b")] * 4 + [(1, 1, "user", "c"), (2, 5, "system", "d\ne"), (None, None, "user", "x")])
+    found = chat.count(rows)[0]
+    assert found.step.tolist() == [[0, 0, 0], [0, 3, 12], [0, 0, 0]] and found.first.tolist() == [1, 4, 0]
+    assert found.ends.tolist() == [[1, 1], [0, 5], [0, 4]]
+    halves = chat.count(rows, 2)
+    assert (halves[0].step + halves[1].step).tolist() == found.step.tolist()
+
+
+def test_a_turn_number_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_ROWS", 8)
+    model = chat.fit(turns(spark, train(40)))
+    rows = [(7, 3, None, f"what is {k % 30}?") for k in range(90)] + [(7, 4, None, "a long answer " * 9)] * 20 + [(8, 0, None, "short?")]
+    got = chat.format_chat(turns(spark, rows), model).collect()
+    assert sorted((r["conv_id"], r["turn"], r["text"]) for r in got) == sorted((c, t, x.strip()) for c, t, _, x in rows)
+    assert {r["part"] for r in got} == {0}
