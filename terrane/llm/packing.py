@@ -2,7 +2,7 @@
 
 Every document becomes a run of token ids that ends with id 1. It is cut after each full
 sequence; what remains is one piece. Pieces are dealt to groups at random (by a hash of the
-document id), and each group is packed on its own: longest piece first, each into the first bin
+piece and its place in the table), and each group is packed on its own: longest piece first, each into the first bin
 that has room. The first such bin is found by descending a tournament tree whose nodes hold the
 largest capacity below them, so a piece costs log(bins).
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import checkpointed
+
 SEQUENCE = 2048
 END_ID = 1
-#: Stands for a missing document id while pieces are packed.
-NO_ID = -(2**63)
 #: Pieces that one group holds on average; a group is packed in one task.
 GROUP_PIECES = 4000
 #: Words whose ids a worker remembers; beyond it, it starts anew.
@@ -144,18 +144,22 @@ def cut(ids: bytes, size: int = SEQUENCE) -> list[tuple[int, int, int]]:
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """``(doc_id, start, length, ids_crc32, doc_tokens)`` of every piece of every document."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    """``(doc_id, start, length, ids_crc32, doc_tokens, row)`` of every piece of every document.
+
+    ``row`` numbers the rows of a task, so that equal rows are not dealt to the same group.
+    """
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"]
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(path or default_path())
+        coder, number = word_ids(path or default_path()), 0
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = coder.encode(text or "") + end
-                rows += [(doc, *piece, len(ids) // 4) for piece in cut(ids, size)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                rows += [(doc, *piece, len(ids) // 4, number) for piece in cut(ids, size)]
+                number += 1
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -196,18 +200,18 @@ def pack(parts: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECE
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     groups = max(1, round(parts.count() / group_pieces))
-    # pandas has no long column with nulls, so a missing id travels as a number that is put back below.
-    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
-    dealt = parts.select(known, *names[1:], F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).alias("part"))
+    salt = ["row"] if "row" in parts.columns else []
+    # pandas has no long column with nulls, so a missing id travels as a flag.
+    dealt = parts.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), *names[1:], F.col("doc_id").isNull().alias("no_id"), F.pmod(F.xxhash64(*names, *salt, F.lit(seed)), F.lit(groups)).alias("part"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "no_id", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         bins = first_fit_decreasing(rows["length"].to_numpy(), size)
         before = rows["length"].groupby(bins).cumsum() - rows["length"]
-        return rows[names].assign(sequence_id=rows["part"] * (1 << 32) + bins, offset=before)
+        return rows[[*names, "no_id"]].assign(sequence_id=rows["part"] * (1 << 32) + bins, offset=before)
 
-    out = dealt.groupBy("part").applyInPandas(run, ", ".join(f"{x} long" for x in [*names, "sequence_id", "offset"]))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    out = dealt.groupBy("part").applyInPandas(run, f"{', '.join(f'{x} long' for x in names)}, no_id boolean, sequence_id long, offset long")
+    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), *names[1:], "sequence_id", "offset")
 
 
 def packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,6 +222,4 @@ def packed(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     from offset 0. Null text is an empty one: a single piece with id 1. Repeated rows are packed
     each on its own, rows without a document id like any other; other columns do not matter; an empty table gives an empty result.
     """
-    from terrane.session import checkpointed
-
     return pack(checkpointed(pieces(docs, path, id_col, text_col)))

@@ -11,7 +11,8 @@ Coordinates are written in unary (0 -> 00, 1 -> 01, 2 -> 11), so a Manhattan dis
 bit count of an exclusive or, and the cell of a half is a 32-bit integer.
 
 Copies share a fingerprint and are represented by one of them. A cell with more than
-``BLOCK`` rows is dealt out as pairs of blocks, and each group returns a spanning forest of its
+``BLOCK`` rows is split by the exact bits of its half, which no pair within reach crosses; what is
+still larger is dealt out as pairs of blocks. Each group returns a spanning forest of its
 links instead of all pairs, so a large group of near copies neither meets in one task nor
 grows with its square in rows.
 """
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.expressions import text_of
+from terrane.llm.expressions import fresh, named
 from terrane.operators.components import connected_components
 from terrane.session import checkpointed
 
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -99,6 +100,16 @@ def cells(points: DataFrame) -> DataFrame:
     return placed.where("c.cell IS NOT NULL").select("c.cell", "c.home", "rep", "fp")
 
 
+def exact_halves() -> Column:
+    """The halves, bit by bit, that a row ``(cell, fp)`` of ``cells`` can meet: its own at home, else with one bit more set."""
+    half = F.when(F.col("cell").bitwiseAND(F.lit(1 << 32)) == 0, F.lit(0)).otherwise(F.lit(32))
+    low32 = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    cut = lambda x: low32(F.when(half == 0, x).otherwise(F.shiftrightunsigned(x, 32)))
+    own, step = cut(F.col("fp")), low32(F.col("cell")).bitwiseXOR(cut(unary(F.col("fp"))))
+    first = step.bitwiseAND(F.lit(LOW)) != 0  # a lane goes from no bit to one of two, else from one bit to both
+    return F.when(step == 0, F.array(own)).when(first, F.array(own.bitwiseOR(step), own.bitwiseOR(F.shiftleft(step, 1)))).otherwise(F.array(own.bitwiseOR(step).bitwiseOR(F.shiftrightunsigned(step, 1))))
+
+
 def _embed(fp: np.ndarray) -> np.ndarray:
     low, high = np.uint64(LOW), fp >> np.uint64(1)
     return ((fp | high) & low) | (((fp & high) & low) << np.uint64(1))
@@ -164,23 +175,28 @@ def links(points: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the half cells find pairs within three bits")
-    placed = cells(points)
-    crowded = placed.groupBy("cell").count().where(F.col("count") > BLOCK).select(F.col("cell").alias("crowded"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    dealt = placed.join(crowded, placed.cell == crowded.crowded, "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    dealt = dealt.select("cell", "home", "rep", "fp", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("cell", "home", "rep", "fp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = dealt.repartition(width, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    placed = cells(points).withColumn("sub", F.lit(0).cast("long"))
+    # A crowded cell is split by the exact bits of its half: rows at home there within one bit of another are equal to
+    # it in that half, and a visitor differs in the one bit by which it came.
+    crowded = placed.groupBy("cell").count().where(F.col("count") > BLOCK).select(F.col("cell").alias("crowded"))
+    here = placed.cell == crowded.crowded
+    finer = placed.join(crowded, here).withColumn("sub", F.explode(exact_halves()))
+    kept = placed.join(crowded, here, "left_anti").select("cell", "sub", "home", "rep", "fp", F.lit(1).cast("long").alias("blocks"))
+    # What is still crowded (many fingerprints with the same half) is dealt out as pairs of blocks.
+    full = finer.groupBy("cell", "sub").count().where(F.col("count") > BLOCK).select(F.col("cell").alias("c"), F.col("sub").alias("s"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    finer = finer.join(full, (F.col("cell") == F.col("c")) & (F.col("sub") == F.col("s")), "left").select("cell", "sub", "home", "rep", "fp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    dealt = kept.union(finer).select("cell", "sub", "home", "rep", "fp", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cell", "home", "rep", "fp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sub")
+    sorted_rows = dealt.repartition("cell", "sub", "i", "j").sortWithinPartitions("cell", "sub", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
             return [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
 
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-            cell, home, rep, fp, side, i, j = rows
-            key = np.r_[0, np.cumsum((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))]
+            cell, home, rep, fp, side, i, j, sub = rows
+            key = np.r_[0, np.cumsum((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (sub[1:] != sub[:-1]))]
             u, v = link_groups(key, rep, fp.view(np.uint64), home.astype(bool), side, i != j, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -189,14 +205,14 @@ def links(points: DataFrame, max_bits: int = 3) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = columns(batch)
-            cell, i, j = rows[0], rows[5], rows[6]
-            last = (cell == cell[-1]) & (i == i[-1]) & (j == j[-1])
+            keys = (rows[0], *rows[5:])
+            last = np.logical_and.reduce([x == x[-1] for x in keys])
             cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # the last run may go on
             if cut:
                 kept.append([x[:cut] for x in rows])
                 yield out([np.concatenate(x) for x in zip(*kept, strict=True)])
                 kept = []
-            elif kept and (kept[-1][0][-1] != cell[0] or kept[-1][5][-1] != i[0] or kept[-1][6][-1] != j[0]):
+            elif kept and any(kept[-1][k][-1] != rows[k][0] for k in (0, 5, 6, 7)):
                 yield out([np.concatenate(x) for x in zip(*kept, strict=True)])
                 kept = []
             kept.append([x[cut:] for x in rows])
@@ -232,6 +248,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id stay; of rows with the same id all stay or none.
     """
+    (name,) = fresh(docs, "__later")
     found = near_duplicates(docs, id_col, text_col, max_bits)
-    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, F.col(id_col) == F.col("__later"), "left_anti")
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(later, named(id_col).cast("long") == F.col(name), "left_anti")
