@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm import decontaminate, lines, packing, quality, simhash
-from terrane.session import checkpointed, table
+from terrane.session import shared_folder, table
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,22 +55,35 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def run(spark: SparkSession, sf_dir: str, work_dir: str | None = None) -> DataFrame:
+    """All stages over ``documents``; each is written below the shared folder and read again by the next.
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written below the checkpoint folder and read again by the next.
-
-    A stage's rows go once the next stage's are written; the last ones stay, for the result reads them.
+    A run that failed goes on after its last complete stage if it is given the same ``work_dir``; without
+    one each run has a folder of its own, which an error names. A stage's rows are overwritten by
+    an empty table once the next stage's are written; the last ones stay, for the result reads them.
     """
+    base = work_dir or f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
-    checkpointed(spark.range(1).toDF("id"))  # sets a folder where the session names none
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    done = max((k for k in range(len(STAGES)) if _is_there(spark, f"{base}/{k}-done")), default=-1)
+    if done >= 0:
+        docs = spark.read.parquet(f"{base}/{done}")
+    for k, (name, stage) in enumerate(STAGES):
+        if k <= done:
+            continue
+        try:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{base}/{k}")
+            spark.range(1).write.mode("overwrite").parquet(f"{base}/{k}-done")
+        except Exception as error:
+            error.add_note(f"stage {name!r} failed; run(..., work_dir={base!r}) goes on from it")
+            raise
+        before, docs = docs, spark.read.parquet(f"{base}/{k}")
         if k:
-            _remove(spark, f"{base}/{k - 1}")
+            spark.createDataFrame([], before.schema).write.mode("overwrite").parquet(f"{base}/{k - 1}")
     return docs
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        return False
