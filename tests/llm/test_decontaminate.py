@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate as d
 
@@ -47,10 +48,42 @@ def test_planted_passages(spark):
     assert kept == set(planted()) - {i for i, _ in want} | {900, 901}
 
 
-def test_blocks_of_items_give_the_same(spark):
+def test_a_large_benchmark_is_joined_with_the_same_result(spark):
     docs, items = frames(spark)
-    one = sorted(map(tuple, d.contaminations(docs, items).collect()))
-    assert sorted(map(tuple, d.contaminations(docs, items, block_tokens=25).collect())) == one
+    docs = docs.union(docs.where("doc_id = 101"))
+    rng = random.Random(3)
+    short = spark.createDataFrame([(100 + n, " ".join(f"tiny{n}x{rng.randrange(99)}" for _ in range(n))) for n in range(1, 9)], "item_id long, text string")
+    more = spark.createDataFrame([(700 + r["item_id"], f"before it {r['text']} and after", 0) for r in short.collect()] + [(None, f"x {' '.join(ITEMS[2])}", 0)], "doc_id long, text string, item_id int")
+    docs, items = docs.union(more), items.union(short).union(spark.createDataFrame([(None, " ".join(ITEMS[0]))], "item_id long, text string"))
+    one = sorted(map(str, d.contaminations(docs, items).collect()))
+    for bits in (d.FILTER_BITS, 10):
+        assert sorted(map(str, d.contaminations(docs, items, broadcast_chars=10, filter_bits=bits).collect())) == one
+    assert len(one) > 30
+
+
+def test_recall_over_random_substitutions():
+    """Every item of 1 to 40 tokens with every allowed number of substitutions, against the definition."""
+    rng, found, all_ = random.Random(17), 0, 0
+    for n in range(1, 41):
+        item = [f"t{rng.randrange(10**6)}" for _ in range(n)]
+        index = d.Index()
+        index.add(1, d.tokens(" ".join(item)))
+        index.seal()
+        for count in range(int((1 - d.MIN_IDENTITY) * n + 1e-9) + 1):
+            hits = 0
+            for _ in range(40):
+                places = set(rng.sample(range(n), count))
+                words = noise(4) + ["other" if k in places else w for k, w in enumerate(item)] + noise(4)
+                hits += bool(d.overlaps(d.tokens(" ".join(words)), index))
+            assert hits >= 0.95 * 40, (n, count, hits)
+            found, all_ = found + hits, all_ + 40
+    assert found >= 0.99 * all_, found / all_
+
+
+def test_clashing_names(spark):
+    docs, items = frames(spark)
+    more = docs.where("doc_id IN (101, 500)").select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(("__key", "__bad", "key", "k", "item", "a.b"))])
+    assert [r["doc_id"] for r in d.clean(more, items.withColumn("hash", F.lit(1))).collect()] == [500]
 
 
 def brute(equal, share):
