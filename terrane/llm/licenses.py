@@ -2,8 +2,9 @@
 
 Templates of licence notices are cut into runs of ``GRAM`` tokens; winnowing keeps the smallest
 hash of every ``WINDOW`` neighbouring ones, which together form a small inverted index. Hashes of
-all runs of a document are looked up in it; hits on neighbouring diagonals make a candidate, and
-an alignment within a band around them gives the matched share of the template and its span.
+all runs of a document are looked up in it; hits on neighbouring diagonals that show a share of
+the template's fingerprints make a candidate, and an alignment within a band around them gives the
+matched share of the template and its span.
 Within that span the words that tell a licence from its siblings (name, version, conditions) must
 stand as they do in the template, with nothing between them.
 """
@@ -17,13 +18,17 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.llm.expressions import named
+
 GRAM = 3
 WINDOW = 2
 #: Share of a template's tokens that must be matched in order.
 MIN_COVERAGE = 0.8
+#: Share of a template's fingerprints that a candidate must show; 80 % of the tokens in order leave more of them.
+MIN_PRINTS = 0.1
 #: Tokens that may be inserted or missing: a share of the template, and at least so many.
 BAND_SHARE, LEAST_BAND = 0.15, 3
 
@@ -156,11 +161,14 @@ class Index:
         self.names, self.vocabulary, self.items = list(templates), {}, []
         self.cores = [[[tokens(x) for x in spellings] for spellings in cores.get(name, ())] for name in templates]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.needed: list[int] = []
         for k, text in enumerate(templates.values()):
             numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
             self.items.append(numbers)
             found = grams(numbers)
-            for at in winnow(found):
+            prints = winnow(found)
+            self.needed.append(max(1, int(MIN_PRINTS * len(prints))))
+            for at in prints:
                 self.places[int(found[at])].append((k, at))
         self.marks = np.zeros(1 << 18, dtype=bool)
         keys = np.array(list(self.places), dtype=np.uint64)
@@ -172,25 +180,33 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int) -> tuple
 
     ``shift`` is the place in the document of the template's first token on the diagonal. Rows
     are template tokens, columns the places within the band; of equally good alignments the one
-    with the shortest span counts.
+    that begins last and then ends first counts. A cell holds matched tokens, first place and last
+    place (from the end) in one number, so that a maximum compares them in this order.
     """
-    m, n, width = len(template), len(doc), 2 * band + 1
-    none = (0, 0, -1)
-    best, row = none, [none] * (width + 1)  # (matched, minus span start, last)
+    m, width = len(template), 2 * band + 1
+    low, size = shift - band, m + 2 * band  # all places are counted from the band's first
+    place = np.arange(low, low + size)
+    inside = (place >= 0) & (place < len(doc))
+    tokens_there = np.full(size, -1, dtype=np.int64)
+    tokens_there[inside] = doc[place[inside]]
+    bits = 21
+    mask, columns = (1 << bits) - 1, np.arange(width, dtype=np.int64)
+    row, best = np.zeros(width + 1, dtype=np.int64), 0
     for i in range(m):
-        new, left = [none] * (width + 1), none
-        base = shift - band + i
-        for c in range(width):
-            j = base + c
-            value = max(row[c + 1] if c + 1 <= width else none, left, key=lambda x: (x[0], x[1], -x[2]))
-            if 0 <= j < n and doc[j] == template[i]:
-                before = row[c]
-                hit = (before[0] + 1, before[1] if before[0] else -j, j)
-                value = max(value, hit, key=lambda x: (x[0], x[1], -x[2]))
-            new[c] = left = value
-        row = new
-        best = max([best, *row], key=lambda x: (x[0], x[1], -x[2]))
-    return best[0], -best[1], best[2]
+        equal = tokens_there[i : i + width] == template[i]
+        if equal.any():
+            at = columns + i
+            matched = row[:-1] >> (2 * bits)
+            first = np.where(matched > 0, row[:-1] >> bits & mask, at)
+            hit = (matched + 1 << 2 * bits) | (first << bits) | (mask - at)
+            value = np.maximum(row[1:], np.where(equal, hit, 0))
+        else:
+            value = row[1:]
+        row = np.append(np.maximum.accumulate(value), 0)
+        best = max(best, int(row[-2]))
+    if not best:
+        return 0, 0, -1
+    return best >> (2 * bits), low + (best >> bits & mask), low + mask - (best & mask)
 
 
 def holds(words: list[bytes], cores: list[list[list[bytes]]]) -> bool:
@@ -209,10 +225,10 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
     numbers = np.array([known.get(w, 0) for w in words], dtype=np.int64)
     hashes = grams(numbers)
     hits = np.flatnonzero(index.marks[(hashes >> np.uint64(46)).astype(np.int64)])
-    diagonals: dict[int, set[int]] = defaultdict(set)
+    diagonals: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for at in hits.tolist():
         for k, place in index.places.get(int(hashes[at]), ()):
-            diagonals[k].add(at - place)
+            diagonals[k][at - place].append(place)
     found = []
     for k, shifts in diagonals.items():
         item = index.items[k]
@@ -222,8 +238,12 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
             end = at
             while end + 1 < len(ordered) and ordered[end + 1] - ordered[at] <= band:
                 end += 1
-            middle = (ordered[at] + ordered[end]) // 2
-            matched, first, last = align(item, numbers, middle, band)
+            if len({place for shift in ordered[at : end + 1] for place in shifts[shift]}) < index.needed[k]:
+                at = end + 1
+                continue
+            # The band reaches as far beyond the outermost diagonals on either side.
+            spread = ordered[end] - ordered[at]
+            matched, first, last = align(item, numbers, ordered[at] + spread // 2, band + (spread + 1) // 2)
             if matched >= max(GRAM, min_coverage * len(item)) and holds(words[first : last + 1], index.cores[k]):
                 found.append((matched, first, last, k))
             at = end + 1
@@ -241,17 +261,29 @@ def scan_text(text: str | None, index: Index, min_coverage: float = MIN_COVERAGE
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row for each licence notice found in a text.
 
-    Null or empty texts give no row; repeated rows each give theirs; other columns do not matter;
-    empty tables give an empty result. Documents are read once and never shuffled; the index over
-    the fixed list of templates is a few kilobytes and travels with the tasks.
+    Null or empty texts give no row; repeated rows each give theirs; of notices that overlap with
+    equally many tokens the one with the higher coverage, then the first, counts; other columns do
+    not matter; empty tables give an empty result. Documents are read once and never shuffled; the
+    index of the templates is broadcast (a few hundred kilobytes; templates are texts that a caller
+    lists or reads with ``read_templates``, not a table that grows with the documents).
     """
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = shared.value
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         for batch in batches:
             rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in scan_text(text, index, min_coverage)]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUTPUT)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, OUTPUT)
+
+
+def read_templates(spark: SparkSession, path: str, most_chars: int = 20_000_000) -> dict[str, str]:
+    """Templates from a folder of licence texts, one a file, named by the file; more than ``most_chars`` in all is an error."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.txt)?$", 1).alias("name"), "value")
+    size = files.agg(F.sum(F.length("value"))).first()[0] or 0
+    if size > most_chars:
+        raise ValueError(f"{size} characters are too many for templates that are held in memory")
+    return {r["name"]: r["value"] for r in files.orderBy("name").collect()}

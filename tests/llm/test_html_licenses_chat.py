@@ -305,3 +305,52 @@ def test_a_turn_number_that_many_rows_share(spark, monkeypatch):
     got = chat.format_chat(turns(spark, rows), model).collect()
     assert sorted((r["conv_id"], r["turn"], r["text"]) for r in got) == sorted((c, t, x.strip()) for c, t, _, x in rows)
     assert {r["part"] for r in got} == {0}
+
+
+def brute_scan(text, index):
+    """Every template aligned with the whole text, without fingerprints or a band."""
+    words, found = licenses.tokens(text), []
+    numbers = np.array([index.vocabulary.get(w, 0) for w in words], dtype=np.int64)
+    for k, item in enumerate(index.items):
+        matched, first, last = licenses.align(item, numbers, 0, len(words) + len(item))
+        if matched >= max(licenses.GRAM, licenses.MIN_COVERAGE * len(item)) and licenses.holds(words[first : last + 1], index.cores[k]) and last - first < 1.4 * len(item):
+            found.append((matched, matched / len(item), first, last, index.names[k]))
+    taken = []
+    for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
+        if all(x[3] < y[2] or x[2] > y[3] for y in taken):
+            taken.append(x)
+    return sorted(x[4] for x in taken)
+
+
+def test_whole_scan_matches_brute_force():
+    index, rng = licenses.Index(licenses.TEMPLATES), np.random.default_rng(12)
+    noise = lambda n: [f"n{rng.integers(10**6)}" for _ in range(n)]
+    some = 0
+    for name, template in licenses.TEMPLATES.items():
+        words = template.split()
+        edited = []
+        for w in words:
+            edited += [] if rng.random() < 0.04 else [w]
+            edited += noise(1) if rng.random() < 0.03 else []
+        text = " ".join([*noise(9), *edited, *noise(9)])
+        got = sorted(x[0] for x in licenses.scan_text(text, index))
+        assert got == brute_scan(text, index), name
+        some += bool(got)
+    assert some > 0.7 * len(licenses.TEMPLATES)
+    assert brute_scan(" ".join(noise(60)), index) == []
+
+
+def test_templates_from_files(spark, tmp_path):
+    (tmp_path / "Mine-1.0.txt").write_text("This is the text of a licence of my own that nobody else has ever used before.")
+    found = licenses.read_templates(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, f"# {found['Mine-1.0']}")], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(docs, found).collect()] == ["Mine-1.0"]
+    with pytest.raises(ValueError):
+        licenses.read_templates(spark, str(tmp_path), most_chars=3)
+
+
+def test_repeated_phrases_of_a_licence_cost_little():
+    index = licenses.Index(licenses.TEMPLATES)
+    began = time.perf_counter()
+    assert licenses.scan_text("the software without restriction " * 30_000, index) == []
+    assert time.perf_counter() - began < 5
