@@ -119,7 +119,8 @@ def recurring(docs: DataFrame, keys: DataFrame, rules: Rules = Rules(), id_col:
     inside = keys.select("doc", F.col("whole").alias("w")).join(shapes, F.col("w") == F.col("whole")).groupBy("template", "doc").agg(F.min("long").alias("long"))
     counted = inside.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("kept_in"), F.min("long").alias("long")).where(often(rules.generalised))
     by_shape = shapes.join(counted.select(F.col("template").alias("t"), "kept_in"), F.col("template") == F.col("t")).select("whole", "kept_in")
-    return whole.union(by_shape).groupBy("whole").agg(F.min("kept_in").alias("kept_in"))
+    # Checkpointed, so that adaptive execution sees a plain shuffle beside the lines and can split a common one.
+    return checkpointed(whole.union(by_shape).groupBy("whole").agg(F.min("kept_in").alias("kept_in")))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
