@@ -109,14 +109,13 @@ def deobfuscate(text: Column) -> Column:
     """``info [at] shop [dot] cy`` and its variants as addresses.
 
     In ``info at shop dot cy`` the words count only together, so the place of ``at`` is marked first
-    and each ``dot`` of the same address follows it; domains of up to seven labels are joined.
+    and each ``dot`` of the same address follows it: right after the mark, or where the last one ended.
     """
     out = F.regexp_replace(text, fixed.BRACKETED_AT, "@")
     out = F.regexp_replace(out, fixed.BRACKETED_DOT, ".")
     out = F.regexp_replace(F.regexp_replace(out, r"\s+AT\s+", "@"), r"\s+DOT\s+", ".")
     out = F.regexp_replace(out, r"(?i)\b([a-z0-9._-]+)\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+\b)", "$1\ue000")
-    for _ in range(6):
-        out = F.regexp_replace(out, "(?i)(\ue000[a-z0-9.-]+)\\s+dot\\s+(?=[a-z0-9-])", "$1.")
+    out = F.regexp_replace(out, "(?i)(\ue000[a-z0-9.-]+|\\G(?!\\A)[a-z0-9-]+)\\s+dot\\s+(?=[a-z0-9-])", "$1.")
     return F.translate(out, "\ue000", "@")
 
 

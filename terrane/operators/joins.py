@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from terrane.functions.fixed import BAND_DEGREES
 from terrane.functions.geo import distance_km
+from terrane.session import checkpointed
 
 #: Rows of a side up to which it is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most ``most`` rows, else as it is."""
+    """The table with a broadcast hint if it has at most ``most`` rows, else as it is. For narrow rows of numbers and short names."""
     return F.broadcast(df) if len(df.select(F.lit(1)).head(most + 1)) <= most else df
 
 
@@ -41,11 +42,13 @@ def not_suppressed(rows: DataFrame, email: Column, suppression: DataFrame) -> Da
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order.
 
-    A minimum over a struct, summed up in the map tasks, so a key with many rows is no burden.
-    ``order`` columns sort ascending, nulls first.
+    A minimum by a struct, summed up in the map tasks, so a key with many rows is no burden.
+    ``order`` columns sort ascending, nulls first; ties go to the smaller row by its columns, but for
+    maps, which have no order.
     """
-    picked = F.struct(*[c.alias(f"__o{k}") for k, c in enumerate(order)], F.struct(*[F.col(c) for c in df.columns]).alias("__row"))
-    return df.groupBy(*keys).agg(F.min(picked)["__row"].alias("__row")).select("__row.*")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    ties = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return df.groupBy(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)]).agg(F.min_by(row, F.struct(F.struct(*order), F.struct(*ties))).alias("__row")).select("__row.*")
 
 
 def largest_box(points: DataFrame, boxes: DataFrame, size: float = 0.25) -> DataFrame:
@@ -128,13 +131,14 @@ def edges_of(rings: DataFrame) -> DataFrame:
 def inside_outline(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Points inside at least one feature by the even-odd rule.
 
-    ``points``: ``(point_id, x, y)``. A point meets only the edges of its band of each feature.
+    ``points``: ``(point_id, x, y)``. Edges and points meet in bands of latitude that all features share,
+    so the join is on the band; bands of a feature's own would ask which features a point may be in.
     """
-    features = edges.groupBy("feature_id").agg(F.first("south").alias("south"), F.min("band").alias("low"), F.max("band").alias("high"))
-    # A feature list is small (areas of one country); its size is checked all the same.
-    placed = points.join(small(features), (F.col("y") >= F.col("south")) & (F.col("y") <= F.col("south") + (F.col("high") + 1) * BAND_DEGREES)).select("point_id", "x", "y", F.col("feature_id").alias("f"), F.floor((F.col("y") - F.col("south")) / BAND_DEGREES).alias("b"))
-    hit = placed.join(edges, (F.col("f") == F.col("feature_id")) & (F.col("b") == F.col("band"))).where(((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")))
-    return hit.groupBy("point_id", "f").count().where("count % 2 = 1").select("point_id").distinct()
+    band = lambda y: F.floor(y / BAND_DEGREES)
+    lines = edges.select("feature_id", "x1", "y1", "x2", "y2").distinct()
+    spread = lines.withColumn("at", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    hit = points.withColumn("b", band(F.col("y"))).join(spread, F.col("b") == F.col("at")).where(((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")))
+    return hit.groupBy("point_id", "feature_id").count().where("count % 2 = 1").select("point_id").distinct()
 
 
 def longest_prefix(rows: DataFrame, path: Column, rules: DataFrame, separator: str = " > ") -> DataFrame:
@@ -192,18 +196,23 @@ def first_containing(names: Column, needles: list[tuple[str, str]]) -> Column:
     return F.get(F.filter(F.transform(clean, key), lambda k: k.isNotNull()), F.lit(0))
 
 
-def tree_leaves(nodes: DataFrame, roots: DataFrame, leaf_type: str = "CITY", max_depth: int = 32) -> DataFrame:
+def tree_leaves(nodes: DataFrame, roots: DataFrame, leaf_type: str = "CITY", max_depth: int = 1000) -> DataFrame:
     """Ids of the leaves of a type below the roots, the roots included.
 
-    ``nodes``: ``(id, parent_id, type)``; ``roots``: ``(id)``. One level a step, until none is left.
+    ``nodes``: ``(id, parent_id, type)``; ``roots``: ``(id)``. One level a step, until none is left; a
+    tree that goes on after ``max_depth`` levels (a cycle) is an error. Lineage is cut now and then.
     """
     level = nodes.join(roots.select(F.col("id").alias("__root")), F.col("id") == F.col("__root"), "left_semi").select("id", "type")
     found = level
-    for _ in range(max_depth):
+    for depth in range(max_depth):
         level = nodes.join(level.select(F.col("id").alias("__parent")), F.col("parent_id") == F.col("__parent"), "left_semi").select("id", "type")
+        if depth % 8 == 7:
+            level, found = checkpointed(level), checkpointed(found)
         if level.isEmpty():
             break
         found = found.union(level)
+    else:
+        raise RuntimeError(f"the tree does not end within {max_depth} levels")
     return found.where(F.col("type") == leaf_type).select("id").distinct()
 
 

@@ -22,7 +22,9 @@ def location_tree(country: DataFrame, admin1: DataFrame, admin2: DataFrame | Non
     facts = rows.select(F.col("geonames_id").alias("r_id"), "alternates", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), F.col("population").alias("r_population"))
     named = (lambda c: local_name(c, script)) if script else (lambda c: F.lit(None).cast("string"))
     blank = F.lit(None).cast("double")
-    country_id = F.lit(country.first()["country_id"]).cast("long")  # a single row
+    # A single row; without it regions and cities have no country above them.
+    (top_row,) = country.take(1) or [{"country_id": None}]
+    country_id = F.lit(top_row["country_id"]).cast("long")
     r1 = admin1.withColumn("country_id", country_id).select("code", "name", "geonames_id", F.col("country_id").alias("parent"), F.array("geonames_id", "country_id").alias("path"))
     regions = r1
     if admin2 is not None:

@@ -111,6 +111,28 @@ def due_domains(places: DataFrame, crawls: DataFrame, emails: DataFrame, now: Co
     return j.where(F.coalesce(due, F.lit(False))).select("website_domain", "priority").orderBy("priority")
 
 
+def due_shop_checks(places: DataFrame, emails: DataFrame, checks: DataFrame, now: Column, days: int = 180) -> DataFrame:
+    """Own domains with a primary address whose shop check is missing or too old, first place first.
+
+    ``checks``: ``(domain, checked_at)``.
+    """
+    primary = emails.where("is_primary").select(F.col("place_id").alias("__p")).distinct()
+    open_ = places.where(F.col("website_domain").isNotNull() & ~F.col("website_domain").rlike(r"(^|\.)example\.")).join(primary, F.col("id") == F.col("__p"), "left_semi")
+    fresh = checks.where(F.col("checked_at") > now - F.make_interval(days=F.lit(days))).select(F.col("domain").alias("__d")).distinct()
+    queue = open_.join(fresh, F.col("website_domain") == F.col("__d"), "left_anti")
+    return queue.groupBy("website_domain").agg(F.min("id").alias("priority")).orderBy("priority")
+
+
+def kept_snapshots(snapshots: DataFrame, now: Column, days: int = 45) -> DataFrame:
+    """Snapshots that are not older than some days (M21); the others go with the next write."""
+    return snapshots.where(F.col("taken_at") >= now - F.make_interval(days=F.lit(days)))
+
+
+def latest(rows: DataFrame, at: str, key: str, most: int) -> DataFrame:
+    """The newest rows, ties by the larger key (O05): a top-k, no sort of the table."""
+    return rows.orderBy(F.col(at).desc(), F.col(key).desc()).limit(most)
+
+
 def prunable(places: DataFrame, emails: DataFrame) -> DataFrame:
     """Places without any use: one open source only, no site, new, no address, never exported."""
     plain = places.where(F.col("google_place_id").isNull() & F.col("website_domain").isNull() & (F.col("status") == "NEW") & F.col("exported_at").isNull())
@@ -180,15 +202,23 @@ def complete_jobs(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("job_id").agg(F.bool_and(~F.col("status").isin("PENDING", "RUNNING")).alias("complete")).where("complete").select("job_id")
 
 
+#: Keywords of a job; more are a mistake in the configuration.
+MOST_KEYWORDS = 1000
+
+
 def job_tasks(areas: DataFrame, keywords: DataFrame, done: DataFrame) -> DataFrame:
     """Every area with every keyword, and whether the search is in cooldown.
 
-    Keywords are a configured list; the product is what a job is. ``areas``: ``(area_key)``; ``keywords``:
-    ``(keyword, language)``; ``done``: ``(tile_key, keyword, language)`` of recent searches.
+    The product of areas and keywords is what a job is: every area is asked for every keyword.
+    ``areas``: ``(area_key)``; ``keywords``: ``(keyword, language)``, a configured list of which at most
+    ``MOST_KEYWORDS`` are accepted; ``done``: ``(tile_key, keyword, language)`` of recent searches. Without
+    keywords there are no tasks.
     """
-    words = keywords.agg(F.collect_list(F.struct("keyword", "language")).alias("words")).first()["words"]
-    listed = F.array(*[F.struct(F.lit(w["keyword"]).alias("keyword"), F.lit(w["language"]).alias("language")) for w in words])
-    tasks = areas.select("area_key", F.explode(listed).alias("w")).select("area_key", "w.*")
+    words = keywords.select("keyword", "language").take(MOST_KEYWORDS + 1)
+    if len(words) > MOST_KEYWORDS:
+        raise ValueError(f"a job has at most {MOST_KEYWORDS} keywords")
+    listed = F.array(*[F.struct(F.lit(w["keyword"]).cast("string").alias("keyword"), F.lit(w["language"]).cast("string").alias("language")) for w in words])
+    tasks = areas.select("area_key", F.explode(listed if words else listed.cast("array<struct<keyword:string,language:string>>")).alias("w")).select("area_key", "w.*")
     recent = done.select(F.col("tile_key").alias("__t"), F.col("keyword").alias("__k"), F.col("language").alias("__l")).distinct().withColumn("__hit", F.lit(True))
     j = tasks.join(recent, (F.concat("area_key", F.lit("/root")) == F.col("__t")) & (F.col("keyword") == F.col("__k")) & (F.col("language") == F.col("__l")), "left")
     return j.select("area_key", "keyword", "language", F.coalesce("__hit", F.lit(False)).alias("in_cooldown"))

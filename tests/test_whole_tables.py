@@ -21,7 +21,7 @@ def test_components_of_all_orders(spark, tmp_path):
     for key, customer in orders:
         a, b = sorted((find(customer), find(-1 - key % 4001)))
         root[b] = a
-    got = {r["node"]: r["component"] for r in catalog.queries()["match_components_all"](spark, str(tmp_path)).collect()}
+    got = {r["node"]: r["component"] for r in catalog.queries()["match_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in list(root)}
 
 
@@ -35,5 +35,5 @@ def test_runs_and_rows_of_all_users(spark, tmp_path):
         hits = sum(u % 50 == user % 49 and min(own) <= t <= max(own) for _, u, t in events)
         if hits:
             want[user] = hits
-    got = {r["job"]: r["hits"] for r in catalog.queries()["interval_hits_all"](spark, str(tmp_path)).collect()}
+    got = {r["job"]: r["hits"] for r in catalog.queries()["interval_hits"](spark, str(tmp_path)).collect()}
     assert got == want and any(u % 50 for u in got)
