@@ -184,17 +184,65 @@ def lead_detail(lead: DataFrame, emails: DataFrame, sources: DataFrame) -> DataF
     return j.withColumn("emails", F.coalesce("emails", empty)).withColumn("sources", F.coalesce("sources", empty))
 
 
-#: Which actions a job takes in which state, and the state after it.
-JOB_MOVES = {("start", "DRAFT"): "RUNNING", ("pause", "RUNNING"): "PAUSED", ("resume", "PAUSED"): "RUNNING", ("cancel", "DRAFT"): "CANCELLED", ("cancel", "RUNNING"): "CANCELLED", ("cancel", "PAUSED"): "CANCELLED"}
-
-
-def job_actions(jobs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Jobs after one action each; an action that the state does not allow changes nothing (Q-7)."""
-    chain = F
-    for (action, before), after in JOB_MOVES.items():
-        chain = chain.when((F.col("action") == action) & (F.col("status") == before), F.lit(after))
-    j = jobs.join(actions.select(F.col("job_id").alias("__j"), "action"), F.col("id") == F.col("__j"), "left")
-    return j.select(*[F.coalesce(chain.otherwise(F.lit(None).cast("string")), "status").alias(c) if c == "status" else F.col(c) for c in jobs.columns])
+#: States in which a job takes an action, and the state after it.
+JOB_ACTIONS = {
+    "start": (("QUEUED",), "RUNNING"),
+    "resume": (("PAUSED_USER", "PAUSED_QUOTA", "FAILED"), "RUNNING"),
+    "continue-free": (("RUNNING", "PAUSED_USER", "PAUSED_QUOTA", "FAILED"), "RUNNING"),
+    "pause": (("RUNNING",), "PAUSED_USER"),
+    "cancel": (("QUEUED", "RUNNING", "PAUSED_USER", "PAUSED_QUOTA", "FAILED"), "CANCELLED"),
+}
+PAID_SOURCE = "GOOGLE_PLACES"
+
+
+def _accepted(jobs: DataFrame, actions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``(job, did)`` of the actions that the jobs' states allow; a completed job with deferred paid tasks can resume."""
+    waiting = tasks.where((F.col("source") == PAID_SOURCE) & (F.col("status") == "DEFERRED")).select(F.col("job_id").alias("w")).distinct()
+    asked = jobs.select(F.col("id").alias("job"), F.col("status").alias("was")).join(actions.select(F.col("job_id").alias("j"), F.col("action").alias("did")), F.col("job") == F.col("j")).join(waiting, F.col("job") == F.col("w"), "left")
+    allowed = (F.col("did") == "resume") & (F.col("was") == "COMPLETED") & F.col("w").isNotNull()
+    for action, (states, _) in JOB_ACTIONS.items():
+        allowed = allowed | ((F.col("did") == action) & F.col("was").isin(*states))
+    return asked.where(allowed).select("job", "did")
+
+
+def job_actions(jobs: DataFrame, actions: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs and their tasks after one action each; an action that the state does not allow changes nothing (Q-7).
+
+    ``jobs``: ``(id, status, …)``; ``actions``: ``(job_id, action)``; ``tasks``: ``(job_id, source, status,
+    …)``. Starting and resuming put deferred and failed tasks back; ``continue-free`` defers the paid
+    ones and puts the others back, and a job without an open task is then complete; cancelling skips
+    what is open.
+    """
+    done = _accepted(jobs, actions, tasks)
+    status, did, paid = F.col("status"), F.col("did"), F.col("source") == PAID_SOURCE
+    again = F.when(status.isin("DEFERRED", "FAILED"), F.lit("PENDING"))
+    moved = (
+        F.when(did.isin("start", "resume"), again)
+        .when((did == "continue-free") & paid, F.when(status.isin("PENDING", "DEFERRED", "FAILED"), F.lit("DEFERRED")))
+        .when(did == "continue-free", again)
+        .when(did == "cancel", F.when(status.isin("PENDING", "DEFERRED"), F.lit("SKIPPED")))
+    )
+    next_tasks = tasks.join(done, F.col("job_id") == F.col("job"), "left").select(*[F.coalesce(moved, status).alias(c) if c == "status" else F.col(c) for c in tasks.columns])
+    open_ = next_tasks.where(F.col("status").isin("PENDING", "RUNNING")).select(F.col("job_id").alias("o")).distinct()
+    after = F
+    for action, (_, state) in JOB_ACTIONS.items():
+        after = after.when(did == action, F.lit(state))
+    over = (did == "continue-free") & F.col("o").isNull()
+    state = F.when(over, F.lit("COMPLETED")).otherwise(F.coalesce(after.otherwise(F.lit(None).cast("string")), status))
+    j = jobs.join(done, F.col("id") == F.col("job"), "left").join(open_, F.col("id") == F.col("o"), "left")
+    return j.select(*[state.alias(c) if c == "status" else F.col(c) for c in jobs.columns]), next_tasks
+
+
+def approve_budgets(jobs: DataFrame, approvals: DataFrame, price: float, monthly_cap: float) -> DataFrame:
+    """Jobs paused by the quota run again with what they spent and the extra budget as their total (Q-7).
+
+    ``jobs``: ``(id, status, paid_requests_used, extra_budget_eur, …)``; ``approvals``: ``(job_id,
+    extra_eur)``. Without paid requests, above the monthly cap or in another state nothing changes.
+    """
+    given = approvals.select(F.col("job_id").alias("j"), "extra_eur")
+    ok = F.col("extra_eur").isNotNull() & (F.col("status") == "PAUSED_QUOTA") & (F.col("extra_eur") <= monthly_cap) & F.lit(price > 0 and monthly_cap > 0)
+    change = {"status": F.lit("RUNNING"), "extra_budget_eur": F.floor((F.col("paid_requests_used") * price + F.col("extra_eur")) * 100 + 0.5) / 100}
+    return jobs.join(given, F.col("id") == F.col("j"), "left").select(*[F.when(ok, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in jobs.columns])
 
 
 def complete_jobs(tasks: DataFrame) -> DataFrame:

@@ -142,14 +142,44 @@ def dashboard(spark, d):
     return services.dashboard(rows, rows.where(F.col("email").isNotNull() & (F.size("review_reasons") == 0)))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND a = 'start' THEN 'RUNNING' WHEN o_orderstatus = 'O' AND a = 'pause' THEN 'PAUSED' WHEN a = 'cancel' THEN 'CANCELLED' WHEN o_orderstatus = 'F' THEN 'DRAFT' WHEN o_orderstatus = 'O' THEN 'RUNNING' ELSE 'PAUSED' END AS status
- FROM (SELECT *, list_extract(['start', 'pause', 'cancel', 'none'], CAST(o_orderkey % 4 AS INT) + 1) AS a FROM orders)""")
+JOBS_SQL = """
+j AS (SELECT o_orderkey AS id, list_extract(['QUEUED', 'RUNNING', 'PAUSED_USER', 'PAUSED_QUOTA', 'COMPLETED', 'FAILED', 'CANCELLED'], CAST(o_orderkey % 7 AS INT) + 1) AS was,
+             list_extract(['start', 'pause', 'resume', 'cancel', 'continue-free'], CAST(o_orderkey % 5 AS INT) + 1) AS asked FROM orders),
+t AS (SELECT l_orderkey AS job_id, l_linenumber AS n, CASE WHEN l_linenumber % 2 = 0 THEN 'GOOGLE_PLACES' ELSE 'OVERTURE' END AS source, list_extract(['PENDING', 'DEFERRED', 'FAILED', 'DONE'], CAST(l_partkey % 4 AS INT) + 1) AS status FROM lineitem),
+a AS (SELECT *, CASE WHEN (asked = 'start' AND was = 'QUEUED') OR (asked = 'pause' AND was = 'RUNNING') OR (asked = 'resume' AND (was IN ('PAUSED_USER', 'PAUSED_QUOTA', 'FAILED') OR (was = 'COMPLETED' AND id IN (SELECT job_id FROM t WHERE source = 'GOOGLE_PLACES' AND status = 'DEFERRED'))))
+             OR (asked = 'cancel' AND was NOT IN ('COMPLETED', 'CANCELLED')) OR (asked = 'continue-free' AND was IN ('RUNNING', 'PAUSED_USER', 'PAUSED_QUOTA', 'FAILED')) THEN asked END AS did FROM j),
+u AS (SELECT job_id, n, CASE WHEN did IN ('start', 'resume') AND status IN ('DEFERRED', 'FAILED') THEN 'PENDING' WHEN did = 'continue-free' AND source = 'GOOGLE_PLACES' AND status <> 'DONE' THEN 'DEFERRED'
+             WHEN did = 'continue-free' AND source <> 'GOOGLE_PLACES' AND status IN ('DEFERRED', 'FAILED') THEN 'PENDING' WHEN did = 'cancel' AND status IN ('PENDING', 'DEFERRED') THEN 'SKIPPED' ELSE status END AS status FROM t LEFT JOIN a ON id = job_id)
+"""
+
+
+def _jobs(spark, d):
+    k, pick = F.col("o_orderkey"), lambda n, *words: F.get(F.array(*[F.lit(w) for w in words]), n)
+    o = table(spark, d, "orders")
+    jobs = o.select(k.alias("id"), pick(k % 7, "QUEUED", "RUNNING", "PAUSED_USER", "PAUSED_QUOTA", "COMPLETED", "FAILED", "CANCELLED").alias("status"))
+    actions = o.select(k.alias("job_id"), pick(k % 5, "start", "pause", "resume", "cancel", "continue-free").alias("action"))
+    tasks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") % 2 == 0, "GOOGLE_PLACES").otherwise("OVERTURE").alias("source"), pick(F.col("l_partkey") % 4, "PENDING", "DEFERRED", "FAILED", "DONE").alias("status"))
+    return services.job_actions(jobs, actions, tasks)
+
+
+@query(f"""WITH {JOBS_SQL} SELECT id, CASE WHEN did = 'continue-free' AND id NOT IN (SELECT job_id FROM u WHERE status = 'PENDING') THEN 'COMPLETED' WHEN did IN ('start', 'resume', 'continue-free') THEN 'RUNNING' WHEN did = 'pause' THEN 'PAUSED_USER' WHEN did = 'cancel' THEN 'CANCELLED' ELSE was END AS status FROM a""")
 def job_actions(spark, d):
-    """Q-7: allowed actions only."""
+    """Q-7: states of jobs after allowed actions."""
+    return _jobs(spark, d)[0]
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, n, status FROM u")
+def job_task_states(spark, d):
+    """Q-7: their tasks put back, deferred or skipped."""
+    return _jobs(spark, d)[1].select("job_id", "n", "status")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 < 4 THEN 'RUNNING' WHEN o_orderkey % 2 = 0 THEN 'PAUSED_QUOTA' ELSE 'RUNNING' END AS status, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 < 4 THEN floor((o_orderkey % 100 * 0.03 + o_orderkey % 5 * 5) * 100 + 0.5) / 100 ELSE 0.0 END AS extra_budget_eur FROM orders""")
+def approve_budgets(spark, d):
+    """Q-7: extra budgets of jobs that the quota paused, up to the monthly cap."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    jobs = o.select(k.alias("id"), F.when(F.col("o_orderstatus") == "F", "DRAFT").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("PAUSED").alias("status"))
-    actions = o.where("o_orderkey % 4 < 3").select(k.alias("job_id"), F.get(F.array(F.lit("start"), F.lit("pause"), F.lit("cancel")), k % 4).alias("action"))
-    return services.job_actions(jobs, actions)
+    jobs = o.select(k.alias("id"), F.when(k % 2 == 0, "PAUSED_QUOTA").otherwise("RUNNING").alias("status"), (k % 100).alias("paid_requests_used"), F.lit(0.0).alias("extra_budget_eur"))
+    return services.approve_budgets(jobs, o.select(k.alias("job_id"), (k % 5 * 5.0).alias("extra_eur")), 0.03, 15.0).select("id", "status", "extra_budget_eur")
 
 
 @query("SELECT l_orderkey AS job_id FROM lineitem GROUP BY 1 HAVING bool_and(l_linestatus = 'F')")
