@@ -183,6 +183,10 @@ GRID_CELL = 0.002
 BAND_DEGREES = 0.01
 MAX_EMAILS_PER_SITE = 10
 E164 = r"^\+[1-9]\d{6,14}$"
+#: Domains of sample data, which are never crawled.
+EXAMPLE_SITE = r"(^|\.)example\.[a-z.]+$"
+#: States of a place that is closed, as leads and exports see it.
+CLOSED_PLACES = ("CLOSED_TEMPORARILY", "CLOSED_PERMANENTLY")
 CLOSED_STATUSES = ("permanently_closed", "temporarily_closed", "closed")
 MATCH_REASONS = ("DOMAIN", "PHONE", "NAME")
 REVIEW_REASONS = ("EMAIL_SYNTAX", "EMAIL_NO_MX", "EMAIL_MX_UNKNOWN", "EMAIL_ROLE", "NO_REAL_CITY", "NO_CATEGORY", "PHONE_INVALID")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.fixed import REVIEW_REASONS
+from terrane.functions.fixed import CLOSED_PLACES, REVIEW_REASONS
 from terrane.functions.text import fold, is_real_city, keyword_hits, like_escaped
 from terrane.operators.dedupe import DedupeRules, find_duplicates, merged_records, survivors
 from terrane.operators.joins import first_of, not_suppressed, small, word_prefixes
@@ -170,16 +170,24 @@ def primary_subcategory(candidates: DataFrame) -> DataFrame:
 
 
 def export_scope(scope: str = "new") -> Column:
-    """Gate passed, no chain, not closed; new: never exported; all: new or exported."""
-    base = (F.size("review_reasons") == 0) & ~F.col("is_chain") & (F.col("business_status") != "CLOSED_PERMANENTLY")
+    """Gate passed, no chain, not closed for good or for a time; new: never exported; all: new or exported.
+
+    Over ``review_reasons``, ``is_chain``, ``business_status``, ``status`` and the primary address's
+    ``email_status`` and ``exported_at``.
+    """
+    base = _open_leads()
     if scope == "new":
         return base & (F.col("status") == "NEW") & (F.col("email_status") == "NEW") & F.col("exported_at").isNull()
-    return base & F.col("status").isin("NEW", "EXPORTED")
+    return base & F.col("status").isin("NEW", "EXPORTED") & F.col("email_status").isin("NEW", "EXPORTED")
+
+
+def _open_leads() -> Column:
+    return (F.size("review_reasons") == 0) & ~F.col("is_chain") & ~F.col("business_status").isin(*CLOSED_PLACES)
 
 
 def ready_leads(leads: DataFrame, suppression: DataFrame, status_of_email: bool = True) -> DataFrame:
     """Leads ready for export and not suppressed; ``status_of_email`` tells the two definitions apart."""
-    scope = export_scope("new") if status_of_email else (F.size("review_reasons") == 0) & ~F.col("is_chain") & (F.col("business_status") != "CLOSED_PERMANENTLY") & (F.col("status") == "NEW") & F.col("exported_at").isNull()
+    scope = export_scope("new") if status_of_email else _open_leads() & (F.col("status") == "NEW") & F.col("exported_at").isNull()
     return not_suppressed(leads.where(F.col("email").isNotNull() & scope), F.col("email"), suppression)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.email import email_domain
+from terrane.functions.fixed import EXAMPLE_SITE
 from terrane.functions.text import matching_name
 from terrane.operators.joins import anti_join_any, classify_places
 from terrane.operators.state import insert_ignore
@@ -96,31 +97,47 @@ def renormalise(places: DataFrame) -> DataFrame:
     return places.select(*[name.alias(c) if c == "name_normalized" else F.col(c) for c in places.columns], (~F.col("name_normalized").eqNullSafe(name)).alias("name_changed"))
 
 
-def due_domains(places: DataFrame, crawls: DataFrame, emails: DataFrame, now: Column, stale_minutes: int = 15) -> DataFrame:
-    """Domains to crawl, first place first.
+def with_site(places: DataFrame) -> DataFrame:
+    """Places with an own site that is none of the examples."""
+    return places.where(F.col("website").isNotNull() & F.col("website_domain").isNotNull() & ~F.col("website_domain").rlike(EXAMPLE_SITE))
 
-    ``crawls``: ``(domain, status, retry_at, started_at)``. Domains of example sites and of places with
-    an address do not count.
+
+def crawlable(places: DataFrame) -> DataFrame:
+    """Places with an own site that were not rejected."""
+    return with_site(places).where(F.col("status") != "REJECTED")
+
+
+def due_domains(places: DataFrame, crawls: DataFrame, emails: DataFrame, now: Column, stale_minutes: int = 15, recheck_before: Column | None = None) -> DataFrame:
+    """Domains to crawl, first place first (F06, A08): never crawled, due again, or claimed too long ago.
+
+    ``places``: ``(id, status, website, website_domain)``; ``crawls``: ``(domain, status, retry_at,
+    started_at, emails_found, crawled_at)``, the last two only used with ``recheck_before``, which adds
+    domains crawled before that moment without an address. Domains of example sites, of rejected places and
+    of places with an address do not count.
     """
-    found = emails.select(F.col("place_id").alias("__p")).distinct()
-    open_ = places.where(F.col("website_domain").isNotNull() & ~F.col("website_domain").rlike(r"(^|\.)example\.")).join(found, F.col("id") == F.col("__p"), "left_anti")
+    found = emails.select(F.col("place_id").alias("p")).distinct()
+    open_ = crawlable(places).select("id", "website_domain").join(found, F.col("id") == F.col("p"), "left_anti")
     queue = open_.groupBy("website_domain").agg(F.min("id").alias("priority"))
-    j = queue.join(crawls, F.col("website_domain") == F.col("domain"), "left")
-    stale = (F.col("status") == "RUNNING") & (F.col("started_at") < now - F.make_interval(mins=F.lit(stale_minutes)))
-    due = F.col("domain").isNull() | (F.col("retry_at") <= now) | stale
-    return j.where(F.coalesce(due, F.lit(False))).select("website_domain", "priority").orderBy("priority")
+    running = F.col("status") == "RUNNING"
+    due = (~running & (F.col("retry_at") <= now)) | (running & (F.col("started_at") < now - F.make_interval(mins=F.lit(stale_minutes))))
+    if recheck_before is not None:
+        due = due | (F.col("status").isin("DONE", "FAILED") & (F.col("emails_found") == 0) & (F.col("crawled_at") < recheck_before))
+    asked = crawls.select("domain", F.coalesce(due, F.lit(False)).alias("due"))
+    return queue.join(asked, F.col("website_domain") == F.col("domain"), "left").where(F.coalesce("due", F.lit(True))).select("website_domain", "priority").orderBy("priority")
 
 
-def due_shop_checks(places: DataFrame, emails: DataFrame, checks: DataFrame, now: Column, days: int = 180) -> DataFrame:
-    """Own domains with a primary address whose shop check is missing or too old, first place first.
+def due_shop_checks(places: DataFrame, emails: DataFrame, checks: DataFrame, now: Column, days: int = 180, stale_minutes: int = 15) -> DataFrame:
+    """Own domains of places with an address whose shop check is missing, too old or claimed too long ago, first place first.
 
-    ``checks``: ``(domain, checked_at)``.
+    ``checks``: ``(domain, status, checked_at, updated_at)``.
     """
-    primary = emails.where("is_primary").select(F.col("place_id").alias("__p")).distinct()
-    open_ = places.where(F.col("website_domain").isNotNull() & ~F.col("website_domain").rlike(r"(^|\.)example\.")).join(primary, F.col("id") == F.col("__p"), "left_semi")
-    fresh = checks.where(F.col("checked_at") > now - F.make_interval(days=F.lit(days))).select(F.col("domain").alias("__d")).distinct()
-    queue = open_.join(fresh, F.col("website_domain") == F.col("__d"), "left_anti")
-    return queue.groupBy("website_domain").agg(F.min("id").alias("priority")).orderBy("priority")
+    having = emails.select(F.col("place_id").alias("p")).distinct()
+    open_ = crawlable(places).select("id", "website_domain").join(having, F.col("id") == F.col("p"), "left_semi")
+    running = F.col("status") == "RUNNING"
+    due = (~running & (F.col("checked_at") < now - F.make_interval(days=F.lit(days)))) | (running & (F.col("updated_at") < now - F.make_interval(mins=F.lit(stale_minutes))))
+    asked = checks.select("domain", F.coalesce(due, F.lit(False)).alias("due"))
+    queue = open_.groupBy("website_domain").agg(F.min("id").alias("priority"))
+    return queue.join(asked, F.col("website_domain") == F.col("domain"), "left").where(F.coalesce("due", F.lit(True))).select("website_domain", "priority").orderBy("priority")
 
 
 def kept_snapshots(snapshots: DataFrame, now: Column, days: int = 45) -> DataFrame:
@@ -164,26 +181,6 @@ def storage_estimate(n_places: int, table_bytes: int, new_places: int, limit_mb:
     return {"bytes_per_place": each, "after_mb": after, "fits": after <= limit_mb}
 
 
-def dashboard(leads: DataFrame, ready: DataFrame) -> DataFrame:
-    """One row of totals: all, with address, ready, held, by kind of address."""
-    held, kind = F.size("review_reasons") > 0, F.col("email_type")
-    flag = lambda test: F.when(test, 1).otherwise(0)
-    names = ("places", "with_email", "held", "generic", "personal", "ready")
-    every = leads.select(F.lit(1).alias("places"), flag(F.col("email").isNotNull()).alias("with_email"), flag(held).alias("held"), flag(kind == "GENERIC").alias("generic"), flag(kind == "PERSONAL").alias("personal"), F.lit(0).alias("ready"))
-    rows = every.union(ready.select(*[F.lit(int(n == "ready")).alias(n) for n in names]))
-    return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-
-
-def lead_detail(lead: DataFrame, emails: DataFrame, sources: DataFrame) -> DataFrame:
-    """Places with their addresses (primary first) and source records nested (P10)."""
-    item = F.struct((~F.col("is_primary")).alias("late"), "email")
-    e = emails.groupBy(F.col("place_id").alias("__e")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["email"]).alias("emails"))
-    s = sources.groupBy(F.col("place_id").alias("__s")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    j = lead.join(e, F.col("id") == F.col("__e"), "left").join(s, F.col("id") == F.col("__s"), "left").drop("__e", "__s")
-    empty = F.array().cast("array<string>")
-    return j.withColumn("emails", F.coalesce("emails", empty)).withColumn("sources", F.coalesce("sources", empty))
-
-
 #: States in which a job takes an action, and the state after it.
 JOB_ACTIONS = {
     "start": (("QUEUED",), "RUNNING"),

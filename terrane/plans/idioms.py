@@ -66,16 +66,16 @@ def retention(spark, d):
     return services.kept_snapshots(e.withColumnRenamed("ts", "taken_at"), now, 20).select("event_id")
 
 
-@query("""SELECT 'd' || c_custkey % 40 || '.cy' AS website_domain, min(c_custkey) AS priority FROM customer WHERE c_acctbal > 0 AND c_custkey % 40 NOT BETWEEN 5 AND 14 GROUP BY 1""")
+@query("""SELECT 'd' || c_custkey % 40 || '.cy' AS website_domain, min(c_custkey) AS priority FROM customer WHERE c_acctbal > 0 AND c_custkey % 3 > 0 AND c_custkey % 40 NOT BETWEEN 5 AND 14 AND c_custkey % 40 <> 20 GROUP BY 1""")
 def due_shop_checks(spark, d):
-    """domains of places with a primary address and no fresh check."""
+    """domains of places with an address and no fresh or running check."""
     domain = lambda n: F.concat(F.lit("d"), n.cast("string"), F.lit(".cy"))
-    c = table(spark, d, "customer")
-    rows = c.select(F.col("c_custkey").alias("id"), domain(F.col("c_custkey") % 40).alias("website_domain"))
-    emails = c.select(F.col("c_custkey").alias("place_id"), (F.col("c_acctbal") > 0).alias("is_primary"))
-    checked = F.when(F.col("id") < 15, F.to_timestamp(F.lit("2024-05-01"))).otherwise(F.to_timestamp(F.lit("2023-01-01")))
-    checks = spark.range(5, 20).select(domain(F.col("id")).alias("domain"), checked.alias("checked_at"))
-    return services.due_shop_checks(rows, emails, checks, F.to_timestamp(F.lit("2024-06-01")))
+    c, at = table(spark, d, "customer"), lambda text: F.to_timestamp(F.lit(text))
+    rows = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "REJECTED").otherwise("NEW").alias("status"), F.lit("x").alias("website"), domain(F.col("c_custkey") % 40).alias("website_domain"))
+    emails = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("place_id"))
+    n = F.col("id")
+    checks = spark.range(5, 22).select(domain(n).alias("domain"), F.when(n >= 20, "RUNNING").otherwise("DONE").alias("status"), F.when(n < 15, at("2024-05-01")).otherwise(at("2023-01-01")).alias("checked_at"), F.when(n == 20, at("2024-05-31 23:50:00")).otherwise(at("2024-05-31")).alias("updated_at"))
+    return services.due_shop_checks(rows, emails, checks, at("2024-06-01"))
 
 
 @query("SELECT p_partkey AS k, list_contains(['Brand#11', 'Brand#23'], p_brand) AS member, regexp_matches(p_name, '^[a-m]') AS early, NOT regexp_matches(p_type, '(STEEL|TIN)$') AS other FROM part")

@@ -86,19 +86,21 @@ def changed_rows(spark, d):
     return services.changed(old, new, "k", ["a", "b"])
 
 
-@query("""SELECT 'd' || o_custkey % 50 || CASE WHEN o_custkey % 50 = 7 THEN '.example.com' ELSE '.cy' END AS website_domain, min(o_orderkey) AS priority FROM orders WHERE o_orderkey % 4 > 0 AND o_custkey % 50 <> 7 AND NOT (o_custkey % 50 BETWEEN 10 AND 29) GROUP BY 1""")
+@query("""SELECT 'd' || o_custkey % 50 || CASE WHEN o_custkey % 50 = 7 THEN '.example.com' ELSE '.cy' END AS website_domain, min(o_orderkey) AS priority FROM orders
+ WHERE o_orderkey % 4 > 0 AND o_orderstatus <> 'P' AND o_orderkey % 13 > 0 AND o_custkey % 50 <> 7 AND NOT (o_custkey % 50 BETWEEN 10 AND 29 AND o_custkey % 50 NOT IN (12, 14)) GROUP BY 1""")
 def due_domains(spark, d):
-    """Domains to crawl, without example sites, known addresses and fresh crawls."""
+    """Domains to crawl, without example sites, rejected places, known addresses and fresh crawls; two are looked at again."""
     o, n = table(spark, d, "orders"), F.col("o_custkey") % 50
     domain = lambda x: F.concat(F.lit("d"), x.cast("string"), F.when(x == 7, ".example.com").otherwise(".cy"))
-    places = o.select(F.col("o_orderkey").alias("id"), domain(n).alias("website_domain"))
-    now, x = F.to_timestamp(F.lit("2024-01-01 12:00:00")), F.col("id")
-    state = F.when(x < 20, "DONE").when(x < 30, "RUNNING").when(x < 40, "RUNNING").otherwise("DONE")
-    retry = F.when(x < 20, F.to_timestamp(F.lit("2024-03-01"))).when(x >= 40, F.to_timestamp(F.lit("2023-12-01")))
-    started = F.when(x < 30, F.to_timestamp(F.lit("2024-01-01 11:50:00"))).otherwise(F.to_timestamp(F.lit("2024-01-01 11:00:00")))
-    crawls = spark.range(10, 50).select(domain(x).alias("domain"), state.alias("status"), retry.alias("retry_at"), started.alias("started_at"))
+    places = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "REJECTED").otherwise("NEW").alias("status"), F.when(F.col("o_orderkey") % 13 > 0, domain(n)).alias("website"), domain(n).alias("website_domain"))
+    at, x = lambda text: F.to_timestamp(F.lit(text)), F.col("id")
+    now = at("2024-01-01 12:00:00")
+    state = F.when(x.between(20, 39), "RUNNING").otherwise("DONE")
+    retry = F.when(x < 20, at("2024-03-01")).otherwise(at("2023-12-01"))
+    started = F.when(x < 30, at("2024-01-01 11:50:00")).otherwise(at("2024-01-01 11:00:00"))
+    crawls = spark.range(10, 50).select(domain(x).alias("domain"), state.alias("status"), retry.alias("retry_at"), started.alias("started_at"), F.when(x.isin(12, 13, 14), 0).otherwise(1).alias("emails_found"), F.when(x == 13, now).otherwise(at("2023-06-01")).alias("crawled_at"))
     emails = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("place_id"))
-    return services.due_domains(places, crawls, emails, now)
+    return services.due_domains(places, crawls, emails, now, recheck_before=at("2023-12-31"))
 
 
 @query("SELECT l_partkey AS email, arg_min(l_orderkey, (l_shipdate, l_linenumber, l_orderkey)) AS place_id FROM lineitem GROUP BY 1")
@@ -125,23 +127,6 @@ def crawl_funnel(spark, d):
     return services.crawl_funnel(table(spark, d, "orders").select(error.alias("error"), (F.col("o_custkey") % 3).alias("emails_found")))
 
 
-@query("""SELECT c_custkey AS id, coalesce(string_agg(o_orderpriority, ';' ORDER BY (o_orderstatus = 'O') DESC, o_orderpriority), '') AS emails, coalesce(string_agg(DISTINCT o_orderstatus, ';' ORDER BY o_orderstatus), '') AS sources FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
-def lead_detail(spark, d):
-    """P10 J09."""
-    o = table(spark, d, "orders")
-    emails = o.select(F.col("o_custkey").alias("place_id"), (F.col("o_orderstatus") == "O").alias("is_primary"), F.col("o_orderpriority").alias("email"))
-    found = services.lead_detail(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), emails, o.select(F.col("o_custkey").alias("place_id"), F.col("o_orderstatus").alias("source")))
-    return found.select("id", F.array_join("emails", ";").alias("emails"), F.array_join("sources", ";").alias("sources"))
-
-
-@query("""SELECT count(*) AS places, count(*) FILTER (WHERE c_custkey % 3 > 0) AS with_email, count(*) FILTER (WHERE c_acctbal < 0) AS held, count(*) FILTER (WHERE c_custkey % 3 = 1) AS generic, count(*) FILTER (WHERE c_custkey % 3 = 2) AS personal, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_acctbal >= 0) AS ready FROM customer""")
-def dashboard(spark, d):
-    """P09."""
-    k = F.col("c_custkey") % 3
-    rows = table(spark, d, "customer").select(F.when(k > 0, F.lit("x")).alias("email"), F.when(F.col("c_acctbal") < 0, F.array(F.lit("NO_CATEGORY"))).otherwise(F.array().cast("array<string>")).alias("review_reasons"), F.when(k == 1, "GENERIC").when(k == 2, "PERSONAL").alias("email_type"))
-    return services.dashboard(rows, rows.where(F.col("email").isNotNull() & (F.size("review_reasons") == 0)))
-
-
 JOBS_SQL = """
 j AS (SELECT o_orderkey AS id, list_extract(['QUEUED', 'RUNNING', 'PAUSED_USER', 'PAUSED_QUOTA', 'COMPLETED', 'FAILED', 'CANCELLED'], CAST(o_orderkey % 7 AS INT) + 1) AS was,
              list_extract(['start', 'pause', 'resume', 'cancel', 'continue-free'], CAST(o_orderkey % 5 AS INT) + 1) AS asked FROM orders),
