@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import chat, decontaminate, html, licenses, lines, packing, quality, secrets, simhash, urls
+from terrane.llm import chat, decontaminate, html, licenses, lines, negatives, packing, quality, secrets, simhash, urls
 from terrane.session import table
 
 
@@ -50,6 +50,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat_format": op2_chat_format,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -68,6 +73,7 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.ORACLE,
     "op8_url_filter": urls.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
 
 
