@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import chat, decontaminate, html, licenses, lines, negatives, packing, quality, secrets, simhash, urls
+from terrane.llm import chat, decontaminate, divergence, html, licenses, lines, negatives, packing, quality, secrets, simhash, urls
 from terrane.session import table
 
 
@@ -54,6 +54,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat_format": op2_chat_format,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,6 +79,7 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": urls.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
 
 
