@@ -5,7 +5,9 @@ text length without the part in links, times what the mark-up says about it. Lin
 element that marks the article weigh more, the others of such a page less; lines inside elements
 that are no part of an article (menus, headers, footers, forms and the like, by element, role,
 class or id) weigh nothing, but a class or id that only contains such a word ("social-science")
-is overruled where its element holds most of the page's text. Sums of weights over sliding
+is overruled where its element holds most of the page's text, and a form where it holds the article. In
+an article, words that also name parts of articles ("discussion") do not count on text blocks and as
+ids of sections. Lines of the page's owner (copyright) outside an article weigh nothing either. Sums of weights over sliding
 windows of lines surge where the main text begins and dive where it ends; lines of weight between
 a surge and its dive are kept, and so are those elsewhere in the element that contains them.
 """
@@ -49,6 +51,12 @@ NAMES = (
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "paywall",
     "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "discussion", "feedback", "responses", "adsbygoogle", "advertorial", "rail", "replies", "reply", "respond", "form", "search", "searchbox", "skip", "hidden",
 )
+#: Words of these that also name parts of articles: they say nothing as id of a section or in a text block of an article.
+WEAK = ("discussion", "responses", "feedback", "search", "navigation", "form", "notice", "notices", "alert", "side", "header", "popular", "toc", "hidden", "skip", "rail", "reply", "respond", "share", "sharing", "social", "subscription", "login")
+#: Elements that often hold whole pages. They do so if the article's mark is inside, or this share of the text of a page without a mark.
+FRAMES, FRAMED = ("form", "fieldset"), 0.9
+#: Openings of lines that name the owner of the page.
+OWNER = ("©", "(c) ", "copyright ")
 #: Words that may stand beside those in a class without making it mean anything else.
 GLUE = (
     "area", "bar", "block", "bottom", "box", "col", "column", "container", "global", "group", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "my",
@@ -76,7 +84,8 @@ TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
-_ASIDE, _ROLES, _NAMES, _GLUE, _MARKS, _BLOCKS, _VOID = map(frozenset, (ASIDE, ROLES, NAMES, GLUE, MARKS, BLOCKS, VOID))
+_ASIDE, _ROLES, _NAMES, _WEAK, _GLUE, _MARKS, _BLOCKS, _VOID = map(frozenset, (ASIDE, ROLES, NAMES, WEAK, GLUE, MARKS, BLOCKS, VOID))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _ENDED = frozenset((*SCOPES, *(x for names in IMPLIED.values() for x in names)))
 ENDS = {name: re.compile(rf"</{name}\s*(?:>|\Z)|\Z", re.I) for name in RAW if name != "head"}
 
@@ -89,9 +98,11 @@ class Block:
 
 @dataclass(eq=False)
 class Doubt:
-    """An element whose class or id only contains a word of ``NAMES``, inside another one or none."""
+    """An element whose class or id only contains a word of ``NAMES``, or one of ``FRAMES``, inside another one or none."""
 
     parent: Doubt | None
+    frame: bool = False
+    marked: bool = False
     chars: int = 0
     holds: bool = True
 
@@ -116,6 +127,8 @@ def aside_evidence(name: str, attrs: str, in_article: bool) -> int:
     words_of = lambda value: [WORDS.findall(x) for x in value.split()]
     given = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in ATTR.findall(attrs)} if attrs.strip() else {}
     own = {w for words in words_of(given.get("class", "") + " " + given.get("id", "")) for w in words}
+    if name in FRAMES:
+        return DOUBTFUL
     if name in _ASIDE and not (name == "header" and in_article and (not given or own & set(OWN_HEADER))):
         return SURE
     if name in ("html", "body", "article", "main"):
@@ -124,10 +137,14 @@ def aside_evidence(name: str, attrs: str, in_article: bool) -> int:
         return SURE
     found = NOTHING
     for key in ("class", "id"):
+        if key == "id" and name in HEADINGS:
+            continue  # where a link leads, not what the heading is
+        mild = in_article and (name in TEXT_BLOCKS or (key == "id" and name == "section"))
         for words in words_of(given.get(key, "")):
-            hits = [w for w in words if w in _NAMES and not (w == "header" and any(x in OWN_HEADER for x in words))]
+            hits = [w for w in words if w in _NAMES and not (w == "header" and any(x in OWN_HEADER for x in words)) and not (mild and w in _WEAK)]
             if hits:
-                found = max(found, SURE if all(w in _NAMES or w in _GLUE or w.isdigit() for w in words) else DOUBTFUL)
+                plainly = hits != ["side"] and all(w in _NAMES or w in _GLUE or w.isdigit() for w in words)
+                found = max(found, SURE if plainly else DOUBTFUL)
     return found
 
 
@@ -233,7 +250,7 @@ def lines_of(page: str) -> list[Line]:
             continue
         evidence = aside_evidence(name, tag["attrs"], opened["article"] > 0)
         sure = name == "head" or evidence == SURE
-        own_doubt = Doubt(doubt) if evidence == DOUBTFUL else None
+        own_doubt = Doubt(doubt, name in FRAMES) if evidence == DOUBTFUL else None
         if name in _BLOCKS:
             block = Block(name, block)
             blocks.append(len(stack))
@@ -241,6 +258,8 @@ def lines_of(page: str) -> list[Line]:
             ended.append(len(stack))
         marks = name in _MARKS or 'role="main"' in tag["attrs"] or "articleBody" in tag["attrs"]
         own_mark = block if marks and mark is None else None
+        if own_mark is not None and doubt is not None and not aside:
+            doubt.marked = True
         stack.append((name, sure, own_doubt, own_mark, name == "a"))
         opened[name] += 1
         aside, link, doubt, mark = aside + sure, link + (name == "a"), own_doubt or doubt, own_mark or mark
@@ -249,8 +268,8 @@ def lines_of(page: str) -> list[Line]:
 
 
 def _settle_doubts(lines: list[Line]) -> None:
-    """Mark the lines in doubtful elements as outside, unless the element holds most of the page's text."""
-    total = 0
+    """Mark the lines in doubtful elements as outside, unless the element holds most of the page's text or, as a frame, its article."""
+    total, has_mark = 0, any(x.mark and not x.outside for x in lines)
     for x in lines:
         if not x.outside:
             total += len(x.text) - x.linked
@@ -277,8 +296,10 @@ def _settle_doubts(lines: list[Line]) -> None:
     for d in chain:
         if d.parent is not None:
             d.parent.chars += d.chars
+            d.parent.marked |= d.marked
     for d in reversed(chain):
-        d.holds = d.chars < OVERRULED * total or (d.parent is not None and d.parent.holds)
+        held = not d.marked and (has_mark or d.chars < FRAMED * total) if d.frame else d.chars < OVERRULED * total
+        d.holds = held or (d.parent is not None and d.parent.holds)
     for x in lines:
         x.outside = x.outside or (x.doubt is not None and x.doubt.holds)
 
@@ -291,6 +312,8 @@ def line_weights(lines: list[Line]) -> list[float]:
         own = max(0, len(x.text) - x.linked)
         if x.outside:
             return 0.0
+        if not x.mark and x.text[:10].lower().startswith(OWNER):
+            return 0.0
         if x.mark:
             return MARKED * own + MARKED_LINK * min(x.linked, len(x.text))
         return own * (UNMARKED if has_mark else 1.0)
