@@ -1,11 +1,13 @@
 r"""Line deduplication by a log-template tree of fixed depth (DataFrame functions only).
 
 A line's tokens are its words; a word with a digit is variable from the start and counts as
-``<*>``. The tree has two fixed paths: the number of tokens and then the leading tokens, or the
-trailing ones, so that a field in a line's head still meets its like. A leaf holds the distinct
-lines of a path. Where a leaf has several, its positions are generalised: a token that no other
-line of the leaf has in its place is a field and becomes ``<*>``. Lines of which at least two
-thirds of the tokens stay belong to the template of what stays.
+``<*>``. A path of the tree is the number of tokens and then up to three neighbouring tokens, which are
+the leading ones, the trailing ones or one of two runs between them, so that a line whose fields lie in at
+most three of these runs still meets its like. A leaf holds the distinct lines of a path. In leaves
+of several lines positions are generalised: a token is constant if other lines of the leaf have it
+in its place, and of these at least half as many as have the line's middling token in its place; all others are
+fields and become ``<*>``, those of few values included. Lines of which at least two thirds of the
+tokens stay belong to the template of what stays.
 
 A template recurs by the number of its documents: whole lines from two documents on, generalised
 ones from three, and short lines ("The end."), which meet by chance, from ten. Lines of a
@@ -27,8 +29,11 @@ from terrane.llm.expressions import SPACE_RUN, bind, fresh, named, text_of, word
 from terrane.operators.joins import small
 from terrane.session import checkpointed
 
-#: Leading or trailing tokens on a path; half of the tokens of lines with fewer than six.
-DEPTH = 3
+#: Runs of tokens that begin a path, evenly spread: the most of them, for lines of so many tokens; fewer in shorter lines.
+RUNS = ((8, 4), (6, 3), (0, 2))
+#: Tokens of a run, for lines of so many tokens.
+DEPTH = ((12, 3), (4, 2), (0, 1))
+LEAVES = tuple(f"leaf{i}" for i in range(4))
 #: A word with a digit, matched from its beginning.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
@@ -48,17 +53,28 @@ def tokens(line: Column) -> Column:
     return words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line))
 
 
+def by_size(n: Column, steps: tuple[tuple[int, int], ...]) -> Column:
+    """The value of the first step that ``n`` reaches."""
+    chain = F
+    for least, value in steps[:-1]:
+        chain = chain.when(n >= least, F.lit(value))
+    return chain.otherwise(F.lit(steps[-1][1]))
+
+
 def line_key(line: Column, short_chars: int) -> Column:
-    """Hashes of the whole line and its two paths, and whether it is long; null for a line without tokens."""
+    """Hashes of the whole line and its paths, and whether it is long; null for a line without tokens."""
 
     def of(t: Column) -> Column:
         n = F.size(t)
-        k = F.least(F.lit(DEPTH), F.floor(n / 2)).cast("int")
-        path = lambda side, part: F.when(n > 2, F.xxhash64(F.lit(side), n, part))
+        k, runs = by_size(n, DEPTH), by_size(n, RUNS)
+
+        def path(i: int) -> Column:
+            first = F.floor(F.lit(i) * (n - k) / (runs - 1)).cast("int") + 1
+            return F.when((n > 2) & (runs > i), F.xxhash64(F.lit(i), n, F.slice(t, first, k)))
+
         key = F.struct(
             F.xxhash64(n, t).alias("whole"),
-            path(0, F.slice(t, F.lit(1), k)).alias("head"),
-            path(1, F.slice(t, n - k + 1, k)).alias("tail"),
+            *[path(i).alias(c) for i, c in enumerate(LEAVES)],
             (F.length(F.array_join(t, "")) >= short_chars).alias("long"),
         )
         return F.when(n > 0, key)
@@ -71,7 +87,7 @@ def _lines(text: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, line, whole, head, tail, long)`` of all lines with tokens in documents with an id."""
+    """``(doc, line, whole, leaf0 .. leaf3, long)`` of all lines with tokens in documents with an id."""
     keys = F.transform(_lines(text_of(named(text_col))), lambda line: line_key(line, rules.short_chars))
     # Counting and dropping both need the hashes; they are small beside the texts and are made once.
     hashed = checkpointed(docs.select(named(id_col).cast("long").alias("doc"), keys.alias("keys")).where("doc IS NOT NULL"))
@@ -84,8 +100,8 @@ def distinct_lines(keys: DataFrame) -> DataFrame:
     Summed up in the map tasks over rows that are distinct by document first, so a line in a third
     of all documents does not meet in one task.
     """
-    by_doc = keys.groupBy("whole", "doc", "head", "tail", "long").agg(F.lit(1).alias("one"))
-    return by_doc.groupBy("whole", "head", "tail", "long").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"))
+    by_doc = keys.groupBy("whole", "doc", *LEAVES, "long").agg(F.lit(1).alias("one"))
+    return by_doc.groupBy("whole", *LEAVES, "long").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"))
 
 
 def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +110,7 @@ def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str,
     Positions are counted by leaf, place and token with map-side sums; a template is an
     order-free hash of the tokens that stay with their places, so no leaf is ever collected.
     """
-    paths = distinct.select("whole", "long", "n_docs", "first_doc", F.explode(F.array("head", "tail")).alias("leaf")).where("leaf IS NOT NULL")
+    paths = distinct.select("whole", "long", "n_docs", "first_doc", F.explode(F.array(*LEAVES)).alias("leaf")).where("leaf IS NOT NULL")
     mixed = paths.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= rules.generalised))
     members = checkpointed(paths.join(mixed.select(F.col("leaf").alias("m")), F.col("leaf") == F.col("m"), "left_semi").select("whole", "long", "leaf", "first_doc"))
     # The tokens come from the first document of each line: few documents, or a shuffle where they are many.
@@ -104,10 +120,19 @@ def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str,
     words = words.join(members.select(F.col("whole").alias("m")).distinct(), F.col("w") == F.col("m"), "left_semi").groupBy("w").agg(F.first("words").alias("words"))
     placed = checkpointed(members.join(words, F.col("whole") == F.col("w")).select("whole", "long", "leaf", F.transform("words", lambda t: F.xxhash64(t)).alias("words")))
     at = placed.select("whole", "long", "leaf", F.size("words").alias("n"), F.posexplode("words").alias("place", "token"))
-    kept = at.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("leaf").alias("l"), F.col("place").alias("p"), F.col("token").alias("t"))
+    kept = at.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("leaf").alias("l"), F.col("place").alias("p"), F.col("token").alias("t"), "lines")
     stays = at.join(kept, (F.col("leaf") == F.col("l")) & (F.col("place") == F.col("p")) & (F.col("token") == F.col("t")))
-    shape = stays.groupBy("leaf", "whole", "long", "n").agg(F.count("*").alias("same"), F.bit_xor(F.xxhash64("place", "token")).alias("mark"))
-    return shape.where("same < n AND 3 * same >= 2 * n").select("whole", F.xxhash64("leaf", "same", "mark").alias("template"), "long")
+    mark = F.struct("lines", F.xxhash64("place", "token").alias("mark"))
+    shape = stays.groupBy("leaf", "whole", "long", "n").agg(F.sort_array(F.collect_list(mark)).alias("x")).where(3 * F.size("x") >= 2 * F.col("n"))
+
+    def constant(x: Column) -> Column:
+        # Tokens that no other line has in their place are not in x, and rank below all that are.
+        middling = F.get(x, (F.floor((F.col("n") - 1) / 2) - (F.col("n") - F.size(x))).cast("int"))["lines"]
+        return bind(middling, lambda m: F.filter(x, lambda e: 2 * e["lines"] >= m))
+
+    shape = shape.select("leaf", "whole", "long", "n", constant(F.col("x")).alias("x")).where((F.size("x") < F.col("n")) & (3 * F.size("x") >= 2 * F.col("n")))
+    mixed_marks = F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e["mark"]))
+    return shape.select("whole", F.xxhash64("leaf", F.size("x"), mixed_marks).alias("template"), "long")
 
 
 def recurring(docs: DataFrame, keys: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,19 +210,26 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def _case(steps: tuple[tuple[int, int], ...]) -> str:
+    return "CASE " + " ".join(f"WHEN len(w) >= {least} THEN {value}" for least, value in steps) + " END"
+
+
 _WORD = r"[^\x20\x09-\x0D]*"
 _RULES = Rules()
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 x AS (SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(regexp_replace(l[i], '{_WORD}[0-9]{_WORD}', '<*>', 'g'), '{SPACE_RUN}'), lambda w: w <> '') AS w
       FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d WHERE doc_id IS NOT NULL)),
-y AS (SELECT doc_id, line, w, len(w) AS n, least({DEPTH}, len(w) // 2) AS k, array_to_string(w, ' ') AS whole, length(array_to_string(w, '')) >= {_RULES.short_chars} AS long_ FROM x WHERE len(w) > 0),
-u AS (SELECT whole, any_value(w) AS w, any_value(n) AS n, any_value(k) AS k, any_value(long_) AS long_, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM y GROUP BY whole),
-p AS (SELECT *, 'h ' || n || ' ' || array_to_string(w[1:k], ' ') AS leaf FROM u WHERE n > 2 UNION ALL SELECT *, 't ' || n || ' ' || array_to_string(w[n - k + 1:n], ' ') FROM u WHERE n > 2),
+y AS (SELECT doc_id, line, w, len(w) AS n, {_case(DEPTH)} AS k, {_case(RUNS)} AS runs, array_to_string(w, ' ') AS whole, length(array_to_string(w, '')) >= {_RULES.short_chars} AS long_ FROM x WHERE len(w) > 0),
+u AS (SELECT whole, any_value(w) AS w, any_value(n) AS n, any_value(k) AS k, any_value(runs) AS runs, any_value(long_) AS long_, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM y GROUP BY whole),
+z AS (SELECT *, i * (n - k) // (runs - 1) AS at_ FROM (SELECT *, unnest(generate_series(0, runs - 1)) AS i FROM u WHERE n > 2)),
+p AS (SELECT *, i || ' ' || n || ' ' || array_to_string(w[at_ + 1:at_ + k], ' ') AS leaf FROM z),
 m AS (SELECT leaf FROM p GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {_RULES.generalised}),
 a AS (SELECT leaf, whole, long_, n, unnest(generate_series(1, n)) AS place, unnest(w) AS token FROM p WHERE leaf IN (SELECT leaf FROM m)),
-s AS (SELECT leaf, place, token FROM a GROUP BY ALL HAVING count(*) > 1),
-g AS (SELECT whole, long_, leaf || ' | ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS template FROM a JOIN s USING (leaf, place, token) GROUP BY leaf, whole, long_, n HAVING count(*) < n AND 3 * count(*) >= 2 * n),
+s AS (SELECT leaf, place, token, count(*) AS c FROM a GROUP BY ALL HAVING count(*) > 1),
+b AS (SELECT leaf, whole, list(c ORDER BY c) AS cs FROM a JOIN s USING (leaf, place, token) GROUP BY leaf, whole, n HAVING 3 * count(*) >= 2 * n),
+g AS (SELECT leaf, whole, long_, leaf || ' | ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS template FROM a JOIN s USING (leaf, place, token) JOIN b USING (leaf, whole)
+      WHERE 2 * c >= cs[(n - 1) // 2 - (n - len(cs)) + 1] GROUP BY leaf, whole, long_, n HAVING count(*) < n AND 3 * count(*) >= 2 * n),
 c AS (SELECT template, min(doc_id) AS kept_in FROM g JOIN y USING (whole) GROUP BY template HAVING count(DISTINCT doc_id) >= CASE WHEN bool_and(g.long_) THEN {_RULES.generalised} ELSE {max(_RULES.generalised, _RULES.short)} END),
 r AS (SELECT whole, min(kept_in) AS kept_in FROM (SELECT whole, first_doc AS kept_in FROM u WHERE docs >= CASE WHEN long_ THEN {_RULES.whole} ELSE {max(_RULES.whole, _RULES.short)} END UNION ALL SELECT whole, kept_in FROM g JOIN c USING (template)) GROUP BY whole),
 h AS (SELECT DISTINCT doc_id, line, kept_in FROM y JOIN r USING (whole) WHERE doc_id > kept_in),
