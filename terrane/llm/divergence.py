@@ -10,6 +10,7 @@ the language, and keeps for each source the terms that it uses more.
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ LEAST_DOCS = 30
 #: Terms reported for each source.
 TOP = 50
 #: Bytes of a step in the trie.
-STRIDE = 4
+STRIDE = 6
 #: Counters that a task holds; beyond it, its tries are written and begun anew (their leaves merge later).
-CELLS = 300_000
+CELLS = 500_000
+#: A counter is this times the documents plus the occurrences, which stay below it in what one trie holds.
+DOCUMENT = 1 << 40
 #: Bytes of a text that are split at a time.
 SLICE = 1 << 20
 #: Key ranges for each shuffle partition, documents and leaves from which their bounds are estimated.
@@ -47,32 +50,34 @@ SCORES = "lang string, source string, part string, item string, value long"
 
 
 class Trie:
-    """Terms by steps of ``STRIDE`` bytes; the last step, shorter than that, leads to a leaf: source -> [occurrences, documents]."""
+    """Terms by steps of ``STRIDE`` bytes; the last step, shorter than that, leads to a leaf: source -> occurrences and documents in one number."""
 
     def __init__(self) -> None:
         self.root: dict = {}
         self.cells = 0
 
-    def add(self, term: bytes, source: str, n: int) -> None:
-        """``n`` occurrences in one document."""
-        node, at = self.root, 0
-        while len(term) - at >= STRIDE:
-            step = term[at : at + STRIDE]
-            at += STRIDE
-            if (below := node.get(step)) is None:
-                below = node[step] = {}
-            node = below
-        step = term[at:]
-        if (leaf := node.get(step)) is None:
-            leaf = node[step] = {}
-        if (cell := leaf.get(source)) is None:
-            leaf[source] = [n, 1]
-            self.cells += 1
-        else:
-            cell[0] += n
-            cell[1] += 1
-
-    def leaves(self) -> Iterator[tuple[bytes, dict[str, list[int]]]]:
+    def add(self, found: Counter, source: str) -> None:
+        """The terms of one document."""
+        root, new = self.root, 0
+        for term, n in found.items():
+            node, step = root, term
+            while len(step) >= STRIDE:
+                below = node.get(step[:STRIDE])
+                if below is None:
+                    below = node[step[:STRIDE]] = {}
+                node, step = below, step[STRIDE:]
+            leaf = node.get(step)
+            if leaf is None:
+                node[step] = {source: DOCUMENT + n}
+                new += 1
+            elif source in leaf:
+                leaf[source] += DOCUMENT + n
+            else:
+                leaf[source] = DOCUMENT + n
+                new += 1
+        self.cells += new
+
+    def leaves(self) -> Iterator[tuple[bytes, dict[str, int]]]:
         """Terms in byte order with their counters."""
         stack = [(b"", iter(sorted(self.root.items())))]
         while stack:
@@ -103,32 +108,43 @@ def terms(raw: bytes) -> Counter:
 def _leaf_rows(bounds: list[tuple[bytes, bytes]]):
     """Leaves of the tries of one task; for every (language, source) also one without term."""
 
-    def written(tries: dict[str, Trie], groups: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(6)]
-
-        def put(*row) -> None:
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
+    def batch(lang: str, terms: list, sizes: list, places: list, sources: list, cells: list) -> pa.RecordBatch:
+        packed, sizes = np.array(cells, np.int64), np.array(sizes)
+        rows = pa.array(np.repeat(np.arange(len(terms)), sizes))
+        columns = [pa.array(np.repeat(np.array(places, np.int32), sizes)), pa.array([lang] * len(cells), pa.string()), pa.array(terms, pa.binary()).take(rows), pa.array(sources, pa.string())]
+        return pa.record_batch([*columns, pa.array(packed % DOCUMENT), pa.array(packed // DOCUMENT)], names=["range", "lang", "term", "source", "n", "docs"])
 
-        for lang, source in sorted(groups):
-            put(bisect_right(bounds, (lang.encode(), b"")), lang, b"", source, 0, 0)
-        for lang, trie in sorted(tries.items()):
-            key = lang.encode()
+    def written(tries: dict[str, Trie], groups: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list[str]] = {}
+        for lang, source in groups:
+            own.setdefault(lang, []).append(source)
+        for lang, trie in tries.items():
+            key, sources = lang.encode(), own[lang]
+            at = bisect_right(bounds, (key, b""))
+            yield batch(lang, [b""], [len(sources)], [at], sources, [0] * len(sources))
+            names, sizes, places, sources, cells = [], [], [], [], []
             for term, leaf in trie.leaves():
-                at = bisect_right(bounds, (key, term))
-                for source, (n, docs) in leaf.items():
-                    put(at, lang, term, source, n, docs)
-                if len(out[0]) >= 50_000:
-                    yield _batch(out)
-                    out = [[] for _ in range(6)]
-        if out[0]:
-            yield _batch(out)
-
-    def _batch(columns: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["range", "lang", "term", "source", "n", "docs"])
+                while at < len(bounds) and bounds[at] <= (key, term):
+                    at += 1
+                names.append(term)
+                sizes.append(len(leaf))
+                places.append(at)
+                sources += leaf
+                cells += leaf.values()
+                if len(cells) >= 50_000:
+                    yield batch(lang, names, sizes, places, sources, cells)
+                    names, sizes, places, sources, cells = [], [], [], [], []
+            if cells:
+                yield batch(lang, names, sizes, places, sources, cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # tries are many dictionaries without cycles; looking for some costs more than counting
+        try:
+            yield from counted(batches)
+        finally:
+            gc.enable()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = {}
         groups: set[tuple[str, str]] = set()
         cells = 0
@@ -137,9 +153,8 @@ def _leaf_rows(bounds: list[tuple[bytes, bytes]]):
                 groups.add((lang, source))
                 if (trie := tries.get(lang)) is None:
                     trie = tries[lang] = Trie()
-                before, add = trie.cells, trie.add
-                for term, n in terms(raw.as_py()).items():
-                    add(term, source, n)
+                before = trie.cells
+                trie.add(terms(raw.as_py()), source)
                 cells += trie.cells - before
                 if cells + len(groups) >= CELLS:
                     yield from written(tries, groups)
