@@ -14,15 +14,15 @@ from terrane.functions.fixed import GENERIC_NAME_WORDS, LEGAL_FORMS, NOT_A_CITY,
 
 @cache
 def _fold_table() -> tuple[str, str]:
-    """Composed letters of the basic plane and the base letter of their canonical decomposition.
+    """Composed letters and the base letter of their canonical decomposition, from the Unicode database.
 
-    Built from the Unicode database; Hangul syllables, which decompose into several letters, stay.
+    Every canonical decomposition has one letter and marks, but for Hangul syllables, which have two or three.
     """
     source, target = [], []
-    for code in range(0xC0, 0x10000):
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
-            continue
+    for code in range(0xC0, 0x110000):
         char = chr(code)
+        if not unicodedata.decomposition(char) or unicodedata.decomposition(char).startswith("<"):
+            continue
         base = [c for c in unicodedata.normalize("NFD", char) if not unicodedata.category(c).startswith("M")]
         if len(base) == 1 and base[0] != char:
             source.append(char)
@@ -30,15 +30,42 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@cache
+def _mark_class() -> str:
+    """A pattern of all combining marks of the Unicode database; the JVM's own may be of an older version."""
+    runs: list[list[int]] = []
+    for code in range(0x300, 0x110000):
+        if unicodedata.category(chr(code)).startswith("M"):
+            if runs and runs[-1][1] == code - 1:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]+"
+
+
+def _hangul(text: Column) -> Column:
+    """Hangul syllables as their letters, by the arithmetic of the Unicode standard (syllable blocks of 28 and 588)."""
+    char = lambda n: F.decode(F.unhex(F.hex(n)), "UTF-16BE")
+
+    def letters(c: Column) -> Column:
+        s = (F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long") - 0xAC00).cast("long")
+        lead, vowel, tail = 0x1100 + F.floor(s / 588), 0x1161 + F.floor(s % 588 / 28), 0x11A7 + s % 28
+        return F.concat(char(lead), char(vowel), F.when(s % 28 == 0, "").otherwise(char(tail)))
+
+    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike("^[가-힣]$"), letters(c)).otherwise(c))
+    return F.array_join(each, "")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is computed once a row, however often the body uses it."""
     return F.transform(F.array(value), body).getItem(0)
 
 
 def strip_marks(text: Column) -> Column:
-    """The text without accents and other combining marks; ASCII texts are not touched."""
+    """The canonical decomposition of the text without its combining marks; ASCII texts are not touched."""
     source, target = _fold_table()
-    plain = F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
+    plain = F.regexp_replace(F.translate(text, source, target), _mark_class(), "")
+    plain = F.when(text.rlike("[가-힣]"), _hangul(plain)).otherwise(plain)
     return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrane.functions import fixed
+from terrane.functions import fixed, web_address
 from terrane.functions.text import fold, let
 
 
@@ -50,12 +50,22 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^https?://([^/?#:]+)", 1)
 
 
+def _asked(query: Column) -> Column:
+    """The query without tracking parameters; written anew as a form if it had one, else as it is, empty without a name."""
+    name = lambda q: F.lower(F.coalesce(F.try_url_decode(F.substring_index(q, "=", 1)), F.substring_index(q, "=", 1)))
+    tracks = lambda q: name(q).isin(*fixed.TRACKING_NAMES) | name(q).rlike("^(" + "|".join(fixed.TRACKING_PREFIXES) + ")")
+    anew = lambda x: F.url_encode(F.coalesce(F.try_url_decode(x), x))
+    form = lambda q: F.concat(anew(F.substring_index(q, "=", 1)), F.lit("="), anew(F.when(F.contains(q, F.lit("=")), F.substr(q, F.instr(q, "=") + 1)).otherwise("")))
+    pairs = F.filter(F.split(query, "&"), lambda q: q != "")
+    left = lambda ps: F.transform(F.filter(ps, lambda q: ~tracks(q)), form)
+    return let(pairs, lambda ps: F.when(F.exists(ps, tracks), F.array_join(left(ps), "&")).when(F.size(ps) == 0, F.lit("")).otherwise(query))
+
+
 def clean_url(raw: Column) -> Column:
     """A usable web address without tracking, credentials and fragment, or null.
 
-    Expression form of the common cases: host in lower case without a trailing dot, default ports
-    dropped, an empty path as ``/``. Characters are not encoded anew and international host names
-    stay as written.
+    Addresses are read and written as the URL standard does (``web_address.parsed``); those that it would leave
+    as they are, most of all, are taken apart by one pattern.
     """
     trimmed = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"""[.,;:!)\]}'"]+$""", "")
     schemed = lambda v: (
@@ -63,19 +73,17 @@ def clean_url(raw: Column) -> Column:
     )
 
     def parts(v: Column) -> Column:
-        part = lambda k: F.regexp_extract(v, r"(?i)^(https?):/*(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?", k)
-        return F.struct(F.lower(part(1)).alias("scheme"), F.regexp_replace(F.lower(part(2)), r"\.$", "").alias("host"), part(3).alias("port"), part(4).alias("path"), part(5).alias("query"))
+        part = lambda k: F.regexp_extract(v, r"^(https?)://([^/?]+)([^?]*)(?:\?(.*))?$", k)
+        path = let(part(3), lambda x: F.when(x == "", F.lit("/")).otherwise(x))
+        plain = F.struct(part(1).alias("scheme"), part(2).alias("host"), F.lit("").alias("port"), path.alias("path"), part(4).alias("query"))
+        return F.when(v.rlike(web_address.PLAIN), plain).otherwise(web_address.parsed(v))
 
     def joined(p: Column) -> Column:
-        scheme, host, port = p["scheme"], p["host"], p["port"]
-        default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-        name = lambda q: F.lower(F.substring_index(q, "=", 1))
-        tracks = lambda q: name(q).isin(*fixed.TRACKING_NAMES) | name(q).rlike("^(" + "|".join(fixed.TRACKING_PREFIXES) + ")")
-        query = F.array_join(F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~tracks(q)), "&")
-        ok = (scheme != "") & F.contains(host, F.lit(".")) & ~host.startswith(".") & ~F.contains(host, F.lit(".."))
-        path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
-        asked = let(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
-        return F.when(ok, F.concat(scheme, F.lit("://"), host, F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)), path, asked))
+        host = F.regexp_replace(p["host"], r"\.$", "")
+        ok = F.contains(host, F.lit(".")) & ~host.startswith(".") & ~F.contains(host, F.lit(".."))
+        asked = let(_asked(F.coalesce(p["query"], F.lit(""))), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+        port = F.when(p["port"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), p["port"]))
+        return F.when(ok, F.concat(p["scheme"], F.lit("://"), host, port, p["path"], asked))
 
     return let(let(trimmed, schemed), lambda v: let(parts(v), joined))
 

@@ -24,6 +24,17 @@ class Box:
     east: float
 
 
+def any_case(column: Column, code: str) -> Column:
+    """Whether a column is a code of letters in any case, as a list that Parquet's statistics, dictionaries and page indexes can test.
+
+    So the key column decides which pages of the wide columns are read at all.
+    """
+    forms = [""]
+    for char in code:
+        forms = [f + c for f in forms for c in dict.fromkeys((char.upper(), char.lower()))]
+    return column.isin(*forms)
+
+
 def _some(c: Column) -> Column:
     """The text, null if blank."""
     return F.when(F.trim(c) != "", c)
@@ -72,8 +83,10 @@ def nested_outcome(min_confidence: float, only_with_contact: bool = False) -> Co
 def flat_places(raw: DataFrame, box: Box, country: str) -> DataFrame:
     """Places of a country out of flat rows."""
     day = lambda c: F.when(c.cast("string").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(c.cast("string"), 1, 10)).otherwise(_some(c.cast("string")))
+    # The code as a list reaches the Parquet scan; upper() alone would not.
+    ours = any_case(F.col("country"), country) & (F.upper(F.col("country")) == country)
     inside = F.col("latitude").between(box.south - BOX_PAD, box.north + BOX_PAD) & F.col("longitude").between(box.west - BOX_PAD, box.east + BOX_PAD)
-    rows = raw.where(inside & (F.upper(F.col("country")) == country) & _some(F.col("name")).isNotNull() & _some(F.col("fsq_place_id")).isNotNull())
+    rows = raw.where(inside & ours & _some(F.col("name")).isNotNull() & _some(F.col("fsq_place_id")).isNotNull())
     plain = ["website", "tel", "address", "locality", "region", "postcode", "instagram", "twitter"]
     return rows.select(
         F.col("fsq_place_id").alias("id"), "name", F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), _strings(F.col("fsq_category_ids")).alias("category_ids"), _strings(F.col("fsq_category_labels")).alias("category_labels"),
