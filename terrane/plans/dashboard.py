@@ -117,13 +117,13 @@ def dashboard_emails(spark, d):
 
 
 @query(f"""WITH {ROWS_SQL}, site AS (SELECT * FROM p WHERE website_domain NOT LIKE '%.example.com'), own AS (SELECT DISTINCT country_code, website_domain, CAST(regexp_extract(website_domain, '[0-9]+') AS INT) AS n FROM site WHERE status <> 'REJECTED'),
-c AS (SELECT *, n % 4 AS s FROM own WHERE n < 400)
-SELECT country_code, (SELECT count(*) FROM site WHERE site.country_code = own.country_code) AS with_website, count(*) FILTER (WHERE n < 400 AND n % 4 > 0) AS crawled, count(*) FILTER (WHERE n < 400 AND n % 3 > 0) AS email_found,
-       count(*) FILTER (WHERE n < 400 AND n % 4 = 1 AND n % 3 = 0 AND n % 10 > 0) AS no_email_found, count(*) FILTER (WHERE n < 400 AND n % 4 = 2) AS failed, count(*) FILTER (WHERE n < 400 AND n % 10 = 0) AS robots_blocked FROM own GROUP BY 1""")
+c AS (SELECT 1)
+SELECT country_code, (SELECT count(*) FROM site WHERE site.country_code = own.country_code) AS with_website, count(*) FILTER (WHERE n % 4 > 0) AS crawled, count(*) FILTER (WHERE n % 3 > 0) AS email_found,
+       count(*) FILTER (WHERE n % 4 = 1 AND n % 3 = 0 AND n % 10 > 0) AS no_email_found, count(*) FILTER (WHERE n % 4 = 2) AS failed, count(*) FILTER (WHERE n % 10 = 0) AS robots_blocked FROM own GROUP BY 1""")
 def dashboard_websites(spark, d):
     """P09."""
-    n = F.col("id")
-    crawls = spark.range(400).select(F.concat(F.lit("d"), n.cast("string"), F.lit(".cy")).alias("domain"), F.when(n % 4 == 0, "RUNNING").when(n % 4 == 1, "DONE").otherwise(F.when(n % 4 == 2, "FAILED").otherwise("SKIPPED")).alias("status"), F.when(n % 4 > 0, F.lit("1998-01-01")).alias("crawled_at"), (n % 3).alias("emails_found"), (n % 10 == 0).alias("robots_blocked"))
+    sites, n = _places(spark, d).where("website_domain NOT LIKE '%.example.com'").select("website_domain").distinct(), F.regexp_extract("website_domain", "[0-9]+", 0).cast("int")
+    crawls = sites.select(F.col("website_domain").alias("domain"), F.when(n % 4 == 0, "RUNNING").when(n % 4 == 1, "DONE").otherwise(F.when(n % 4 == 2, "FAILED").otherwise("SKIPPED")).alias("status"), F.when(n % 4 > 0, F.lit("1998-01-01")).alias("crawled_at"), (n % 3).alias("emails_found"), (n % 10 == 0).alias("robots_blocked"))
     return dashboard.website_counts(_places(spark, d), crawls)
 
 
@@ -179,7 +179,7 @@ def dashboard_suppression(spark, d):
 @query(f"""WITH {ROWS_SQL}, h AS (SELECT l_partkey % 1000 + 1 AS place_id, l_shipdate AS day, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
 top AS (SELECT place_id, string_agg(k, ',' ORDER BY day DESC, k) AS history FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY day DESC, k) AS n FROM h) WHERE n <= 50 GROUP BY 1)
 SELECT id, (SELECT string_agg(email, ',' ORDER BY is_primary DESC, e.id) FROM e WHERE e.place_id = p.id) AS emails, (SELECT string_agg(DISTINCT lower(o_orderstatus), ',' ORDER BY lower(o_orderstatus)) FROM orders WHERE o_custkey = p.id) AS sources,
-       (SELECT history FROM top WHERE top.place_id = p.id) AS history, CASE WHEN id % 500 < 100 AND id % 500 % 2 = 1 AND id % 11 > 0 THEN id % 500 % 3 = 0 END AS sells_online FROM p""")
+       (SELECT history FROM top WHERE top.place_id = p.id) AS history, CASE WHEN id % 500 % 2 = 1 AND id % 11 > 0 THEN id % 500 % 3 = 0 END AS sells_online FROM p""")
 def lead_details(spark, d):
     """Addresses, sources, history and shop check of each lead."""
     o, n = table(spark, d, "orders"), F.col("id")
@@ -189,7 +189,7 @@ def lead_details(spark, d):
     i = table(spark, d, "lineitem")
     audit = i.select((F.col("l_partkey") % 1000 + 1).alias("place_id"), F.col("l_shipdate").alias("at"), F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 12, " ").alias("action"), none.alias("details"))
     exports = spark.createDataFrame([], f"place_id long, at {dict(i.dtypes)['l_shipdate']}, batch_id int, file string, undone boolean")
-    checks = spark.range(100).select(F.concat(F.lit("d"), n.cast("string"), F.lit(".cy")).alias("domain"), F.when(n % 2 == 0, "RUNNING").otherwise("DONE").alias("status"), (n % 3 == 0).alias("sells_online"), F.array(F.lit("cart")).alias("signals"), none.alias("checked_at"))
+    checks = spark.range(500).select(F.concat(F.lit("d"), n.cast("string"), F.lit(".cy")).alias("domain"), F.when(n % 2 == 0, "RUNNING").otherwise("DONE").alias("status"), (n % 3 == 0).alias("sells_online"), F.array(F.lit("cart")).alias("signals"), none.alias("checked_at"))
     found = dashboard.lead_details(_places(spark, d), _emails(spark, d), subs, sources, audit, exports, checks)
     text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
     return found.select("id", text(F.col("emails.email")).alias("emails"), text(F.array_sort("sources.source")).alias("sources"), text(F.transform("history.action", lambda x: F.trim(x))).alias("history"), F.col("shop_check.sells_online").alias("sells_online"))
@@ -198,10 +198,10 @@ def lead_details(spark, d):
 def _mapping(spark, d):
     """Every tenth place and the nine after it are one business; a third of these groups stay apart."""
     k = F.col("c_custkey")
-    return table(spark, d, "customer").where((F.floor(k / 10) % 3 > 0) & (k % 10 > 0)).select(k.alias("loser_id"), (F.floor(k / 10) * 10).alias("survivor_id"))
+    return table(spark, d, "customer").where((F.col("c_acctbal") > 0) & (k % 10 > 0)).select(k.alias("loser_id"), (F.floor(k / 10) * 10).alias("survivor_id"))
 
 
-MOVED_SQL = "m AS (SELECT c_custkey AS loser_id, c_custkey // 10 * 10 AS survivor_id FROM customer WHERE c_custkey // 10 % 3 > 0 AND c_custkey % 10 > 0)"
+MOVED_SQL = "m AS (SELECT c_custkey AS loser_id, c_custkey // 10 * 10 AS survivor_id FROM customer WHERE c_acctbal > 0 AND c_custkey % 10 > 0)"
 
 
 @query(f"""WITH {ROWS_SQL}, {MOVED_SQL}, moved AS (SELECT e.*, coalesce(survivor_id, place_id) AS to_id, is_primary AND survivor_id IS NULL AS still FROM e LEFT JOIN m ON loser_id = place_id),

@@ -30,10 +30,10 @@ def semi_join(spark, d):
     return table(spark, d, "customer").join(rich, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").alias("id"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
 def anti_join(spark, d):
     """J06."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 350000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
 
 
 @query("WITH t AS (SELECT max(o_orderdate) AS now, count(*) AS n FROM orders) SELECT o_orderkey AS k, date_diff('day', CAST(o_orderdate AS DATE), CAST(now AS DATE)) AS age, n FROM orders CROSS JOIN t")

@@ -44,13 +44,13 @@ DICE_SQL = """g AS (SELECT DISTINCT p_name, list_transform(range(length(replace(
 
 
 @query(f"""WITH {DICE_SQL} SELECT a.p_name AS a, b.p_name AS b, round(2.0 * list_sum(list_transform(list_distinct(a.g), lambda x: least(len(list_filter(a.g, lambda y: y = x)), len(list_filter(b.g, lambda z: z = x))))) / (len(a.g) + len(b.g)), 6) AS dice
- FROM g a JOIN g b ON a.p_name < b.p_name AND left(a.p_name, 1) = left(b.p_name, 1) WHERE 2.0 * list_sum(list_transform(list_distinct(a.g), lambda x: least(len(list_filter(a.g, lambda y: y = x)), len(list_filter(b.g, lambda z: z = x))))) / (len(a.g) + len(b.g)) >= 0.3""")
+ FROM g a JOIN g b ON a.p_name < b.p_name WHERE 2.0 * list_sum(list_transform(list_distinct(a.g), lambda x: least(len(list_filter(a.g, lambda y: y = x)), len(list_filter(b.g, lambda z: z = x))))) / (len(a.g) + len(b.g)) >= 0.6""")
 def dice_pairs(spark, d):
-    """Bigram similarity of distinct names with the same first letter."""
-    names = table(spark, d, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.left("p_name", F.lit(1)).alias("k")), names.select(F.col("p_name").alias("b"), F.left("p_name", F.lit(1)).alias("k"))
-    pairs = a.join(b, "k").where("a < b").select("a", "b", text.dice(F.col("a"), F.col("b")).alias("dice"))
-    return pairs.where("dice >= 0.3").select("a", "b", F.round("dice", 6).alias("dice"))
+    """Bigram similarity of distinct names; similar ones share one of their rarer bigrams."""
+    names = dedupe.name_blocks(table(spark, d, "part").select(F.col("p_name").alias("name_c")).distinct(), 0.6)
+    a, b = names.select(F.col("name_c").alias("a"), "block"), names.select(F.col("name_c").alias("b"), "block")
+    pairs = a.join(b, "block").where("a < b").select("a", "b").distinct().select("a", "b", text.dice(F.col("a"), F.col("b")).alias("dice"))
+    return pairs.where("dice >= 0.6").select("a", "b", F.round("dice", 6).alias("dice"))
 
 
 @query()
@@ -84,11 +84,11 @@ def nearest_center(spark, d):
     return joins.nearest(p.select(F.col("id").alias("point_id"), "lat", "lng"), centers, 0.5).select("point_id", "center_id", F.round("km", 6).alias("km"))
 
 
-BOXES_SQL = "bx AS (SELECT id AS box_id, label AS population, lat - 0.004 AS south, lng - 0.003 AS west, lat + 0.004 AS north, lng + 0.003 AS east FROM p WHERE id % 25 = 0)"
+BOXES_SQL = "bx AS (SELECT id AS box_id, label AS population, lat - 0.004 AS south, lng - 0.003 AS west, lat + 0.004 AS north, lng + 0.003 AS east FROM p WHERE label = 3)"
 
 
 def _boxes(spark, d):
-    return _points(spark, d).where("id % 25 = 0").select(F.col("id").alias("box_id"), F.lit("x").alias("name"), F.col("label").alias("population"), (F.col("lat") - 0.004).alias("south"), (F.col("lng") - 0.003).alias("west"), (F.col("lat") + 0.004).alias("north"), (F.col("lng") + 0.003).alias("east"))
+    return _points(spark, d).where("label = 3").select(F.col("id").alias("box_id"), F.lit("x").alias("name"), F.col("label").alias("population"), (F.col("lat") - 0.004).alias("south"), (F.col("lng") - 0.003).alias("west"), (F.col("lat") + 0.004).alias("north"), (F.col("lng") + 0.003).alias("east"))
 
 
 @query(f"WITH {POINTS_SQL}, {BOXES_SQL} SELECT id AS point_id FROM p WHERE EXISTS (SELECT 1 FROM bx WHERE lat BETWEEN south AND north AND lng BETWEEN west AND east)")

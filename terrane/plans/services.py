@@ -19,10 +19,10 @@ def _places(spark, d):
 STATUS_SQL = "CASE o_orderkey % 3 WHEN 0 THEN 'EXPORTED' WHEN 1 THEN 'NEW' ELSE 'CONTACTED' END"
 
 
-@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'EXPORTED' ELSE {STATUS_SQL} END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 9 WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS batch FROM orders")
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_totalprice > 400000 THEN 'EXPORTED' ELSE {STATUS_SQL} END AS status, CASE WHEN o_totalprice > 400000 THEN 9 WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS batch FROM orders")
 def mark_exported(spark, d):
     """M09."""
-    items = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.lit(9).alias("batch_id"), F.col("o_orderkey").alias("place_id"))
+    items = table(spark, d, "orders").where("o_totalprice > 400000").select(F.lit(9).alias("batch_id"), F.col("o_orderkey").alias("place_id"))
     return services.mark_exported(_places(spark, d), items, 9, F.to_timestamp(F.lit("2024-01-01")).cast("timestamp_ntz")).select("id", "status", F.col("export_batch_id").alias("batch"))
 
 
@@ -32,23 +32,23 @@ def undo_export(spark, d):
     return services.undo_export(_places(spark, d), 2).select("id", "status", F.col("export_batch_id").alias("batch"))
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderkey % 1000 AS row_number FROM orders WHERE o_orderkey % 7 = 3")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderkey % 1000 AS row_number FROM orders WHERE month(o_orderdate) = 3")
 def redownload(spark, d):
     """M11."""
-    items = table(spark, d, "orders").select((F.col("o_orderkey") % 7).alias("batch_id"), F.col("o_orderkey").alias("place_id"), (F.col("o_orderkey") % 1000).alias("row_number"))
+    items = table(spark, d, "orders").select(F.month("o_orderdate").alias("batch_id"), F.col("o_orderkey").alias("place_id"), (F.col("o_orderkey") % 1000).alias("row_number"))
     return services.redownload(items, table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), 3)
 
 
-@query("""SELECT DISTINCT sha256(o_orderkey || '@x.cy') AS email_hash, 'ERASED' AS reason FROM orders WHERE o_custkey < 50 AND o_orderkey % 2 = 0
- UNION ALL SELECT sha256(o_orderkey || '@x.cy'), 'MANUAL' FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey < 100""")
+@query("""SELECT DISTINCT sha256(o_orderkey || '@x.cy') AS email_hash, 'ERASED' AS reason FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND o_orderstatus <> 'F'
+ UNION ALL SELECT sha256(o_orderkey || '@x.cy'), 'MANUAL' FROM orders WHERE o_orderstatus = 'F'""")
 def erase(spark, d):
     """Hashes of erased addresses stay suppressed, known ones keep their reason."""
     o, null = table(spark, d, "orders"), F.lit(None).cast("string")
     address = F.concat(F.col("o_orderkey").cast("string"), F.lit("@x.cy"))
     places = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("NEW").alias("status"), F.lit("1").alias("phone_raw"), F.lit("+3571").alias("phone_e164"), F.lit(True).alias("phone_valid"))
     emails = o.select(F.col("o_custkey").alias("place_id"), address.alias("email"))
-    old = o.where("o_orderkey % 2 = 1 AND o_custkey < 100").select(F.sha2(address, 256).alias("email_hash"), null.alias("email_normalized"), F.lit("x.cy").alias("domain"), F.lit("MANUAL").alias("reason"), F.lit("f").alias("source_file"))
-    return services.erase(places, emails, old, table(spark, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("id")))[2].select("email_hash", "reason")
+    old = o.where("o_orderstatus = 'F'").select(F.sha2(address, 256).alias("email_hash"), null.alias("email_normalized"), F.lit("x.cy").alias("domain"), F.lit("MANUAL").alias("reason"), F.lit("f").alias("source_file"))
+    return services.erase(places, emails, old, table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id")))[2].select("email_hash", "reason")
 
 
 @query(f"SELECT o_orderkey AS id, {STATUS_SQL} AS old, 'REJECTED' AS new FROM orders WHERE o_orderstatus = 'P'")
@@ -58,13 +58,13 @@ def bulk_reject(spark, d):
     return services.set_status(_places(spark, d), ids, "REJECTED")[1]
 
 
-@query("""SELECT coalesce(o.k, n.k) AS place_id, CASE WHEN o.s = 'REMOVED' THEN 'REMOVED' ELSE coalesce(n.s, o.s) END AS status FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'REMOVED' ELSE 'PUBLISHED' END AS s FROM orders WHERE o_orderkey % 3 > 0) o
- FULL JOIN (SELECT o_orderkey AS k, 'CLAIMED' AS s FROM orders WHERE o_orderkey % 2 = 0) n ON o.k = n.k""")
+@query("""SELECT coalesce(o.k, n.k) AS place_id, CASE WHEN o.s = 'REMOVED' THEN 'REMOVED' ELSE coalesce(n.s, o.s) END AS status FROM (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'REMOVED' ELSE 'PUBLISHED' END AS s FROM orders WHERE o_orderstatus <> 'P') o
+ FULL JOIN (SELECT o_orderkey AS k, 'CLAIMED' AS s FROM orders WHERE o_totalprice > 250000) n ON o.k = n.k""")
 def page_statuses(spark, d):
     """Removed pages stay removed."""
     o, none = table(spark, d, "orders"), F.lit(None).cast("string")
-    old = o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("place_id"), F.when(F.col("o_orderkey") % 5 == 0, "REMOVED").otherwise("PUBLISHED").alias("status"), none.alias("url"))
-    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("place_id"), F.lit("CLAIMED").alias("status"), none.alias("url"))
+    old = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("place_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "REMOVED").otherwise("PUBLISHED").alias("status"), none.alias("url"))
+    new = o.where("o_totalprice > 250000").select(F.col("o_orderkey").alias("place_id"), F.lit("CLAIMED").alias("status"), none.alias("url"))
     return services.page_statuses(old, new).select("place_id", "status")
 
 
@@ -87,7 +87,7 @@ def changed_rows(spark, d):
 
 
 @query("""SELECT 'd' || o_custkey % 50 || CASE WHEN o_custkey % 50 = 7 THEN '.example.com' ELSE '.cy' END AS website_domain, min(o_orderkey) AS priority FROM orders
- WHERE o_orderkey % 4 > 0 AND o_orderstatus <> 'P' AND o_orderkey % 13 > 0 AND o_custkey % 50 <> 7 AND NOT (o_custkey % 50 BETWEEN 10 AND 29 AND o_custkey % 50 NOT IN (12, 14)) GROUP BY 1""")
+ WHERE o_totalprice <= 350000 AND o_orderstatus <> 'P' AND o_orderkey % 13 > 0 AND o_custkey % 50 <> 7 AND NOT (o_custkey % 50 BETWEEN 10 AND 29 AND o_custkey % 50 NOT IN (12, 14)) GROUP BY 1""")
 def due_domains(spark, d):
     """Domains to crawl, without example sites, rejected places, known addresses and fresh crawls; two are looked at again."""
     o, n = table(spark, d, "orders"), F.col("o_custkey") % 50
@@ -99,7 +99,7 @@ def due_domains(spark, d):
     retry = F.when(x < 20, at("2024-03-01")).otherwise(at("2023-12-01"))
     started = F.when(x < 30, at("2024-01-01 11:50:00")).otherwise(at("2024-01-01 11:00:00"))
     crawls = spark.range(10, 50).select(domain(x).alias("domain"), state.alias("status"), retry.alias("retry_at"), started.alias("started_at"), F.when(x.isin(12, 13, 14), 0).otherwise(1).alias("emails_found"), F.when(x == 13, now).otherwise(at("2023-06-01")).alias("crawled_at"))
-    emails = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("place_id"))
+    emails = o.where("o_totalprice > 350000").select(F.col("o_orderkey").alias("place_id"))
     return services.due_domains(places, crawls, emails, now, recheck_before=at("2023-12-31"))
 
 
@@ -173,13 +173,13 @@ def complete_jobs(spark, d):
     return services.complete_jobs(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_linestatus") == "F", "DONE").otherwise("PENDING").alias("status")))
 
 
-@query("""SELECT 'city:' || s_suppkey AS area_key, k AS keyword, 'en' AS language, s_suppkey % 3 = 0 AND k = 'spa' AS in_cooldown FROM supplier, (SELECT unnest(['spa', 'nails']) AS k)""")
+@query("""SELECT 'city:' || s_suppkey AS area_key, k AS keyword, 'en' AS language, s_acctbal > 5000 AND k = 'spa' AS in_cooldown FROM supplier, (SELECT unnest(['spa', 'nails']) AS k)""")
 def job_tasks(spark, d):
     """Areas with keywords, and those in cooldown."""
     s = table(spark, d, "supplier")
     area = F.concat(F.lit("city:"), F.col("s_suppkey").cast("string"))
     words = spark.createDataFrame([("spa", "en"), ("nails", "en")], "keyword string, language string")
-    done = s.where("s_suppkey % 3 = 0").select(F.concat(area, F.lit("/root")).alias("tile_key"), F.lit("spa").alias("keyword"), F.lit("en").alias("language"))
+    done = s.where("s_acctbal > 5000").select(F.concat(area, F.lit("/root")).alias("tile_key"), F.lit("spa").alias("keyword"), F.lit("en").alias("language"))
     return services.job_tasks(s.select(area.alias("area_key")), words, done)
 
 
@@ -215,11 +215,11 @@ def prunable(spark, d):
     return services.prunable(rows, table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("place_id"))).select("id")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 <> 3 AND c_nationkey <> 5 AND c_mktsegment <> 'BUILDING'")
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal <= 9000 AND c_nationkey <> 5 AND c_mktsegment <> 'BUILDING'")
 def not_removed(spark, d):
     """A removal by any of four keys."""
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("overture_id"), F.lit(None).cast("string").alias("phone_e164"), F.col("c_mktsegment").alias("website_domain"))
-    ids = table(spark, d, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("place_id"), *[F.lit(None).cast("string").alias(c) for c in ("overture_id", "phone_e164", "website_domain")])
+    ids = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("place_id"), *[F.lit(None).cast("string").alias(c) for c in ("overture_id", "phone_e164", "website_domain")])
     more = spark.createDataFrame([(None, "5", None, None), (None, None, "+1", "BUILDING")], "place_id long, overture_id string, phone_e164 string, website_domain string")
     return services.not_removed(rows, ids.union(more)).select("id")
 

@@ -12,37 +12,37 @@ from terrane.session import table
 query = Registry()
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS name, o_totalprice AS rating, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS site, CASE WHEN o_custkey % 3 > 0 THEN 'd' || o_custkey % 9 END AS dom FROM orders WHERE o_orderkey % 3 <> 0),
- n AS (SELECT o_orderkey AS k, 'new' AS name, o_totalprice + 1 AS rating, CASE WHEN o_custkey % 2 = 0 THEN 'site' END AS site, NULL AS dom FROM orders WHERE o_orderkey % 3 <> 1)
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS name, o_totalprice AS rating, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS site, CASE WHEN o_custkey % 3 > 0 THEN 'd' || o_custkey % 9 END AS dom FROM orders WHERE o_orderstatus <> 'F'),
+ n AS (SELECT o_orderkey AS k, 'new' AS name, o_totalprice + 1 AS rating, CASE WHEN o_custkey % 2 = 0 THEN 'site' END AS site, NULL AS dom FROM orders WHERE o_orderstatus <> 'O')
  SELECT coalesce(o.k, n.k) AS k, coalesce(n.name, o.name) AS name, coalesce(n.rating, o.rating) AS rating, coalesce(n.site, o.site) AS site, CASE WHEN n.site IS NOT NULL THEN n.dom ELSE o.dom END AS dom, o.k IS NULL AS inserted FROM o FULL JOIN n ON o.k = n.k""")
 def upsert_state(spark, d):
     """New values win, sites are kept where the new row has none, the domain follows a new site."""
     o = table(spark, d, "orders")
     site = F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority"))
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("rating"), site.alias("site"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("d"), F.col("o_custkey") % 9)).alias("dom"))
-    new = o.where("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("name"), (F.col("o_totalprice") + 1).alias("rating"), F.when(F.col("o_custkey") % 2 == 0, F.lit("site")).alias("site"), F.lit(None).cast("string").alias("dom"))
+    old = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("rating"), site.alias("site"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("d"), F.col("o_custkey") % 9)).alias("dom"))
+    new = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("name"), (F.col("o_totalprice") + 1).alias("rating"), F.when(F.col("o_custkey") % 2 == 0, F.lit("site")).alias("site"), F.lit(None).cast("string").alias("dom"))
     return state.upsert(old, new, "k", keep_if_null=("site",), together={"dom": "site"}).withColumnRenamed("__inserted", "inserted")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'g' END AS gid, o_orderstatus AS name, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END AS phone FROM orders WHERE o_orderkey % 4 <> 0),
- n AS (SELECT o_orderkey AS k, 'overture' AS name, 'p' AS phone FROM orders WHERE o_orderkey % 4 <> 1)
+@query("""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'g' END AS gid, o_orderstatus AS name, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END AS phone FROM orders WHERE o_orderpriority <> '1-URGENT'),
+ n AS (SELECT o_orderkey AS k, 'overture' AS name, 'p' AS phone FROM orders WHERE o_orderpriority <> '5-LOW')
  SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN o.name WHEN o.k IS NULL OR o.gid IS NULL THEN n.name ELSE o.name END AS name, coalesce(o.phone, n.phone) AS phone FROM o FULL JOIN n ON o.k = n.k""")
 def upsert_precedence(spark, d):
     """A name of the first source stays, other fields are only filled."""
     o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 2 == 0, F.lit("g")).alias("gid"), F.col("o_orderstatus").alias("name"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).alias("phone"))
-    new = o.where("o_orderkey % 4 <> 1").select(F.col("o_orderkey").alias("k"), F.lit("overture").alias("name"), F.lit("p").alias("phone"))
+    old = o.where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 2 == 0, F.lit("g")).alias("gid"), F.col("o_orderstatus").alias("name"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).alias("phone"))
+    new = o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), F.lit("overture").alias("name"), F.lit("p").alias("phone"))
     own = F.when(F.col("o.gid").isNull(), F.col("n.name")).otherwise(F.col("o.name"))
     return state.upsert(old, new, "k", fill_only=("phone",), overrides={"name": own}).select("k", "name", "phone")
 
 
-@query("""WITH o AS (SELECT DISTINCT user_id AS email, 1 AS place_id, 2 AS seen_count FROM events WHERE user_id % 3 <> 0), n AS (SELECT user_id AS email, count(*) AS c, min(event_id) AS p FROM events WHERE user_id % 3 <> 1 GROUP BY 1)
+@query("""WITH o AS (SELECT DISTINCT user_id AS email, 1 AS place_id, 2 AS seen_count FROM events WHERE event_type = 'view'), n AS (SELECT user_id AS email, count(*) AS c, min(event_id) AS p FROM events WHERE event_type <> 'view' GROUP BY 1)
  SELECT coalesce(o.email, n.email) AS email, coalesce(o.place_id, n.p) AS place_id, coalesce(o.seen_count, 0) + coalesce(n.c, 0) AS seen_count FROM o FULL JOIN n ON o.email = n.email""")
 def insert_or_count(spark, d):
     """M04."""
     e = table(spark, d, "events")
-    old = e.where("user_id % 3 <> 0").select(F.col("user_id").alias("email"), F.lit(1).cast("long").alias("place_id"), F.lit(2).cast("long").alias("seen_count"), F.lit(None).cast("timestamp_ntz").alias("last_seen")).distinct()
-    seen = e.where("user_id % 3 <> 1").select(F.col("user_id").alias("email"), F.col("event_id").alias("place_id"), F.col("ts").alias("seen_at"))
+    old = e.where("event_type = 'view'").select(F.col("user_id").alias("email"), F.lit(1).cast("long").alias("place_id"), F.lit(2).cast("long").alias("seen_count"), F.lit(None).cast("timestamp_ntz").alias("last_seen")).distinct()
+    seen = e.where("event_type <> 'view'").select(F.col("user_id").alias("email"), F.col("event_id").alias("place_id"), F.col("ts").alias("seen_at"))
     return state.insert_or_count(old, seen).select("email", "place_id", "seen_count")
 
 
@@ -64,22 +64,22 @@ def reason_priority(spark, d):
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, list_extract(['NEW', 'EXPORTED', 'CONTACTED', 'REPLIED', 'ONBOARDED', 'REJECTED'], CAST(c_custkey % 6 AS INT) + 1) AS status, CASE WHEN c_custkey % 6 < 5 THEN c_custkey % 6 END AS r FROM customer),
- m AS (SELECT o_custkey AS id, max(2 + o_orderkey % 4) AS t FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+ m AS (SELECT o_custkey AS id, max(2 + o_orderkey % 4) AS t FROM orders WHERE o_totalprice > 400000 GROUP BY 1)
  SELECT s.id, CASE WHEN t > r THEN list_extract(['NEW', 'EXPORTED', 'CONTACTED', 'REPLIED', 'ONBOARDED', 'PRODUCT_ADDED'], CAST(t AS INT) + 1) ELSE status END AS status FROM s LEFT JOIN m ON m.id = s.id""")
 def forward_status(spark, d):
     """Statuses only move forward."""
     pick = lambda n, *words: F.get(F.array(*[F.lit(w) for w in words]), n)
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), pick(F.col("c_custkey") % 6, "NEW", "EXPORTED", "CONTACTED", "REPLIED", "ONBOARDED", "REJECTED").alias("status"))
-    moves = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("id"), pick(F.col("o_orderkey") % 4, "contacted", "replied", "onboarded", "product_added").alias("status"))
+    moves = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id"), pick(F.col("o_orderkey") % 4, "contacted", "replied", "onboarded", "product_added").alias("status"))
     return state.move_forward(rows, moves).select("id", "status")
 
 
 @query("""SELECT coalesce(f, t) AS key, CASE WHEN t IS NULL THEN 'create' WHEN f IS NOT NULL AND NOT a THEN 'reactivate' WHEN f IS NULL AND a THEN 'deactivate' ELSE 'none' END AS action
- FROM (SELECT DISTINCT o_custkey AS f FROM orders WHERE o_totalprice > 180000) FULL JOIN (SELECT c_custkey AS t, c_acctbal > 0 AS a FROM customer WHERE c_custkey % 4 <> 0) ON f = t""")
+ FROM (SELECT DISTINCT o_custkey AS f FROM orders WHERE o_totalprice > 180000) FULL JOIN (SELECT c_custkey AS t, c_acctbal > 0 AS a FROM customer WHERE c_mktsegment <> 'BUILDING') ON f = t""")
 def sync_diff(spark, d):
     """U03."""
     file = table(spark, d, "orders").where("o_totalprice > 180000").select(F.col("o_custkey").alias("key"))
-    have = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") > 0).alias("active"))
+    have = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") > 0).alias("active"))
     return state.sync_diff(file, have, "key")
 
 
