@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.plans import dashboard, idioms, matching, mechanisms, relational, scalars, services, states
+from terrane.plans import dashboard, idioms, matching, mechanisms, pipelines, relational, scalars, services, states
 
-MODULES: tuple = (relational, scalars, matching, states, services, idioms, dashboard, mechanisms)
+MODULES: tuple = (relational, scalars, matching, states, services, idioms, dashboard, mechanisms, pipelines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
