@@ -6,7 +6,7 @@ the leading ones, the trailing ones or one of two runs between them, so that a l
 most three of these runs still meets its like. A leaf holds the distinct lines of a path. In leaves
 of several lines positions are generalised: a token is constant if other lines of the leaf have it
 in its place, and of these at least half as many as have the line's middling token in its place; all others are
-fields and become ``<*>``, those of few values included. Lines of which at least two thirds of the
+fields and become ``<*>``, those of few values included. A line counts in its two largest leaves. Lines of which at least two thirds of the
 tokens stay belong to the template of what stays.
 
 A template recurs by the number of its documents: whole lines from two documents on, generalised
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.expressions import SPACE_RUN, bind, fresh, named, text_of, words_of
-from terrane.operators.joins import small
+from terrane.operators.joins import BROADCAST_ROWS
 from terrane.session import checkpointed
 
 #: Runs of tokens that begin a path, evenly spread: the most of them, for lines of so many tokens; fewer in shorter lines.
@@ -95,30 +95,37 @@ def line_keys(docs: DataFrame, rules: Rules, id_col: str, text_col: str) -> Data
 
 
 def distinct_lines(keys: DataFrame) -> DataFrame:
-    """Each distinct line with the number of its documents and the smallest of them.
+    """Each distinct line with the number of its documents, the smallest of them and its place there.
 
     Summed up in the map tasks over rows that are distinct by document first, so a line in a third
     of all documents does not meet in one task.
     """
-    by_doc = keys.groupBy("whole", "doc", *LEAVES, "long").agg(F.lit(1).alias("one"))
-    return by_doc.groupBy("whole", *LEAVES, "long").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"))
+    by_doc = keys.groupBy("whole", "doc", *LEAVES, "long").agg(F.min("line").alias("line"))
+    first = F.min(F.struct("doc", "line")).alias("first")
+    return by_doc.groupBy("whole", *LEAVES, "long").agg(F.count("*").alias("n_docs"), first).withColumn("first_doc", F.col("first.doc"))
 
 
 def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
     """``(whole, template, long)``: the generalised templates of the lines in leaves of several lines.
 
-    Positions are counted by leaf, place and token with map-side sums; a template is an
-    order-free hash of the tokens that stay with their places, so no leaf is ever collected.
+    A line counts in its two largest leaves. Positions are counted by leaf, place and token with map-side
+    sums; a template is an order-free hash of the tokens that stay with their places, so no leaf is ever collected.
     """
-    paths = distinct.select("whole", "long", "n_docs", "first_doc", F.explode(F.array(*LEAVES)).alias("leaf")).where("leaf IS NOT NULL")
-    mixed = paths.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("d")).where((F.col("n") > 1) & (F.col("d") >= rules.generalised))
-    members = checkpointed(paths.join(mixed.select(F.col("leaf").alias("m")), F.col("leaf") == F.col("m"), "left_semi").select("whole", "long", "leaf", "first_doc"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("leaf")) for i, c in enumerate(LEAVES)])).alias("x")
+    paths = distinct.select("whole", "long", "n_docs", "first", each).select("whole", "long", "n_docs", "first", "x.i", "x.leaf").where("leaf IS NOT NULL")
+    mixed = paths.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n_docs").alias("d")).where((F.col("lines") > 1) & (F.col("d") >= rules.generalised))
+    inside = paths.join(mixed.select(F.col("leaf").alias("m"), "lines"), F.col("leaf") == F.col("m"))
+    largest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("lines")).alias("lines"), "i", "leaf"))), 1, 2)
+    members = checkpointed(inside.groupBy("whole", "long", "first").agg(F.transform(largest, lambda x: x["leaf"]).alias("leaves")))
     # The tokens come from the first document of each line: few documents, or a shuffle where they are many.
-    wanted = small(members.select(F.col("first_doc").alias("w")).distinct())
-    texts = docs.select(named(id_col).cast("long").alias("doc"), text_of(named(text_col)).alias("text")).join(wanted, F.col("doc") == F.col("w"), "left_semi")
-    words = texts.select(F.explode(F.transform(_lines(F.col("text")), lambda line: bind(tokens(line), lambda t: F.struct(F.xxhash64(F.size(t), t).alias("w"), t.alias("words"))))).alias("x")).select("x.*")
-    words = words.join(members.select(F.col("whole").alias("m")).distinct(), F.col("w") == F.col("m"), "left_semi").groupBy("w").agg(F.first("words").alias("words"))
-    placed = checkpointed(members.join(words, F.col("whole") == F.col("w")).select("whole", "long", "leaf", F.transform("words", lambda t: F.xxhash64(t)).alias("words")))
+    wanted = members.groupBy(F.col("first.doc").alias("w")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "whole")).alias("lines"))
+    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(named(id_col).cast("long").alias("doc"), text_of(named(text_col)).alias("text")).join(wanted, F.col("doc") == F.col("w"))
+    # Rows with the same id are one document; of these only the one that has the line there gives its tokens.
+    hashed = lambda t, x: F.struct(x["whole"].alias("w"), (F.xxhash64(F.size(t), t) == x["whole"]).alias("ok"), F.transform(t, lambda y: F.xxhash64(y)).alias("words"))
+    found = bind(_lines(F.col("text")), lambda rows: F.transform("lines", lambda x: bind(tokens(F.coalesce(F.get(rows, x["line"]), F.lit(""))), lambda t: hashed(t, x))))
+    words = texts.select(F.explode(found).alias("x")).select("x.*").where("ok").groupBy("w").agg(F.first("words").alias("words"))
+    placed = checkpointed(members.join(words, F.col("whole") == F.col("w")).select("whole", "long", F.explode("leaves").alias("leaf"), "words"))
     at = placed.select("whole", "long", "leaf", F.size("words").alias("n"), F.posexplode("words").alias("place", "token"))
     kept = at.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("leaf").alias("l"), F.col("place").alias("p"), F.col("token").alias("t"), "lines")
     stays = at.join(kept, (F.col("leaf") == F.col("l")) & (F.col("place") == F.col("p")) & (F.col("token") == F.col("t")))
@@ -224,8 +231,8 @@ y AS (SELECT doc_id, line, w, len(w) AS n, {_case(DEPTH)} AS k, {_case(RUNS)} AS
 u AS (SELECT whole, any_value(w) AS w, any_value(n) AS n, any_value(k) AS k, any_value(runs) AS runs, any_value(long_) AS long_, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM y GROUP BY whole),
 z AS (SELECT *, i * (n - k) // (runs - 1) AS at_ FROM (SELECT *, unnest(generate_series(0, runs - 1)) AS i FROM u WHERE n > 2)),
 p AS (SELECT *, i || ' ' || n || ' ' || array_to_string(w[at_ + 1:at_ + k], ' ') AS leaf FROM z),
-m AS (SELECT leaf FROM p GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {_RULES.generalised}),
-a AS (SELECT leaf, whole, long_, n, unnest(generate_series(1, n)) AS place, unnest(w) AS token FROM p WHERE leaf IN (SELECT leaf FROM m)),
+m AS (SELECT leaf, count(*) AS lines FROM p GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {_RULES.generalised}),
+a AS (SELECT leaf, whole, long_, n, unnest(generate_series(1, n)) AS place, unnest(w) AS token FROM (SELECT * FROM p JOIN m USING (leaf) QUALIFY row_number() OVER (PARTITION BY whole ORDER BY lines DESC, i) <= 2)),
 s AS (SELECT leaf, place, token, count(*) AS c FROM a GROUP BY ALL HAVING count(*) > 1),
 b AS (SELECT leaf, whole, list(c ORDER BY c) AS cs FROM a JOIN s USING (leaf, place, token) GROUP BY leaf, whole, n HAVING 3 * count(*) >= 2 * n),
 g AS (SELECT leaf, whole, long_, leaf || ' | ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS template FROM a JOIN s USING (leaf, place, token) JOIN b USING (leaf, whole)
