@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.expressions import text_of
+from terrane.operators.datasets import number_rows
+from terrane.operators.joins import BROADCAST_ROWS
 from terrane.session import checkpointed
 
 ROLES = ("system", "user", "assistant")
@@ -293,31 +295,34 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part, strict=True), kinds, strict=True)], names)
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """The rows with a conversation and a turn, with ``block`` and ``sub`` by which they are decoded, and ``times``.
+def in_blocks(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
+    """The rows with a conversation and a turn, with ``block`` and ``sub`` by which they are decoded.
 
-    A block is a range of turn numbers. Where one has more than ``BLOCK_ROWS`` rows (turn numbers
-    that repeat), equal rows of it become one with a number of times, and the rows of each turn are
-    dealt into subs by a hash, so that no block grows with the repeats of a turn.
+    A block is a range of turn numbers. Where one has more than ``most`` rows (turn numbers that
+    repeat), its rows are numbered in the order of turn, role and text and cut into subs of so many, which
+    are chained like blocks: the result is that of one pass. Equal rows are numbered by a mark of their own,
+    so that a row that a third of the table repeats is no burden for one task.
     """
     keyed = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    counted = keyed.groupBy("conv_id", "block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    crowded = checkpointed(counted.select(F.col("conv_id").alias("cc"), F.col("block").alias("cb"), F.ceil(F.col("n") * 4 / BLOCK_ROWS).alias("parts")))
-    plain = keyed.withColumns({"sub": F.lit(0).cast("long"), "times": F.lit(1).cast("long")})
+    counted = keyed.groupBy("conv_id", "block").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    crowded = checkpointed(counted.select(F.col("conv_id").alias("cc"), F.col("block").alias("cb")))
+    plain = keyed.withColumn("sub", F.lit(0).cast("long"))
     if crowded.isEmpty():
         return plain
     here = (F.col("conv_id") == F.col("cc")) & (F.col("block") == F.col("cb"))
-    once = keyed.join(crowded, here).groupBy(*keyed.columns, "parts").agg(F.count("*").alias("times"))
-    dealt = once.withColumn("sub", (F.col("turn") - F.col("block") * BLOCK_TURNS) * F.col("parts") + F.pmod(F.xxhash64("given_role", "text"), F.col("parts")))
-    return plain.join(crowded, here, "left_anti").unionByName(dealt.select(*plain.columns))
+    order = F.struct("conv_id", "block", "turn", F.coalesce("role", F.lit("")).alias("r"), "text", F.monotonically_increasing_id().alias("mark"))
+    many = checkpointed(keyed.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded, here, "left_semi").withColumn("place", order).withColumn("number", F.lit(None).cast("long")))
+    numbered = checkpointed(number_rows(many, "place", 0, "number"))
+    first = numbered.groupBy(F.col("conv_id").alias("fc"), F.col("block").alias("fb")).agg(F.min("number").alias("low"))
+    cut = numbered.join(first, (F.col("conv_id") == F.col("fc")) & (F.col("block") == F.col("fb"))).withColumn("sub", F.floor((F.col("number") - F.col("low")) / most))
+    return plain.join(crowded, here, "left_anti").unionByName(cut.select(*plain.columns))
 
 
-def format_chat(conversations: DataFrame, model: Model | None = None, hide_roles: bool = False) -> DataFrame:
+def format_chat(conversations: DataFrame, model: Model | None = None, hide_roles: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     r"""``(conv_id, turn, part, role, given_role, text, rendered)``: the canonical turns of all conversations.
 
     ``conversations`` has ``(conv_id, turn, role, text)`` rows; a raw transcript is one row with a
-    null role. Rows are taken in the order of turn number, role and text (a turn number that
-    thousands of rows share: in that of a hash of them). A canonical turn begins with each row, each
+    null role. Rows are taken in the order of turn number, role and text. A canonical turn begins with each row, each
     speaker marker and each change of role inside a row; ``part`` numbers the turns that a row gives.
     Rows whose role is null or unknown get the role that Viterbi recovers. With ``hide_roles`` no
     row's own role is looked at: conversations are dealt into ``FOLDS`` parts by a hash of their id,
@@ -339,7 +344,7 @@ def format_chat(conversations: DataFrame, model: Model | None = None, hide_roles
     models = (model,) if model else fit_folds(known) if hide_roles else (fit(known),)
     names = [x.split()[0] for x in OUTPUT.split(", ")]
     k = len(ROLES)
-    keyed = in_blocks(rows)
+    keyed = in_blocks(rows, block_rows)
     spans = keyed.groupBy("conv_id").agg(F.min(F.struct("block", "sub")).alias("low"), F.max(F.struct("block", "sub")).alias("high"))
     long_ones = checkpointed(spans.where("low <> high").select(F.col("conv_id").alias("long_conv")))
     long_rows = keyed.join(long_ones, F.col("conv_id") == F.col("long_conv"), "left_semi")
@@ -360,11 +365,10 @@ def format_chat(conversations: DataFrame, model: Model | None = None, hide_roles
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
-            for (conv, _, _, before, last), group in groupby(_rows(batches), key=lambda x: (*x[:3], *x[9:])):
+            for (conv, _, _, before, last), group in groupby(_rows(batches), key=lambda x: (*x[:3], *x[8:])):
                 own = list(group)
                 for row, parts in zip(own, canonical([x[3:6] for x in own], models[own[0][6]], before, last), strict=True):
-                    for _ in range(row[8]):
-                        yield from ((conv, turn, part, role, row[7], text, rendered) for turn, part, role, text, rendered in parts)
+                    yield from ((conv, turn, part, role, row[7], text, rendered) for turn, part, role, text, rendered in parts)
 
         return _batches(each(), names, _KINDS)
 
@@ -383,7 +387,7 @@ def format_chat(conversations: DataFrame, model: Model | None = None, hide_roles
         return pd.DataFrame({"b_conv": group["conv_id"], "b_block": group["block"], "b_sub": group["sub"], "before": [-1, *last[:-1]], "last": last})
 
     def in_order(df: DataFrame, *more: str) -> DataFrame:
-        columns = ["conv_id", "block", "sub", "turn", "role", "text", "fold", "given_role", "times", *more]
+        columns = ["conv_id", "block", "sub", "turn", "role", "text", "fold", "given_role", *more]
         return df.select(*columns).repartition("conv_id", "block", "sub").sortWithinPartitions("conv_id", "block", "sub", "turn", F.coalesce("role", F.lit("")), "text")
 
     if long_ones.isEmpty():

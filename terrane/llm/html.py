@@ -273,7 +273,7 @@ def _settle_doubts(lines: list[Line]) -> None:
     for x in lines:
         if not x.outside:
             total += len(x.text) - x.linked
-            if x.doubt:
+            if x.doubt and x.block.name not in FRAMES:  # a form's own text, outside of blocks, is no article
                 x.doubt.chars += len(x.text) - x.linked
     seen: set[Doubt] = set()
     for x in lines:

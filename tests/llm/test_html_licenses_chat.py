@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.llm import chat, html, licenses
+from terrane.session import table
 
 LONG = "A paragraph that is long enough to count as text of an article, and then some more words."
 PAGES = {
@@ -298,13 +299,24 @@ def test_counts_of_repeated_turns(spark):
     assert (halves[0].step + halves[1].step).tolist() == found.step.tolist()
 
 
-def test_a_turn_number_that_many_rows_share(spark, monkeypatch):
-    monkeypatch.setattr(chat, "BLOCK_ROWS", 8)
+def test_a_turn_number_that_many_rows_share(spark):
     model = chat.fit(turns(spark, train(40)))
     rows = [(7, 3, None, f"what is {k % 30}?") for k in range(90)] + [(7, 4, None, "a long answer " * 9)] * 20 + [(8, 0, None, "short?")]
-    got = chat.format_chat(turns(spark, rows), model).collect()
-    assert sorted((r["conv_id"], r["turn"], r["text"]) for r in got) == sorted((c, t, x.strip()) for c, t, _, x in rows)
-    assert {r["part"] for r in got} == {0}
+    rows += [(9, k // 30, [None, "user", "assistant"][k % 3], ["Sure, here it is.", "User: how?\nAssistant: so", "", "- one\n- two"][k % 4]) for k in range(120)]
+    got = {n: sorted(map(str, chat.format_chat(turns(spark, rows), model, block_rows=n).collect())) for n in (8, 33, 4096)}
+    assert got[8] == got[33] == got[4096]
+    found = chat.format_chat(turns(spark, rows[:111]), model, block_rows=8).collect()
+    assert sorted((r["conv_id"], r["turn"], r["text"]) for r in found) == sorted((c, t, x.strip()) for c, t, _, x in rows[:111])
+    assert {r["part"] for r in found} == {0}
+
+
+def test_clashing_names_of_conversations(spark):
+    rows = turns(spark, train(6))
+    more = rows
+    for c in ("fold", "block", "sub", "number", "place", "given_role", "part", "times", "cc", "before", "last"):
+        more = more.withColumn(c, F.lit("?"))
+    model = chat.fit(rows)
+    assert sorted(map(str, chat.format_chat(more, model).collect())) == sorted(map(str, chat.format_chat(rows, model).collect()))
 
 
 def brute_scan(text, index):
@@ -354,3 +366,39 @@ def test_repeated_phrases_of_a_licence_cost_little():
     began = time.perf_counter()
     assert licenses.scan_text("the software without restriction " * 30_000, index) == []
     assert time.perf_counter() - began < 5
+
+
+PROSE = "This is a long paragraph of the article with many words in it. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<form id="aspnetForm"><div><p>{PROSE}</p><p>Short end.</p></div></form>', [PROSE, "Short end."]),
+        (f'<form id="aspnetForm"><nav><a href="x">Home</a></nav><main><article><p>{PROSE}</p></article></main><footer>Foot</footer></form>', [PROSE]),
+        (f'<fieldset><p>{PROSE}</p></fieldset>', [PROSE]),
+        (f'<article><p>{PROSE}</p><section id="discussion"><p>{PROSE}</p></section><h2 id="search">Search</h2><h2 id="navigation">Navigation</h2><p class="notice">A note.</p></article>', [PROSE, PROSE, "Search", "Navigation", "A note."]),
+        (f'<div class="page side"><p>{PROSE}</p><p>{PROSE}</p></div><div class="footer">Foot</div>', [PROSE, PROSE]),
+        (f'<article><p>{PROSE}</p></article><form><p>Sign up for letters</p></form>', [PROSE]),
+        (f'<div><p>{PROSE}</p></div><form><p>Sign up for letters</p></form>', [PROSE]),
+        (f'<article><p>{PROSE}</p></article><section class="comments"><p>{PROSE}</p><p>{PROSE}</p></section>', [PROSE]),
+        (f'<div><p>{PROSE}</p></div><div>© 2024 Somebody · all rights</div>', [PROSE]),
+        (f'<article><p>{PROSE}</p><p>© is a sign.</p></article>', [PROSE, "© is a sign."]),
+    ],
+)
+def test_names_alone_lose_no_text(page, want):
+    assert html.main_text(page) == "\n\n".join(x.strip() for x in want)
+
+
+def test_pages_of_plain_containers(spark):
+    """All semantic elements of the test pages as div: the same text."""
+    import re
+
+    names = "article|main|nav|header|footer|aside|section|form|menu|dialog|button|fieldset"
+    extra = total = 0
+    for row in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        want = html.main_text(row["html"])
+        got = html.main_text(re.sub(rf"<(/?)(?:{names})\b", r"<\1div", row["html"] or ""))
+        total += len(want)
+        extra += abs(len(got) - len(want))
+    assert extra <= 0.01 * total

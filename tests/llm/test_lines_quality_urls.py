@@ -198,9 +198,43 @@ def test_whole_tables_match_sql(spark, name):
     if not os.path.isdir(folder):
         pytest.skip("no test data here")
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = con.execute(catalog.ORACLES[name])
     names = [c[0] for c in want.description]
     key = lambda row: tuple(map(str, row))
     assert sorted((tuple(r[c] for c in names) for r in catalog.QUERIES[name](spark, folder).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def log_lines(rng, n, fields, values, docs=25):
+    """The same line in many documents, but for fields of so many values."""
+    base = [f"w{k}".translate(str.maketrans("0123456789", "abcdefghij")) + "x" for k in rng.sample(range(100, 900), n)]
+    word = lambda: "".join(rng.choices("bcdfghklmnprstvz", k=5))
+    pools = {f: [word() for _ in range(values)] for f in fields}
+    return [" ".join(rng.choice(pools[k]) if k in pools else w for k, w in enumerate(base)) for _ in range(docs)]
+
+
+def test_fields_of_few_values_and_at_both_ends_recur(spark):
+    import random
+
+    rng, cases = random.Random(11), []
+    for n in (4, 5, 6, 7, 8, 10, 12, 16, 24, 40):
+        for values in (2, 5, 1000):
+            for fields in ([0], [n - 1], [0, n - 1], sorted(rng.sample(range(n), max(1, min(n // 4, 4))))):
+                if 3 * len(fields) <= n:
+                    cases.append(log_lines(rng, n, fields, values))
+    rows = [(1000 * j + k, line) for j, case in enumerate(cases) for k, line in enumerate(case)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shares = [sum(got[1000 * j + k] == "" for k in range(1, len(case))) / (len(case) - 1) for j, case in enumerate(cases)]
+    long = [s for s, case in zip(shares, cases, strict=True) if min(map(len, case)) - case[0].count(" ") >= 40]
+    assert sum(long) / len(long) >= 0.9 and sorted(long)[len(long) // 10] >= 0.9
+
+
+def test_unlike_lines_of_a_leaf_stay(spark):
+    import random
+
+    rng = random.Random(12)
+    head = "the committee has decided that".split()
+    words = ["".join(rng.choices("bcdfghklmnprstvz", k=6)) for _ in range(400)]
+    rows = [(k, " ".join(head + rng.sample(words, 15))) for k in range(200)]  # a quarter of the tokens in common
+    assert {r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {t for _, t in rows}
