@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.expressions import SPACE_RUN, bind, fresh, named, text_of, words_of
-from terrane.operators.joins import BROADCAST_ROWS
 from terrane.session import checkpointed
 
 #: Runs of tokens that begin a path, evenly spread: the most of them, for lines of so many tokens; fewer in shorter lines.
 RUNS = ((8, 4), (6, 3), (0, 2))
 #: Tokens of a run, for lines of so many tokens.
 DEPTH = ((12, 3), (4, 2), (0, 1))
+#: Bits of the table that tells which lines' tokens are needed.
+BITS = 1 << 27
 LEAVES = tuple(f"leaf{i}" for i in range(4))
 #: A word with a digit, matched from its beginning.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
@@ -117,20 +118,24 @@ def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str,
     inside = paths.join(mixed.select(F.col("leaf").alias("m"), "lines"), F.col("leaf") == F.col("m"))
     largest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("lines")).alias("lines"), "i", "leaf"))), 1, 2)
     members = checkpointed(inside.groupBy("whole", "long", "first").agg(F.transform(largest, lambda x: x["leaf"]).alias("leaves")))
-    # The tokens come from the first document of each line: few documents, or a shuffle where they are many.
-    wanted = members.groupBy(F.col("first.doc").alias("w")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "whole")).alias("lines"))
-    wanted = F.broadcast(wanted) if members.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(named(id_col).cast("long").alias("doc"), text_of(named(text_col)).alias("text")).join(wanted, F.col("doc") == F.col("w"))
-    # Rows with the same id are one document; of these only the one that has the line there gives its tokens.
-    hashed = lambda t, x: F.struct(x["whole"].alias("w"), (F.xxhash64(F.size(t), t) == x["whole"]).alias("ok"), F.transform(t, lambda y: F.xxhash64(y)).alias("words"))
-    found = bind(_lines(F.col("text")), lambda rows: F.transform("lines", lambda x: bind(tokens(F.coalesce(F.get(rows, x["line"]), F.lit(""))), lambda t: hashed(t, x))))
-    words = texts.select(F.explode(found).alias("x")).select("x.*").where("ok").groupBy("w").agg(F.first("words").alias("words"))
+    # The tokens come from the first place of each line. A table of bits, at most BITS / 64 rows, says in the
+    # map tasks which places are asked for (and a few others), so that no text is moved to find them.
+    bit = lambda doc, line: F.pmod(F.xxhash64(doc, line), F.lit(BITS))
+    at = bit(F.col("first.doc"), F.col("first.line"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))
+    asked = members.select(at.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("cell")).agg(F.bit_or(one).alias("bits"))
+    every = docs.select(named(id_col).cast("long").alias("doc"), F.posexplode(_lines(text_of(named(text_col)))).alias("line", "text")).withColumn("b", bit(F.col("doc"), F.col("line")))
+    hit = every.join(F.broadcast(asked), F.floor(F.col("b") / 64) == F.col("cell")).where(F.call_function("shiftright", F.col("bits"), (F.col("b") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    hashed = bind(tokens(F.col("text")), lambda t: F.struct(F.xxhash64(F.size(t), t).alias("w"), F.transform(t, lambda y: F.xxhash64(y)).alias("words")))
+    words = hit.select(hashed.alias("x")).select("x.*").groupBy("w").agg(F.first("words").alias("words"))
     placed = checkpointed(members.join(words, F.col("whole") == F.col("w")).select("whole", "long", F.explode("leaves").alias("leaf"), "words"))
-    at = placed.select("whole", "long", "leaf", F.size("words").alias("n"), F.posexplode("words").alias("place", "token"))
-    kept = at.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("leaf").alias("l"), F.col("place").alias("p"), F.col("token").alias("t"), "lines")
-    stays = at.join(kept, (F.col("leaf") == F.col("l")) & (F.col("place") == F.col("p")) & (F.col("token") == F.col("t")))
-    mark = F.struct("lines", F.xxhash64("place", "token").alias("mark"))
-    shape = stays.groupBy("leaf", "whole", "long", "n").agg(F.sort_array(F.collect_list(mark)).alias("x")).where(3 * F.size("x") >= 2 * F.col("n"))
+    # A token in its place of a leaf is one number, which is all that is dealt out.
+    spread = placed.select("leaf", "whole", F.posexplode("words").alias("place", "token")).select("leaf", "whole", F.xxhash64("leaf", "place", "token").alias("mark"))
+    # Checkpointed, so that adaptive execution can split the join at a token that very many lines have in one place.
+    kept = checkpointed(spread.groupBy(F.col("mark").alias("m")).agg(F.count("*").alias("lines")).where("lines > 1"))
+    found = spread.join(kept, F.col("mark") == F.col("m")).groupBy("leaf", "whole").agg(F.sort_array(F.collect_list(F.struct("lines", "mark"))).alias("x"))
+    sizes = placed.select(F.col("leaf").alias("l"), F.col("whole").alias("w"), "long", F.size("words").alias("n"))
+    shape = found.join(sizes, (F.col("leaf") == F.col("l")) & (F.col("whole") == F.col("w"))).where(3 * F.size("x") >= 2 * F.col("n"))
 
     def constant(x: Column) -> Column:
         # Tokens that no other line has in their place are not in x, and rank below all that are.
