@@ -21,7 +21,7 @@ FORBIDDEN_IN_HOST = r"""[\x00-\x20#/:<>?@\[\\\]^|%\x7F]"""
 BASE, T_MIN, T_MAX, SKEW, DAMP, BIAS, FIRST = 36, 1, 26, 38, 700, 72, 128
 
 #: An address that the standard leaves as it is: such need no second look.
-PLAIN = r"^https?://(?!(?:[^/?#]*\.)?(?:\d+|0x[0-9a-f]*)\.?(?:[/:?#]|$))[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/(?:(?!\.{1,2}(?:/|\?|#|$))[A-Za-z0-9_~!$&'()*+,;=:@.-]+/?)*)(?:\?[A-Za-z0-9_~!$&()*+,;=:@./?%-]*)?$"
+PLAIN = r"^https?://(?!(?:[^/?#]*\.)?(?:\d+|0x[0-9a-f]*)\.?(?:[/:?#]|$))[a-z0-9-]++(?:\.[a-z0-9-]++)++(?:/(?!\.{1,2}(?:[/?#]|$))[A-Za-z0-9_~!$&'()*+,;=:@.-]*+)*+(?:\?[A-Za-z0-9_~!$&()*+,;=:@./?%-]*+)?$"
 
 
 def encoded(text: Column, pattern: str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.geo import city_box, local_name, quadrants, round_half_up
 from terrane.functions.phones import e164
 from terrane.functions.urls import clean_url, host_of, maps_url, platform_domain, platform_kind, social_key
+from terrane.session import checkpointed
 
 
 def location_tree(country: DataFrame, admin1: DataFrame, admin2: DataFrame | None, rows: DataFrame, radius: tuple[float, float, float], script: str | None = None, excluded_codes: tuple[str, ...] = ("PPLX", "PPLH")) -> DataFrame:
@@ -49,48 +49,65 @@ def location_tree(country: DataFrame, admin1: DataFrame, admin2: DataFrame | Non
     return city_rows.select(*shape).unionByName(region_rows.select(*shape)).unionByName(top.select(*shape))
 
 
-PLAN = "country_code string, key string, kind string, location_id long, name string, covered array<long>, absorbed array<long>, south double, west double, north double, east double"
+#: Degrees of a grid cell in which boxes of cities meet places.
+AREA_CELL = 0.25
+
+
+def _inside(cities: DataFrame, big: DataFrame) -> DataFrame:
+    """``(area, place, first)``: places inside the box of a bigger city of their country; ``first`` orders the cities."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / AREA_CELL), F.floor(F.col(high) / AREA_CELL)))
+    boxes = big.select(F.col("country_code").alias("bc"), F.col("id").alias("area"), F.col("rank").alias("first"), "south", "west", "north", "east")
+    boxes = boxes.withColumn("by", cells("south", "north")).withColumn("bx", cells("west", "east"))
+    points = cities.select("country_code", F.col("id").alias("place"), F.col("rank").alias("own"), "lat", "lng", F.floor(F.col("lat") / AREA_CELL).alias("cy"), F.floor(F.col("lng") / AREA_CELL).alias("cx"))
+    met = points.join(boxes, F.col("country_code").eqNullSafe(F.col("bc")) & (F.col("cy") == F.col("by")) & (F.col("cx") == F.col("bx")) & (F.col("first") < F.col("own")))
+    return met.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))).select("area", "place", "first")
 
 
 def plan_search_areas(cities: DataFrame, min_population: int = 5000, include_rural: bool = True) -> DataFrame:
     """Search areas of each country: big cities first, the rest by district.
 
-    Whether a city is absorbed depends on the bigger ones before it, so the plan is sequential for a
-    country; a country has some thousand cities, which bounds the group. ``cities``:
-    ``(country_code, id, name, lat, lng, population, parent_id, parent_name, south, west, north, east)``.
+    In the order of population and id a big city is an area of its own unless it lies in the box of an area before it;
+    every other place belongs to the first area whose box it lies in, or to the rural area of its
+    district. Which cities are areas is found in rounds over the pairs of a grid join: a city that no undecided
+    one before it contains is an area, and those in its box are not. There are as many rounds as
+    boxes in a row that contain each other's cities, a few. ``cities``: ``(country_code, id, name, lat,
+    lng, population, parent_id, parent_name, south, west, north, east)``.
     """
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(p=group["population"].fillna(0)).sort_values(["p", "id"], ascending=[False, True])
-        areas: list[dict] = []
-        left = []
-        for c in group.itertuples():
-            inside = next((a for a in areas if a["south"] <= c.lat <= a["north"] and a["west"] <= c.lng <= a["east"]), None)
-            big = c.p >= min_population
-            if inside is not None:
-                inside["covered"].append(c.id)
-                if big:
-                    inside["absorbed"].append(c.id)
-            elif big:
-                areas.append({"key": f"city:{c.id}", "kind": "CITY", "location_id": c.id, "name": c.name_, "covered": [c.id], "absorbed": [], "south": c.south, "west": c.west, "north": c.north, "east": c.east})
-            else:
-                left.append(c)
-        rural: dict[object, list] = {}
-        for c in left if include_rural else []:
-            rural.setdefault(None if pd.isna(c.parent_id) else int(c.parent_id), []).append(c)
-        more = []
-        for district, places in rural.items():
-            first = places[0]
-            label = first.parent_name if isinstance(first.parent_name, str) else "Unassigned"
-            key = f"rural:{district}" if district is not None else f"rural:place-{first.id}"
-            more.append({"key": key, "kind": "RURAL", "location_id": district if district is not None else first.id, "name": f"{label} (rural)", "covered": [p.id for p in places], "absorbed": [], "south": min(p.south for p in places), "west": min(p.west for p in places), "north": max(p.north for p in places), "east": max(p.east for p in places)})
-        rows = areas + sorted(more, key=lambda a: a["name"])
-        columns = [x.split()[0] for x in PLAN.split(", ")][1:]
-        out = pd.DataFrame(rows, columns=columns)
-        out.insert(0, "country_code", group["country_code"].iloc[0])
-        return out
-
-    return cities.withColumnRenamed("name", "name_").groupBy("country_code").applyInPandas(plan, PLAN)
+    ranked = checkpointed(cities.withColumn("p", F.coalesce("population", F.lit(0))).withColumn("rank", F.struct((-F.col("p")).alias("p"), F.col("id").alias("id"))))
+    big = ranked.where(F.col("p") >= min_population)
+    pairs = checkpointed(_inside(ranked, big))
+    waiting = big.select("id")
+    among = pairs.join(waiting.select(F.col("id").alias("k")), F.col("place") == F.col("k"), "left_semi").select("area", "place")
+    areas = None
+    while not waiting.isEmpty():
+        open_areas = among.join(waiting, F.col("area") == F.col("id"), "left_semi")
+        taken = checkpointed(waiting.join(open_areas.select("place").distinct(), F.col("id") == F.col("place"), "left_anti"))
+        lost = among.join(taken, F.col("area") == F.col("id"), "left_semi").select(F.col("place").alias("id")).distinct()
+        waiting = checkpointed(waiting.join(taken, "id", "left_anti").join(lost, "id", "left_anti"))
+        areas = taken if areas is None else checkpointed(areas.union(taken))
+    areas = big.select("id").limit(0) if areas is None else areas
+    home = pairs.join(areas, F.col("area") == F.col("id"), "left_semi").groupBy("place").agg(F.min_by("area", "first").alias("home"))
+    rest = ranked.join(areas.select(F.col("id").alias("a")), F.col("id") == F.col("a"), "left_anti").join(home, F.col("id") == F.col("place"), "left")
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["id"])
+    inner = rest.where("home IS NOT NULL").groupBy("home").agg(ids(F.col("rank")).alias("more"), ids(F.when(F.col("p") >= min_population, F.col("rank"))).alias("absorbed"))
+    own = ranked.join(areas.select(F.col("id").alias("a")), F.col("id") == F.col("a"), "left_semi").join(inner, F.col("id") == F.col("home"), "left")
+    empty = F.array().cast("array<bigint>")
+    long = F.col("id").cast("long")
+    planned = own.select(
+        "country_code", F.concat(F.lit("city:"), F.col("id").cast("string")).alias("key"), F.lit("CITY").alias("kind"), long.alias("location_id"), "name",
+        F.concat(F.array(long), F.coalesce(F.col("more").cast("array<bigint>"), empty)).alias("covered"), F.coalesce(F.col("absorbed").cast("array<bigint>"), empty).alias("absorbed"), "south", "west", "north", "east",
+    )
+    if not include_rural:
+        return planned
+    left = rest.where("home IS NULL").groupBy("country_code", "parent_id").agg(
+        ids(F.col("rank")).alias("covered"), F.min_by("parent_name", "rank").alias("label"), F.min("south").alias("south"), F.min("west").alias("west"), F.max("north").alias("north"), F.max("east").alias("east"))
+    parent = F.col("parent_id").cast("long")
+    key = F.when(parent.isNotNull(), F.concat(F.lit("rural:"), parent.cast("string"))).otherwise(F.concat(F.lit("rural:place-"), F.col("covered")[0].cast("string")))
+    rural = left.select(
+        "country_code", key.alias("key"), F.lit("RURAL").alias("kind"), F.coalesce(parent, F.col("covered")[0].cast("long")).alias("location_id"), F.concat(F.coalesce("label", F.lit("Unassigned")), F.lit(" (rural)")).alias("name"),
+        F.col("covered").cast("array<bigint>").alias("covered"), empty.alias("absorbed"), "south", "west", "north", "east",
+    )
+    return planned.unionByName(rural)
 
 
 def split_saturated(tiles: DataFrame, saturated_at: int = 60, max_depth: int = 2) -> DataFrame:

@@ -58,16 +58,22 @@ def profile(name: str) -> list[Column]:
     return profiles[name]()
 
 
+#: Rows of a file for people.
+MOST_ROWS = 100_000
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """One file with a byte-order mark, header and CRLF line ends, in the order of ``rows``.
 
-    An export is for people: it is limited to 100,000 rows before it comes here, so one file is right.
+    An export is for people, so one file and one task are right for its at most 100,000 rows; more are an error.
+    Lines are numbered, so that the file has them in order whatever the union does.
     """
-    from pyspark.sql.types import StringType
-
-    header = rows.sparkSession.createDataFrame([(BOM + ",".join(rows.columns),)], "value string")
-    body = rows.select(csv_line(*[F.col(c) for c in rows.columns]).cast(StringType()).alias("value"))
-    header.coalesce(1).union(body).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    n = len(rows.select(F.lit(1)).head(MOST_ROWS + 1))
+    if n > MOST_ROWS:
+        raise ValueError(f"an export has at most {MOST_ROWS} rows")
+    header = rows.sparkSession.createDataFrame([(-1, BOM + ",".join(rows.columns))], "line long, value string")
+    body = rows.select(F.monotonically_increasing_id().alias("line"), csv_line(*[F.col(c) for c in rows.columns]).alias("value"))
+    header.union(body).repartition(1).sortWithinPartitions("line").select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def export_file_name(prefix: str, day: str, country: str, count: int) -> str:
