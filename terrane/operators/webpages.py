@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from terrane.functions.urls import link_kind, shop_signals
 
 #: Sources of an address, most reliable first.
 SOURCES = ("mailto", "cfemail", "jsonld", "text", "obfuscated", "attribute", "script")
+#: What a page with any address has in its source: the sign itself, an escape of it, a protected address, or the word.
+ADDRESS_HINT = r"(?i)@|＠|%40|&#|&commat|\\u00|\\x40|cfemail|email-protection|[\[({<]\s*at\s*[\])}>]|\bat\b"
 SILENT = ("script", "style", "noscript", "template", "svg")
 SPACED = ("br", "p", "div", "li", "td", "th", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -108,14 +111,22 @@ PARTS = "mailto array<string>, protected array<string>, jsonld array<string>, te
 def with_parts(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """Keys of the pages with their parts, parsed in Arrow batches."""
     kinds = dict(pages.dtypes)
+    names = ["mailto", "protected", "jsonld", "text", "attributes", "scripts", "links"]
+    texts, link = pa.list_(pa.string()), pa.struct([("href", pa.string()), ("label", pa.string())])
+    types = [texts, texts, texts, pa.string(), pa.string(), pa.string(), pa.list_(link)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [page_parts(x) for x in batch[html]]
-            yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(parts, columns=["mailto", "protected", "jsonld", "text", "attributes", "scripts", "links"])], axis=1)
+            for first in range(0, batch.num_rows, 500):  # texts of a page are about as long as the page
+                rows = batch.slice(first, 500)
+                parts = [page_parts(x) for x in rows.column(len(keys)).to_pylist()]
+                for p in parts:
+                    p["links"] = [{"href": a, "label": b} for a, b in p["links"]]
+                columns = [pa.array([p[n] for p in parts], t) for n, t in zip(names, types, strict=True)]
+                yield pa.record_batch([*(rows.column(k) for k in range(len(keys))), *columns], names=[*keys, *names])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + PARTS
-    return pages.select(*keys, html).mapInPandas(run, schema)
+    return pages.select(*keys, html).mapInArrow(run, schema)
 
 
 def _candidates() -> Column:
@@ -136,10 +147,10 @@ def _candidates() -> Column:
 def emails_of_pages(pages: DataFrame) -> DataFrame:
     """``(site, page_order, url, pos, source, original, email)``: each address once a page, with its best source.
 
-    ``pages``: ``(site, page_order, url, html)``.
+    ``pages``: ``(site, page_order, url, html)``. Pages without any sign of an address are not parsed.
     """
     keys = ["site", "page_order", "url"]
-    found = with_parts(pages, keys).select(*keys, F.posexplode(_candidates()).alias("pos", "c")).select(*keys, "pos", "c.source", "c.original")
+    found = with_parts(pages.where(F.col("html").rlike(ADDRESS_HINT)), keys).select(*keys, F.posexplode(_candidates()).alias("pos", "c")).select(*keys, "pos", "c.source", "c.original")
     valid = found.withColumn("email", normalize_email(F.col("original"))).where("email IS NOT NULL")
     picked = F.min(F.struct("pos", "source", "original"))
     return valid.groupBy(*keys, "email").agg(picked.alias("p")).select(*keys, "p.*", "email")

