@@ -191,14 +191,18 @@ def ready_leads(leads: DataFrame, suppression: DataFrame, status_of_email: bool
     return not_suppressed(leads.where(F.col("email").isNotNull() & scope), F.col("email"), suppression)
 
 
-def place_words(locations: DataFrame, min_population: int = 1000) -> Column:
+def place_words(locations: DataFrame, min_population: int = 1000, most: int = 20_000) -> Column:
     """Words of at least three letters in names of countries, regions and towns, as one literal.
 
-    Locations of one country are a few thousand rows; their distinct words are collected.
+    Locations of one country are a few thousand rows; their distinct words are collected. More than ``most`` words are an error:
+    those are the places of several countries, whose names are compared country by country.
     """
     named = locations.where(F.col("type").isin("COUNTRY", "REGION") | (F.col("population") >= min_population))
     words = named.select(F.explode(F.split(fold(F.col("name")), r"[^\p{L}\p{N}]+")).alias("w")).where(F.length("w") >= 3).distinct()
-    return F.array(*[F.lit(r["w"]) for r in words.orderBy("w").toLocalIterator()]).cast("array<string>")
+    found = [r["w"] for r in words.orderBy("w").take(most + 1)]
+    if len(found) > most:
+        raise ValueError(f"the locations have more than {most} words")
+    return F.array(*[F.lit(w) for w in found]).cast("array<string>")
 
 
 @dataclass
