@@ -61,8 +61,9 @@ def estimate_cost(jobs: DataFrame, max_pages: int = 3, default_pages: float = 2.
 
 
 def worker_state(beat: Column, now: Column, stale_seconds: int = 100) -> Column:
-    """Whether a worker's last sign of life is recent (Q-9)."""
-    return F.when(beat.isNull(), F.lit("unknown")).when(F.unix_timestamp(now) - F.unix_timestamp(beat) <= stale_seconds, F.lit("running")).otherwise(F.lit("stopped"))
+    """Whether a worker's last sign of life is less than so many seconds old (Q-9)."""
+    millis = lambda c: F.unix_millis(c.cast("timestamp"))
+    return F.when(beat.isNull(), F.lit("unknown")).when(millis(now) - millis(beat) < 1000 * stale_seconds, F.lit("running")).otherwise(F.lit("stopped"))
 
 
 def alerts(current: DataFrame, day_ago: DataFrame, six_hours_ago: DataFrame, loops: DataFrame, websites: DataFrame, now: Column) -> DataFrame:

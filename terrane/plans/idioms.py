@@ -202,3 +202,46 @@ def search_areas(spark, d):
     lat, lng = (k % 11).cast("double"), (k % 7).cast("double")
     cities = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("country_code"), k.alias("id"), F.lit("x").alias("name"), lat.alias("lat"), lng.alias("lng"), F.round("c_acctbal").cast("long").alias("population"), F.lit(1).cast("long").alias("parent_id"), F.lit("p").alias("parent_name"), (lat - 0.1).alias("south"), (lng - 0.1).alias("west"), (lat + 0.1).alias("north"), (lng + 0.1).alias("east"))
     return places.plan_search_areas(cities, include_rural=False).select("country_code", "key")
+
+
+@query(r"""WITH s AS (SELECT p_partkey, list_distinct(list_transform(list_filter(string_split(lower(p_name || ' Shops & Bars ' || p_type), ' '), lambda w: len(w) >= 3), lambda w: regexp_replace(w, '^(.{4,})s$', '\1'))) AS stems FROM part)
+SELECT p_partkey AS k, array_to_string(list_sort(stems), ',') AS stems, CAST(list_contains(stems, 'bars') AS INT) + CAST(list_contains(stems, 'anvil') AS INT) + CAST(list_contains(stems, 'glass') AS INT) AS hits FROM s""")
+def stem_hits(spark, d):
+    """Stems of names, and how many of a keyword list a name has; common words do not count."""
+    p = table(spark, d, "part")
+    name = F.concat_ws(" ", "p_name", F.lit("Shops & Bars"), "p_type")
+    words = F.array(F.lit("Bars"), F.lit("anvils and the shop"), F.lit("Glass"))
+    hits = text.keyword_hits(name, words)
+    return p.select(F.col("p_partkey").alias("k"), F.array_join(F.array_sort(text.stems(name)), ",").alias("stems"), hits.alias("hits"))
+
+
+@query("""SELECT user_id, CASE WHEN epoch_us(now) // 1000 - epoch_us(max(ts)) // 1000 < 3600000 THEN 'running' ELSE 'stopped' END AS state FROM events, (SELECT max(ts) AS now FROM events) GROUP BY user_id, now""")
+def worker_states(spark, d):
+    """Q-9: workers by the age of their last sign of life."""
+    e = table(spark, d, "events")
+    last, now = e.groupBy("user_id").agg(F.max("ts").alias("beat")), e.agg(F.max("ts").alias("now"))
+    return last.crossJoin(F.broadcast(now)).select("user_id", reports.worker_state(F.col("beat"), F.col("now"), 3600).alias("state"))
+
+
+@query("SELECT page_id, length(html) % 400 < 200 AS needs_browser FROM pages WHERE html IS NOT NULL")
+def script_built_pages(spark, d):
+    """Pages with little visible text in the shell of a script-built site."""
+    shown = F.repeat(F.lit("x"), (F.length("html") % 400).cast("int"))
+    shell = F.concat(F.lit('<html><head><title>A title that is not shown</title></head><body><!-- no text --><div id="root"><b>'), shown, F.lit("</b></div><script>var a = 1 < 2;</script><noscript>off</noscript></body></html>"))
+    return table(spark, d, "pages").where("html IS NOT NULL").select("page_id", urls.looks_javascript_rendered(shell).alias("needs_browser"))
+
+
+@query("""WITH s AS (SELECT count(*) AS n, CAST(sum(length(o_orderpriority) * 100) AS BIGINT) AS bytes, (SELECT count(*) FROM customer) AS more FROM orders), e AS (SELECT *, CASE WHEN n >= 1000 THEN bytes / n ELSE 2500.0 END AS each FROM s)
+SELECT round(each, 6) AS bytes_per_place, round((bytes + each * more) / 1e6, 6) AS after_mb, (bytes + each * more) / 1e6 <= 900 AS fits FROM e""")
+def storage_forecast(spark, d):
+    """The size after an import by what a place takes now."""
+    o = table(spark, d, "orders").agg(F.count("*").alias("n"), F.sum(F.length("o_orderpriority") * 100).alias("bytes")).first()
+    found = services.storage_estimate(o["n"], o["bytes"], table(spark, d, "customer").count())
+    return spark.createDataFrame([(round(found["bytes_per_place"], 6), round(found["after_mb"], 6), bool(found["fits"]))], "bytes_per_place double, after_mb double, fits boolean")
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def keep_last(spark, d):
+    """Of equal keys the last in a stable order stays."""
+    last = F.max(F.struct("ts", "event_id")).alias("x")
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(last).select("user_id", "event_type", "x.event_id")
