@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline as pipeline
 from terrane.llm import decontaminate, quality
 
@@ -63,3 +65,14 @@ def test_empty_table(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_a_work_folder_of_other_inputs(spark, tmp_path):
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    corpus(spark, one)
+    corpus(spark, two)
+    work = str(tmp_path / "work")
+    first = sorted(map(str, pipeline.run(spark, one, work).collect()))
+    assert sorted(map(str, pipeline.run(spark, one, work).collect())) == first  # nothing is left to do
+    with pytest.raises(ValueError, match="other inputs"):
+        pipeline.run(spark, two, work)
