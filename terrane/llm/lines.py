@@ -51,7 +51,7 @@ class Rules:
 
 def tokens(line: Column) -> Column:
     """The tokens of a line, those with digits as ``<*>``."""
-    return words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line))
+    return bind(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line), words_of)
 
 
 def by_size(n: Column, steps: tuple[tuple[int, int], ...]) -> Column:
