@@ -5,7 +5,7 @@ A line's tokens are its words; a word with a digit is variable from the start an
 the leading ones, the trailing ones or one of two runs between them, so that a line whose fields lie in at
 most three of these runs still meets its like. A leaf holds the distinct lines of a path. In leaves
 of several lines positions are generalised: a token is constant if other lines of the leaf have it
-in its place, and of these at least half as many as have the line's middling token in its place; all others are
+in its place, and of these at least two thirds as many as have the line's middling token in its place; all others are
 fields and become ``<*>``, those of few values included. A line counts in its two largest leaves. Lines of which at least two thirds of the
 tokens stay belong to the template of what stays.
 
@@ -140,7 +140,7 @@ def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str,
     def constant(x: Column) -> Column:
         # Tokens that no other line has in their place are not in x, and rank below all that are.
         middling = F.get(x, (F.floor((F.col("n") - 1) / 2) - (F.col("n") - F.size(x))).cast("int"))["lines"]
-        return bind(middling, lambda m: F.filter(x, lambda e: 2 * e["lines"] >= m))
+        return bind(middling, lambda m: F.filter(x, lambda e: 3 * e["lines"] >= 2 * m))
 
     shape = shape.select("leaf", "whole", "long", "n", constant(F.col("x")).alias("x")).where((F.size("x") < F.col("n")) & (3 * F.size("x") >= 2 * F.col("n")))
     mixed_marks = F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e["mark"]))
@@ -241,7 +241,7 @@ a AS (SELECT leaf, whole, long_, n, unnest(generate_series(1, n)) AS place, unne
 s AS (SELECT leaf, place, token, count(*) AS c FROM a GROUP BY ALL HAVING count(*) > 1),
 b AS (SELECT leaf, whole, list(c ORDER BY c) AS cs FROM a JOIN s USING (leaf, place, token) GROUP BY leaf, whole, n HAVING 3 * count(*) >= 2 * n),
 g AS (SELECT leaf, whole, long_, leaf || ' | ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS template FROM a JOIN s USING (leaf, place, token) JOIN b USING (leaf, whole)
-      WHERE 2 * c >= cs[(n - 1) // 2 - (n - len(cs)) + 1] GROUP BY leaf, whole, long_, n HAVING count(*) < n AND 3 * count(*) >= 2 * n),
+      WHERE 3 * c >= 2 * cs[(n - 1) // 2 - (n - len(cs)) + 1] GROUP BY leaf, whole, long_, n HAVING count(*) < n AND 3 * count(*) >= 2 * n),
 c AS (SELECT template, min(doc_id) AS kept_in FROM g JOIN y USING (whole) GROUP BY template HAVING count(DISTINCT doc_id) >= CASE WHEN bool_and(g.long_) THEN {_RULES.generalised} ELSE {max(_RULES.generalised, _RULES.short)} END),
 r AS (SELECT whole, min(kept_in) AS kept_in FROM (SELECT whole, first_doc AS kept_in FROM u WHERE docs >= CASE WHEN long_ THEN {_RULES.whole} ELSE {max(_RULES.whole, _RULES.short)} END UNION ALL SELECT whole, kept_in FROM g JOIN c USING (template)) GROUP BY whole),
 h AS (SELECT DISTINCT doc_id, line, kept_in FROM y JOIN r USING (whole) WHERE doc_id > kept_in),
