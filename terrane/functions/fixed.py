@@ -63,6 +63,8 @@ ROLE_MAILBOXES = tuple(
 )
 
 FILE_ENDINGS = tuple("png jpg jpeg gif webp svg bmp ico tif tiff avif css js mjs map json xml pdf mp4 mp3 webm woff woff2 ttf".split(" "))
+#: Top-level names that are reserved for ever (RFC 2606).
+RESERVED_ENDINGS = ("example", "invalid", "localhost", "test")
 PLACEHOLDER_DOMAIN = r"(^|\.)(example|domain|yourdomain|yoursite|yourcompany|mydomain|mysite|website|test|sample|company)\.[a-z.]+$"
 TECH_DOMAINS = tuple(
     (

@@ -306,3 +306,10 @@ def test_staged_rows_are_merged(spark):
     again = datasets.merge_staged(merged.places.drop("__inserted"), merged.emails, staged, rules, sup)
     strip = lambda df: sorted(map(str, df.drop("__inserted").collect()))
     assert strip(again.places) == strip(merged.places) and strip(again.emails) == strip(merged.emails)
+
+
+def test_site_emails_titles_and_cut_addresses(spark):
+    page = "<head><title>Visit a.b@mail7.example.com</title><style>p{}</style></head><body>for all <h1>Write a.b@mail7.example.</h1><p>real@shop.cy.</p></body>"
+    pages = spark.createDataFrame([("x.cy", 0, "u", page + "<p>a.b@mail7.example.com</p>"), ("y.cy", 0, "u", "<title>only@shop.cy</title><body></body>")], "site string, page_order int, url string, html string")
+    got = {(r["site"], r["email"]) for r in webpages.emails_of_pages(pages).collect()}
+    assert got == {("x.cy", "a.b@mail7.example.com"), ("x.cy", "real@shop.cy"), ("y.cy", "only@shop.cy")}
