@@ -53,14 +53,14 @@ def location_tree(country: DataFrame, admin1: DataFrame, admin2: DataFrame | Non
 AREA_CELL = 0.25
 
 
-def _inside(cities: DataFrame, big: DataFrame) -> DataFrame:
-    """``(area, place, first)``: places inside the box of a bigger city of their country; ``first`` orders the cities."""
+def _inside(spots: DataFrame, big: DataFrame) -> DataFrame:
+    """``(area, spot, first)``: spots inside the box of a big city of their country; ``first`` orders the cities."""
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / AREA_CELL), F.floor(F.col(high) / AREA_CELL)))
     boxes = big.select(F.col("country_code").alias("bc"), F.col("id").alias("area"), F.col("rank").alias("first"), "south", "west", "north", "east")
     boxes = boxes.withColumn("by", cells("south", "north")).withColumn("bx", cells("west", "east"))
-    points = cities.select("country_code", F.col("id").alias("place"), F.col("rank").alias("own"), "lat", "lng", F.floor(F.col("lat") / AREA_CELL).alias("cy"), F.floor(F.col("lng") / AREA_CELL).alias("cx"))
-    met = points.join(boxes, F.col("country_code").eqNullSafe(F.col("bc")) & (F.col("cy") == F.col("by")) & (F.col("cx") == F.col("bx")) & (F.col("first") < F.col("own")))
-    return met.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))).select("area", "place", "first")
+    points = spots.select("country_code", "spot", "lat", "lng", F.floor(F.col("lat") / AREA_CELL).alias("cy"), F.floor(F.col("lng") / AREA_CELL).alias("cx"))
+    met = points.join(boxes, F.col("country_code").eqNullSafe(F.col("bc")) & (F.col("cy") == F.col("by")) & (F.col("cx") == F.col("bx")))
+    return met.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east"))).select("area", "spot", "first")
 
 
 def plan_search_areas(cities: DataFrame, min_population: int = 5000, include_rural: bool = True) -> DataFrame:
@@ -70,14 +70,22 @@ def plan_search_areas(cities: DataFrame, min_population: int = 5000, include_rur
     every other place belongs to the first area whose box it lies in, or to the rural area of its
     district. Which cities are areas is found in rounds over the pairs of a grid join: a city that no undecided
     one before it contains is an area, and those in its box are not. There are as many rounds as
-    boxes in a row that contain each other's cities, a few. ``cities``: ``(country_code, id, name, lat,
+    boxes in a row that contain each other's cities, a few. Cities at one spot lie in the same boxes, so boxes meet
+    spots instead of cities, and where the first big city of a spot holds the spot in its box, none after it can be
+    an area. ``cities``: ``(country_code, id, name, lat,
     lng, population, parent_id, parent_name, south, west, north, east)``.
     """
     ranked = checkpointed(cities.withColumn("p", F.coalesce("population", F.lit(0))).withColumn("rank", F.struct((-F.col("p")).alias("p"), F.col("id").alias("id"))))
-    big = ranked.where(F.col("p") >= min_population)
-    pairs = checkpointed(_inside(ranked, big))
+    ranked = ranked.withColumn("spot", F.struct("country_code", "lat", "lng"))
+    spots = ranked.groupBy("spot").agg(F.min(F.when(F.col("p") >= min_population, F.struct("rank", "south", "west", "north", "east"))).alias("b"))
+    holds = F.coalesce(F.col("spot.lat").between(F.col("b.south"), F.col("b.north")) & F.col("spot.lng").between(F.col("b.west"), F.col("b.east")), F.lit(False))
+    spots = checkpointed(spots.select("spot", "spot.*", F.when(holds, F.col("b.rank")).alias("leader")))
+    led = spots.where("leader IS NOT NULL").select(F.col("spot").alias("s"), "leader")
+    big = checkpointed(ranked.where(F.col("p") >= min_population).join(led, F.col("spot") == F.col("s"), "left").where("leader IS NULL OR leader = rank").drop("s", "leader"))
+    pairs = checkpointed(_inside(spots, big))
     waiting = big.select("id")
-    among = pairs.join(waiting.select(F.col("id").alias("k")), F.col("place") == F.col("k"), "left_semi").select("area", "place")
+    own = big.select(F.col("id").alias("place"), F.col("rank").alias("own"), F.col("spot").alias("s"))
+    among = checkpointed(pairs.join(own, (F.col("spot") == F.col("s")) & (F.col("first") < F.col("own"))).select("area", "place"))
     areas = None
     while not waiting.isEmpty():
         open_areas = among.join(waiting, F.col("area") == F.col("id"), "left_semi")
@@ -86,8 +94,9 @@ def plan_search_areas(cities: DataFrame, min_population: int = 5000, include_rur
         waiting = checkpointed(waiting.join(taken, "id", "left_anti").join(lost, "id", "left_anti"))
         areas = taken if areas is None else checkpointed(areas.union(taken))
     areas = big.select("id").limit(0) if areas is None else areas
-    home = pairs.join(areas, F.col("area") == F.col("id"), "left_semi").groupBy("place").agg(F.min_by("area", "first").alias("home"))
-    rest = ranked.join(areas.select(F.col("id").alias("a")), F.col("id") == F.col("a"), "left_anti").join(home, F.col("id") == F.col("place"), "left")
+    home = pairs.join(areas, F.col("area") == F.col("id"), "left_semi").groupBy(F.col("spot").alias("s")).agg(F.min(F.struct("first", "area")).alias("h"))
+    rest = ranked.join(areas.select(F.col("id").alias("a")), F.col("id") == F.col("a"), "left_anti").join(home, F.col("spot") == F.col("s"), "left")
+    rest = rest.withColumn("home", F.when(F.col("h.first") < F.col("rank"), F.col("h.area"))).drop("s", "h")
     ids = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["id"])
     inner = rest.where("home IS NOT NULL").groupBy("home").agg(ids(F.col("rank")).alias("more"), ids(F.when(F.col("p") >= min_population, F.col("rank"))).alias("absorbed"))
     own = ranked.join(areas.select(F.col("id").alias("a")), F.col("id") == F.col("a"), "left_semi").join(inner, F.col("id") == F.col("home"), "left")

@@ -200,7 +200,7 @@ def search_areas(spark, d):
     """The largest city of each place on a lattice has an area, smaller ones there are absorbed."""
     k = F.col("c_custkey")
     lat, lng = (k % 11).cast("double"), (k % 7).cast("double")
-    cities = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("country_code"), k.alias("id"), F.lit("x").alias("name"), lat.alias("lat"), lng.alias("lng"), F.round("c_acctbal").cast("long").alias("population"), F.lit(1).cast("long").alias("parent_id"), F.lit("p").alias("parent_name"), (lat - 0.1).alias("south"), (lng - 0.1).alias("west"), (lat + 0.1).alias("north"), (lng + 0.1).alias("east"))
+    cities = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("country_code"), k.alias("id"), F.lit("x").alias("name"), lat.alias("lat"), lng.alias("lng"), F.rint("c_acctbal").cast("long").alias("population"), F.lit(1).cast("long").alias("parent_id"), F.lit("p").alias("parent_name"), (lat - 0.1).alias("south"), (lng - 0.1).alias("west"), (lat + 0.1).alias("north"), (lng + 0.1).alias("east"))
     return places.plan_search_areas(cities, include_rural=False).select("country_code", "key")
 
 

@@ -304,3 +304,36 @@ def test_search_areas_by_plain_rules(spark):
     got = {(r["country_code"], r["key"]): r["covered"] for r in plan_search_areas(spark.createDataFrame(rows, shape)).collect()}
     assert got == want
     assert plan_search_areas(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_search_areas_of_cities_at_one_spot(spark):
+    import random
+
+    from terrane.operators.places import plan_search_areas
+
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        lat, lng, reach = rng.randrange(4) * 0.3, rng.randrange(3) * 0.3, rng.choice([-0.1, 0.1, 0.35])
+        rows.append((rng.choice(["CY", None]), k, lat, lng, rng.choice([100, 4999, 5000, 8000, 20000]), lat - reach, lng - reach, lat + reach, lng + reach))
+    shape = "country_code string, id long, lat double, lng double, population long, south double, west double, north double, east double"
+    cities = spark.createDataFrame(rows, shape).selectExpr("*", "'n' AS name", "1L AS parent_id", "'d' AS parent_name")
+    want = {}
+    for country in ("CY", None):
+        areas = []
+        for c in sorted((r for r in rows if r[0] == country), key=lambda r: (-r[4], r[1])):
+            home = next((a for a, _ in areas if a[5] <= c[2] <= a[7] and a[6] <= c[3] <= a[8]), None)
+            if home:
+                want[country, f"city:{home[1]}"].append(c[1])
+            elif c[4] >= 5000:
+                areas.append((c, 0))
+                want[country, f"city:{c[1]}"] = [c[1]]
+    got = {(r["country_code"], r["key"]): r["covered"] for r in plan_search_areas(cities, include_rural=False).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_search_areas_round_halves_like_sql(spark, tmp_path):
+    from terrane.plans import catalog
+
+    rows = [(77, "x", 1, 9998.5, "B"), (0, "x", 1, 9998.0, "B"), (1, "x", 1, 4999.5, "B"), (2, "x", 1, 4999.4, "B")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    assert {r["key"] for r in catalog.queries()["search_areas"](spark, str(tmp_path)).collect()} == {"city:0", "city:1"}
