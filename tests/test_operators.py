@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import random
 import struct
 
@@ -313,3 +315,22 @@ def test_site_emails_titles_and_cut_addresses(spark):
     pages = spark.createDataFrame([("x.cy", 0, "u", page + "<p>a.b@mail7.example.com</p>"), ("y.cy", 0, "u", "<title>only@shop.cy</title><body></body>")], "site string, page_order int, url string, html string")
     got = {(r["site"], r["email"]) for r in webpages.emails_of_pages(pages).collect()}
     assert got == {("x.cy", "a.b@mail7.example.com"), ("x.cy", "real@shop.cy"), ("y.cy", "only@shop.cy")}
+
+
+def test_crowded_boxes(spark, monkeypatch):
+    rng = random.Random(4)
+    spot = lambda: (round(rng.random() * 0.03, 4), round(rng.random() * 0.03, 4))
+    points = [(k, *spot()) for k in range(300)]
+    boxes = [(k, "b", rng.choice([None, 1, 5]), y - h, x - h, y + h, x + h) for k, (y, x), h in ((k, spot(), rng.choice([0.001, 0.008])) for k in range(400))]
+    boxes += [(k + 1000, *b[1:]) for k, b in enumerate(boxes[:100])]
+    shape = "box_id long, name string, population int, south double, west double, north double, east double"
+    placed = spark.createDataFrame(points, "point_id long, lat double, lng double")
+    want = {}
+    for k, y, x in points:
+        if inside := [b for b in boxes if b[3] <= y <= b[5] and b[4] <= x <= b[6]]:
+            want[k] = max(inside, key=lambda b: (b[2] or 0, -b[0]))[0]
+    met = []
+    kept = joins._best_on_cells
+    monkeypatch.setattr(joins, "_best_on_cells", lambda b, size: met.append(kept(b, size)) or met[-1])
+    assert {r["point_id"]: r["box_id"] for r in joins.largest_box(placed, spark.createDataFrame(boxes, shape), 0.005).collect()} == want
+    assert met[-1].groupBy("cy", "cx").count().agg({"count": "max"}).first()[0] < 40  # of 500 boxes
