@@ -334,3 +334,21 @@ def test_crowded_boxes(spark, monkeypatch):
     monkeypatch.setattr(joins, "_best_on_cells", lambda b, size: met.append(kept(b, size)) or met[-1])
     assert {r["point_id"]: r["box_id"] for r in joins.largest_box(placed, spark.createDataFrame(boxes, shape), 0.005).collect()} == want
     assert met[-1].groupBy("cy", "cx").count().agg({"count": "max"}).first()[0] < 40  # of 500 boxes
+
+
+def test_crowded_centers(spark, monkeypatch):
+    rng = random.Random(4)
+    spot = lambda: (round(rng.random() * 0.03, 4), round(rng.random() * 0.03, 4))
+    points = [(k, *spot()) for k in range(300)]
+    centers = [(k, "c", *spot()) for k in range(300)] + [(900, "c", 0.5, 0.5)]
+    centers += [(k + 1000, *c[1:]) for k, c in enumerate(centers[:100])]
+    points += [(500, 0.503, 0.5), (501, 0.9, 0.9)]
+    placed = spark.createDataFrame(points, "point_id long, lat double, lng double")
+    reach = []
+    within = joins._nearest_within
+    monkeypatch.setattr(joins, "_nearest_within", lambda p, c, km, m: reach.append((km, p.count())) or within(p, c, km, m))
+    got = {r["point_id"]: r["center_id"] for r in joins.nearest(placed, spark.createDataFrame(centers, "center_id long, name string, c_lat double, c_lng double"), 0.5).collect()}
+    km = lambda p, c: 6371 * math.hypot(math.radians(p[1] - c[2]), math.radians(p[2] - c[3]) * math.cos(math.radians(p[1])))
+    want = {p[0]: min((round(km(p, c), 9), c[0]) for c in centers) for p in points}
+    assert set(got) == {k for k, (d, _) in want.items() if d <= 0.5} and all(abs(km(p, next(c for c in centers if c[0] == got[p[0]])) - want[p[0]][0]) < 1e-6 and got[p[0]] < 1000 for p in points if p[0] in got)
+    assert len(reach) > 1 and reach[-1][1] < 300  # most points are done before the whole distance
