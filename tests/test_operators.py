@@ -352,3 +352,15 @@ def test_crowded_centers(spark, monkeypatch):
     want = {p[0]: min((round(km(p, c), 9), c[0]) for c in centers) for p in points}
     assert set(got) == {k for k, (d, _) in want.items() if d <= 0.5} and all(abs(km(p, next(c for c in centers if c[0] == got[p[0]])) - want[p[0]][0]) < 1e-6 and got[p[0]] < 1000 for p in points if p[0] in got)
     assert len(reach) > 1 and reach[-1][1] < 300  # most points are done before the whole distance
+
+
+def test_pairs_of_crowded_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["golden lion", "golden lions", "x", "other"]), 35 + rng.random() * 0.004, 33 + rng.random() * 0.004) for k in range(300)]
+    places = spark.createDataFrame(rows, "id long, name_c string, lat double, lng double")
+    want = {tuple(r) for r in dedupe.name_pairs(places, dedupe.DedupeRules(), exact=True).select("id_a", "id_b", F.round("metres", 6)).collect()}
+    monkeypatch.setattr(dedupe, "CELL_PLACES", 7)
+    dealt = dedupe.name_pairs(places, dedupe.DedupeRules(), exact=True)
+    assert {tuple(r) for r in dealt.select("id_a", "id_b", F.round("metres", 6)).collect()} == want
+    names = {r[0]: r[1] for r in rows}
+    assert {(names[a], names[b]) for a, b, _ in want} >= {("x", "x"), ("golden lion", "golden lions")} and all(names[a][:2] == names[b][:2] and m <= 200 for a, b, m in want)
