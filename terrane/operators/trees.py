@@ -19,6 +19,10 @@ SELECT id, type, way, turns FROM walk
 """
 
 
+#: Lowest levels of a tree that are joined to the others instead of walked.
+JOINED_LEVELS = 2
+
+
 def walk(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
     """``(id, type, way, turns)`` of every node below the roots, the roots included, in one recursive plan.
 
@@ -36,13 +40,26 @@ def walk(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame
 def leaves_below(nodes: DataFrame, roots: DataFrame, leaf_type: str = "CITY", fail_on_cycle: bool = True, max_depth: int = 1000) -> DataFrame:
     """``(id)`` of the nodes of a type below the roots, each once.
 
-    A cycle is an error that names its way, or is cut at the node that comes again.
+    A cycle is an error that names its way, or is cut at the node that comes again. Most nodes of a tree are on its
+    lowest levels: nodes without children, and those whose children have none, are no part of the recursion and are
+    joined to what it reached. Nodes of a cycle always have children.
     """
-    found = walk(nodes, roots, max_depth)
+    roots = roots.select(F.col("id").alias("root")).distinct()
+    levels = [nodes.select("id", "parent_id", "type")]
+    for _ in range(JOINED_LEVELS):
+        parents = levels[-1].where("parent_id IS NOT NULL").select(F.col("parent_id").alias("p")).distinct()
+        levels.append(checkpointed(levels[-1].join(parents, F.col("id") == F.col("p"), "left_semi")))
+    found = walk(levels.pop(), roots.select(F.col("root").alias("id")), max_depth)
     if fail_on_cycle:
         error = F.raise_error(F.concat(F.lit("the tree has a cycle: "), F.array_join("way", " > "))).cast("boolean")
         found = found.where(F.when(F.col("turns"), error).otherwise(F.lit(True)))
-    return found.where((F.col("type") == leaf_type) & ~F.col("turns")).select("id").distinct()
+    found = found.where(~F.col("turns")).select("id").distinct()
+    for level in reversed(levels):
+        up = checkpointed(found).select(F.col("id").alias("up"))
+        level = level if level is not levels[0] else level.where(F.col("type") == leaf_type)
+        below, own = level.join(up, F.col("parent_id") == F.col("up"), "left_semi"), level.join(roots, F.col("id") == F.col("root"), "left_semi")
+        found = below.select("id").union(own.select("id")).distinct()
+    return found
 
 
 def upsert_tree(snapshot: DataFrame, drafts: DataFrame) -> DataFrame:

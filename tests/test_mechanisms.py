@@ -337,3 +337,14 @@ def test_search_areas_round_halves_like_sql(spark, tmp_path):
     rows = [(77, "x", 1, 9998.5, "B"), (0, "x", 1, 9998.0, "B"), (1, "x", 1, 4999.5, "B"), (2, "x", 1, 4999.4, "B")]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
     assert {r["key"] for r in catalog.queries()["search_areas"](spark, str(tmp_path)).collect()} == {"city:0", "city:1"}
+
+
+def test_lowest_levels_are_not_walked(spark, monkeypatch):
+    walked = []
+    walk = trees.walk
+    monkeypatch.setattr(trees, "walk", lambda nodes, roots, depth: walked.append({r["id"] for r in nodes.collect()}) or walk(nodes, roots, depth))
+    rows = [(1, None, "A"), (2, 1, "A"), (3, 2, "CITY"), (4, 3, "CITY"), (5, 2, "CITY"), (6, 6, "CITY"), (7, 6, "CITY"), (8, 9, "CITY"), (9, None, "CITY"), (10, None, "CITY")]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, type string")
+    below = lambda *x: sorted(r["id"] for r in trees.leaves_below(nodes, spark.createDataFrame([(k,) for k in x], "id long"), fail_on_cycle=False).collect())
+    assert below(1) == [3, 4, 5] and below(3, 10) == [3, 4, 10] and below(6, 77) == [6, 7] and below(8) == [8] and below(9) == [8, 9]
+    assert walked[0] == {1, 2, 6}
