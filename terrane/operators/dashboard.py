@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.fixed import CLOSED_PLACES
 from terrane.operators.joins import ranked, small
 from terrane.operators.services import with_site
+from terrane.session import checkpointed
 
 
 def _with_email(places: DataFrame, emails: DataFrame) -> DataFrame:
@@ -135,6 +136,18 @@ def _nested(rows: DataFrame, key: str, order: list[Column], fields: list[str], n
     return rows.groupBy(F.col(key).alias(f"{name}_of")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
 
 
+def _newest(events: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """The events of each wanted place ``w`` from the month on that completes its newest ``most``; those without a time are the newest of all.
+
+    Months are counted in the map tasks, so a place with very many events is sorted only from that month on.
+    """
+    month = F.when(F.col("at").isNotNull(), F.year("at") * 12 + F.month("at")).otherwise(F.lit(2**31 - 1))
+    counts = events.groupBy("place_id", month.alias("month")).count().join(wanted, F.col("place_id") == F.col("w"), "left_semi")
+    newer = F.coalesce(F.sum("count").over(Window.partitionBy("place_id").orderBy(F.col("month").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = checkpointed(counts.withColumn("newer", newer).where(F.col("newer") < most).groupBy(F.col("place_id").alias("of")).agg(F.min("month").alias("first")))
+    return events.join(small(first), F.col("place_id") == F.col("of")).where(month >= F.col("first")).drop("of", "first")
+
+
 def lead_details(leads: DataFrame, emails: DataFrame, subcategories: DataFrame, sources: DataFrame, audit: DataFrame, exports: DataFrame, shop_checks: DataFrame, most_history: int = 50) -> DataFrame:
     """Chosen leads with all that is known of them, nested (P10).
 
@@ -153,8 +166,8 @@ def lead_details(leads: DataFrame, emails: DataFrame, subcategories: DataFrame,
     newest = lambda c: F.struct(F.col(c).isNotNull(), -F.unix_micros(F.col(c).cast("timestamp")))
     r = _nested(of(sources).withColumn("source", F.lower("source")), "place_id", [newest("fetched_at"), F.col("source"), F.col("record_id")], ["source", "record_id", "fetched_at"], "sources")
     made = F.to_json(F.struct(F.col("batch_id").alias("batchId"), "file", "undone"))
-    events = of(audit).select("place_id", "at", "action", "details").union(of(exports).select("place_id", "at", F.lit("export.create"), made))
-    events = ranked(events, ["place_id"], [F.col("at").desc_nulls_first(), F.col("action"), F.col("details")], "n").where(F.col("n") <= most_history)
+    events = audit.select("place_id", "at", "action", "details").union(exports.select("place_id", "at", F.lit("export.create"), made))
+    events = ranked(_newest(events, wanted, most_history), ["place_id"], [F.col("at").desc_nulls_first(), F.col("action"), F.col("details")], "n").where(F.col("n") <= most_history)
     h = _nested(events, "place_id", [F.col("n")], ["at", "action", "details"], "history")
     c = shop_checks.where("status <> 'RUNNING'").select(F.col("domain").alias("shop_of"), F.struct("sells_online", "signals", "checked_at").alias("shop_check"))
     out = leads.join(c, F.col("website_domain") == F.col("shop_of"), "left").drop("shop_of")

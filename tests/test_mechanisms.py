@@ -348,3 +348,12 @@ def test_lowest_levels_are_not_walked(spark, monkeypatch):
     below = lambda *x: sorted(r["id"] for r in trees.leaves_below(nodes, spark.createDataFrame([(k,) for k in x], "id long"), fail_on_cycle=False).collect())
     assert below(1) == [3, 4, 5] and below(3, 10) == [3, 4, 10] and below(6, 77) == [6, 7] and below(8) == [8] and below(9) == [8, 9]
     assert walked[0] == {1, 2, 6}
+
+
+def test_newest_events_by_month(spark):
+    from terrane.operators import dashboard
+
+    rows = [(1, f"2024-{m:02d}-{d:02d}") for m in (1, 2, 3) for d in range(1, 11)] + [(1, None), (2, "2020-01-01"), (3, "2024-01-01")]
+    events = spark.createDataFrame(rows, "place_id long, at string").selectExpr("place_id", "CAST(at AS timestamp) AS at")
+    got = [(r["place_id"], str(r["at"])[:7]) for r in dashboard._newest(events, spark.createDataFrame([(1,), (2,)], "w long"), 12).collect()]
+    assert sorted(got) == sorted([(1, "None")] + [(1, "2024-03")] * 10 + [(1, "2024-02")] * 10 + [(2, "2020-01")])
