@@ -35,8 +35,6 @@ DEPTH = ((12, 3), (4, 2), (0, 1))
 #: Bits of the table that tells which lines' tokens are needed.
 BITS = 1 << 27
 LEAVES = tuple(f"leaf{i}" for i in range(4))
-#: A word with a digit, matched from its beginning.
-VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 @dataclass(frozen=True)
@@ -51,7 +49,8 @@ class Rules:
 
 def tokens(line: Column) -> Column:
     """The tokens of a line, those with digits as ``<*>``."""
-    return bind(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line), words_of)
+    digit = lambda x: x.rlike("[0-9]")
+    return F.when(digit(line), F.transform(words_of(line), lambda w: F.when(digit(w), "<*>").otherwise(w))).otherwise(words_of(line))
 
 
 def by_size(n: Column, steps: tuple[tuple[int, int], ...]) -> Column:
@@ -106,6 +105,23 @@ def distinct_lines(keys: DataFrame) -> DataFrame:
     return by_doc.groupBy("whole", *LEAVES, "long").agg(F.count("*").alias("n_docs"), first).withColumn("first_doc", F.col("first.doc"))
 
 
+def words_at(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(w, words)``: hashes of the tokens of the lines at the places ``first`` of ``members``, by the hash of the whole line.
+
+    A table of bits, at most BITS / 64 rows, says in the map tasks which places are asked for (and a few
+    others), so that no text is moved to find them.
+    """
+    bit = lambda doc, line: F.pmod(F.xxhash64(doc, line), F.lit(BITS))
+    at = bit(F.col("first.doc"), F.col("first.line"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))
+    asked = members.select(at.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("cell")).agg(F.bit_or(one).alias("bits"))
+    every = docs.select(named(id_col).cast("long").alias("doc"), F.posexplode(_lines(text_of(named(text_col)))).alias("line", "text")).withColumn("b", bit(F.col("doc"), F.col("line")))
+    hit = every.join(F.broadcast(asked), F.floor(F.col("b") / 64) == F.col("cell")).where(F.call_function("shiftright", F.col("bits"), (F.col("b") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    # The hash of a line is never null, and must not look so: a join on it would ask every line for its tokens, to tell.
+    each = hit.select(tokens(F.col("text")).alias("t")).select(F.xxhash64(F.size("t"), "t").alias("w"), F.transform("t", lambda y: F.xxhash64(y)).alias("words"))
+    return each.groupBy("w").agg(F.first("words").alias("words"))
+
+
 def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str, text_col: str) -> DataFrame:
     """``(whole, template, long)``: the generalised templates of the lines in leaves of several lines.
 
@@ -118,16 +134,8 @@ def generalise(docs: DataFrame, distinct: DataFrame, rules: Rules, id_col: str,
     inside = paths.join(mixed.select(F.col("leaf").alias("m"), "lines"), F.col("leaf") == F.col("m"))
     largest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("lines")).alias("lines"), "i", "leaf"))), 1, 2)
     members = checkpointed(inside.groupBy("whole", "long", "first").agg(F.transform(largest, lambda x: x["leaf"]).alias("leaves")))
-    # The tokens come from the first place of each line. A table of bits, at most BITS / 64 rows, says in the
-    # map tasks which places are asked for (and a few others), so that no text is moved to find them.
-    bit = lambda doc, line: F.pmod(F.xxhash64(doc, line), F.lit(BITS))
-    at = bit(F.col("first.doc"), F.col("first.line"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))
-    asked = members.select(at.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("cell")).agg(F.bit_or(one).alias("bits"))
-    every = docs.select(named(id_col).cast("long").alias("doc"), F.posexplode(_lines(text_of(named(text_col)))).alias("line", "text")).withColumn("b", bit(F.col("doc"), F.col("line")))
-    hit = every.join(F.broadcast(asked), F.floor(F.col("b") / 64) == F.col("cell")).where(F.call_function("shiftright", F.col("bits"), (F.col("b") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    hashed = bind(tokens(F.col("text")), lambda t: F.struct(F.xxhash64(F.size(t), t).alias("w"), F.transform(t, lambda y: F.xxhash64(y)).alias("words")))
-    words = hit.select(hashed.alias("x")).select("x.*").groupBy("w").agg(F.first("words").alias("words"))
+    # The tokens come from the first place of each line.
+    words = words_at(docs, members, id_col, text_col)
     placed = checkpointed(members.join(words, F.col("whole") == F.col("w")).select("whole", "long", F.explode("leaves").alias("leaf"), "words"))
     # A token in its place of a leaf is one number, which is all that is dealt out.
     spread = placed.select("leaf", "whole", F.posexplode("words").alias("place", "token")).select("leaf", "whole", F.xxhash64("leaf", "place", "token").alias("mark"))

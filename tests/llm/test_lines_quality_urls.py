@@ -238,3 +238,16 @@ def test_unlike_lines_of_a_leaf_stay(spark):
     words = ["".join(rng.choices("bcdfghklmnprstvz", k=6)) for _ in range(400)]
     rows = [(k, " ".join(head + rng.sample(words, 15))) for k in range(200)]  # a quarter of the tokens in common
     assert {r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {t for _, t in rows}
+
+
+def test_only_lines_that_are_asked_for_are_cut_into_tokens(spark, tmp_path):
+    docs = spark.createDataFrame([(1, f"first of all\n{FIXED}"), (2, "n1  a\x0b2b\r 3 Ünder\tx٣ "), (3, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    members = spark.createDataFrame([((2, 0),), ((1, 1),)], "first struct<doc:long,line:int>").withColumn("whole", F.lit(1).cast("long"))
+    words = lines.words_at(docs, members, "doc_id", "text")
+    assert [len(r["words"]) for r in words.orderBy(F.size("words")).collect()] == [6, 11]
+    plan = members.join(words, F.col("whole") == F.col("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "split(trim" in x]
+    got = docs.where("doc_id = 2").select(lines.tokens(F.col("text")).alias("t")).first()["t"]
+    assert got == ["<*>", "a", "<*>", "<*>", "Ünder", "x٣"]
