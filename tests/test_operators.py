@@ -364,3 +364,16 @@ def test_pairs_of_crowded_cells(spark, monkeypatch):
     assert {tuple(r) for r in dealt.select("id_a", "id_b", F.round("metres", 6)).collect()} == want
     names = {r[0]: r[1] for r in rows}
     assert {(names[a], names[b]) for a, b, _ in want} >= {("x", "x"), ("golden lion", "golden lions")} and all(names[a][:2] == names[b][:2] and m <= 200 for a, b, m in want)
+
+
+def test_addresses_of_one_file_are_dealt_out_and_read_once(spark):
+    from terrane.functions import fixed
+    from terrane.operators import datasets
+
+    lists = [(1, "b.cy", [" A@B.cy", None, "a@b.cy?x", "noreply@b.cy", "x"]), (1, "b.cy", ["z@b.cy", "a@b.cy"]), (2, None, []), (3, None, None), (None, None, ["a@gmail.com"])]
+    rows = spark.createDataFrame(lists, "id long, website_domain string, emails array<string>").coalesce(1)
+    done = datasets.prepare_emails(rows)
+    got = sorted((r["id"] or 0, r["email"], r["original"], r["is_own_domain"], r["pos"]) for r in done.collect())
+    assert got == [(0, "a@gmail.com", "a@gmail.com", False, 0), (1, "a@b.cy", "A@B.cy", True, 0), (1, "z@b.cy", "z@b.cy", True, 0)]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(fixed.EMAIL_PATTERN) == 1 and "Repartition" in plan
