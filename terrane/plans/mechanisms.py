@@ -181,10 +181,9 @@ g AS (SELECT user_id, t, lag(t) OVER w AS before, lead(t) OVER w AS after FROM e
 SELECT 'w' || user_id AS task_id, 'RUNNING' AS status, t AS at_ms FROM g WHERE before IS NULL OR t - before >= {_STALE * 1000}
 UNION ALL SELECT 'w' || user_id, 'EXPIRED', t + {_STALE * 1000} FROM g, top WHERE after - t >= {_STALE * 1000} OR (after IS NULL AND t + {_STALE * 1000} < seen)""")
 def worker_stream(spark, d):
-    """Q-9 Q-3: workers that appear and fall silent, as keyed state with timers over a stream of beats."""
+    """Q-9 Q-3: workers that appear and fall silent, as state over a stream of beats."""
     kind = table(spark, d, "events").schema
     beats = spark.readStream.schema(kind).parquet(f"{d}/events.parque[t]").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker"), F.col("ts").cast("timestamp").alias("at"))
     out, marks = _scratch(spark, "workers"), _scratch(spark, "marks")
-    changes = state.worker_changes(beats, _STALE)
-    changes.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(state.LEASE_OUT).parquet(out).select("task_id", "status", F.unix_millis("at").alias("at_ms"))
+    state.follow_workers(beats, out, marks, _STALE).awaitTermination()
+    return state.worker_log(spark, out).select("task_id", "status", F.unix_millis("at").alias("at_ms"))

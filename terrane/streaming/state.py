@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 #: Seconds without a beat after which a worker counts as stopped.
 STALE_SECONDS = 100
 LEASE_STATE = StructType([StructField("started_ms", LongType()), StructField("ends_ms", LongType())])
 LEASE_OUT = StructType([StructField("task_id", StringType()), StructField("status", StringType()), StructField("at", TimestampType())])
+#: Changes, and with ``open`` the last beat of each lease that still runs.
+TURNS = StructType([*LEASE_OUT.fields, StructField("open", BooleanType())])
 STREAK_STATE = StructType([StructField("ok_ms", LongType()), StructField("error_ms", LongType()), StructField("errors", LongType()), StructField("late", StringType())])
 STREAK_OUT = StructType([StructField("name", StringType()), StructField("ok_at", TimestampType()), StructField("error_at", TimestampType()), StructField("errors", LongType())])
 
@@ -136,6 +140,48 @@ def worker_changes(beats: DataFrame, stale_seconds: int = STALE_SECONDS, late: s
     return lease_changes(claims, stale_seconds, late)
 
 
+def beat_turns(beats: DataFrame, held: DataFrame, stale_seconds: int) -> DataFrame:
+    """Changes by the beats of one batch and the leases that ``held`` left open, and the leases that are open then (``TURNS``).
+
+    A lease is as long as each beat follows the last one in time; it has run out once a later time than its end was seen.
+    The last beat seen is always part of an open lease, so ``held`` tells how far the stream was; older beats are late and do not count.
+    """
+    ms, stale = F.unix_millis("at"), stale_seconds * 1000
+    known = held.select("task_id", ms.alias("t"), F.lit(True).alias("known"))
+    new = beats.where("at IS NOT NULL").select(F.col("worker").alias("task_id"), ms.alias("t"), F.lit(False).alias("known"))
+    until = F.broadcast(held.agg(F.max(ms).alias("until")))
+    rows = known.unionByName(new.join(until, F.col("until").isNull() | (F.col("t") >= F.col("until"))).drop("until"))
+    seen = F.broadcast(rows.agg(F.max("t").alias("seen")))
+    order = Window.partitionBy("task_id").orderBy("t", F.desc("known"))
+    near = rows.withColumns({"before": F.lag("t").over(order), "after": F.lead("t").over(order)}).crossJoin(seen)
+    starts = ~F.col("known") & (F.col("before").isNull() | (F.col("t") - F.col("before") >= stale))
+    ends = F.coalesce(F.col("after") - F.col("t") >= stale, F.col("t") + stale < F.col("seen"))
+    turn = lambda test, status, at, running: F.when(test, F.struct(F.lit(status).alias("status"), F.timestamp_millis(at).alias("at"), F.lit(running).alias("open")))
+    turns = F.array(turn(starts, "RUNNING", F.col("t"), False), turn(ends, "EXPIRED", F.col("t") + stale, False), turn(F.col("after").isNull() & ~ends, "RUNNING", F.col("t"), True))
+    return near.select("task_id", F.inline(F.array_compact(turns)))
+
+
+def follow_workers(beats: DataFrame, out: str, marks: str, stale_seconds: int = STALE_SECONDS) -> StreamingQuery:
+    """Writes what ``worker_changes`` gives to a folder, batch by batch, for very many workers (Q-9); ``worker_log`` reads it.
+
+    The state are the open leases, a table beside each batch's changes: a batch is one sort by worker, without a call
+    to Python or a timer for each of them. A batch that is run again overwrites its own folder.
+    """
+    beats.sparkSession.createDataFrame([], TURNS).write.mode("ignore").partitionBy("open").parquet(out)
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        held = spark.read.schema(TURNS).parquet(f"{out}/batch={n - 1}").where("open") if n else spark.createDataFrame([], TURNS)
+        beat_turns(batch, held, stale_seconds).write.mode("overwrite").partitionBy("open").parquet(f"{out}/batch={n}")
+
+    return beats.writeStream.foreachBatch(step).option("checkpointLocation", marks).trigger(availableNow=True).start()
+
+
+def worker_log(spark: SparkSession, out: str) -> DataFrame:
+    """``(task_id, status, at)`` of the batches written so far."""
+    return spark.read.schema(TURNS).parquet(out).where("NOT open").select(LEASE_OUT.names)
+
+
 def streak_changes(log: DataFrame) -> DataFrame:
     """``(name, ok_at, error_at, errors)`` of each loop after each batch that has rows of it (Q-10)."""
     _stateful(log.sparkSession)

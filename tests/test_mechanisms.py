@@ -255,6 +255,35 @@ def test_leases_over_a_stream_and_its_restart(spark, tmp_path):
     ])
 
 
+def test_workers_over_a_stream_and_its_restart(spark, tmp_path):
+    source, out, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    shape = "worker string, at timestamp"
+    batches = [
+        [("a", at(0)), ("b", at(0)), ("a", at(9)), ("a", at(9)), ("c", at(1)), ("d", None)],
+        [("a", at(18)), ("z", at(19)), ("z", at(29))],
+        [],
+        [("b", at(30)), ("b", at(2)), ("y", at(3)), ("a", at(40))],  # two of them late
+        [("z", at(60))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+        state.follow_workers(spark.readStream.schema(shape).parquet(source), out, marks, 600).awaitTermination(120)  # each time from the checkpoint
+        once = sorted(map(str, state.worker_log(spark, out).collect()))
+    state.follow_workers(spark.readStream.schema(shape).parquet(source), out, marks, 600).awaitTermination(120)  # nothing new: nothing again
+    got = state.worker_log(spark, out).collect()
+    assert once == sorted(map(str, got))
+    assert sorted((r["task_id"], r["at"], r["status"]) for r in got) == sorted([
+        ("a", at(0), "RUNNING"), ("a", at(28), "EXPIRED"), ("a", at(40), "RUNNING"), ("a", at(50), "EXPIRED"), ("b", at(0), "RUNNING"), ("b", at(10), "EXPIRED"), ("b", at(30), "RUNNING"), ("b", at(40), "EXPIRED"),
+        ("c", at(1), "RUNNING"), ("c", at(11), "EXPIRED"), ("z", at(19), "RUNNING"), ("z", at(29), "EXPIRED"), ("z", at(29), "RUNNING"), ("z", at(39), "EXPIRED"), ("z", at(60), "RUNNING"),
+    ])
+
+
+def test_a_batch_of_beats_is_one_plan_without_python(spark):
+    beats = spark.createDataFrame([("a", at(0)), ("a", at(5))], "worker string, at timestamp")
+    plan = state.beat_turns(beats, spark.createDataFrame([], state.TURNS), 600)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("hashpartitioning") == 1
+
+
 def test_streaks_over_a_stream_equal_the_batch(spark, tmp_path):
     from terrane.operators.state import failure_streaks
 
