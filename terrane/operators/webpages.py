@@ -22,7 +22,12 @@ SOURCES = ("mailto", "cfemail", "jsonld", "text", "obfuscated", "attribute", "sc
 #: What a page with any address has in its source: the sign itself, an escape of it, a protected address, or the word.
 ADDRESS_HINT = r"(?i)@|＠|%40|&#|&commat|\\u00|\\x40|cfemail|email-protection|[\[({<]\s*at\s*[\])}>]|\bat\b"
 SILENT = ("script", "style", "noscript", "template", "svg")
-SPACED = ("br", "p", "div", "li", "td", "th", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6")
+HEADLINES = ("h1", "h2", "h3", "h4", "h5", "h6")
+BLOCKS = (
+    *"address article aside blockquote body dd div dl dt fieldset figcaption figure footer form header hr html li main nav ol option p pre section table td th tr ul".split(" "),
+    *HEADLINES,
+)
+SPACED = ("br", "span", "a", *BLOCKS)
 
 
 class _Parts(HTMLParser):
@@ -42,6 +47,8 @@ class _Parts(HTMLParser):
         self.json = False
         self.in_title = False
         self.link: list[str] | None = None
+        self.headline: int | None = None
+        self.headlines: list[tuple[int, int]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = {k: v or "" for k, v in attrs}
@@ -63,8 +70,10 @@ class _Parts(HTMLParser):
             self.json = tag == "script" and given.get("type") == "application/ld+json"
         elif tag == "title":
             self.in_title = True
-        elif tag == "br":
+        elif tag == "br" or tag in BLOCKS:
             self.text.append(" ")
+            if tag in HEADLINES:
+                self.headline = len(self.text)
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent and tag == self.silent[-1]:
@@ -73,6 +82,9 @@ class _Parts(HTMLParser):
             self.in_title = False
         if tag == "a":
             self.link = None
+        if tag in HEADLINES and self.headline is not None:
+            self.headlines.append((self.headline, len(self.text)))
+            self.headline = None
         if tag in SPACED:
             self.text.append(" ")
 
@@ -99,11 +111,30 @@ def _json_emails(value: object) -> Iterator[str]:
                 yield from _json_emails(inner)
 
 
+def _without_cut_address(passage: str, text: str) -> str:
+    """A headline or attribute without the address at its end, if ``text`` has the passage and there the address goes on.
+
+    Such a passage is a cut: ``Write to anna@shop.co`` of ``Write to anna@shop.com today``. One that is no more than an
+    address stays, as ``anna@shop.com`` and ``anna@shop.com.cy`` can be two. ``text`` has single blanks.
+    """
+    words = re.sub(r"[.\u2026\s]+$", "", passage).split()
+    if len(words) < 2 or "@" not in words[-1]:
+        return passage
+    cut = re.search(re.escape(" ".join(words)) + r"\.?[A-Za-z0-9-]", text)
+    return passage[: passage.rindex(words[-1])] if cut else passage
+
+
 def page_parts(html: str | None) -> dict[str, object]:
     """The raw material of a page for the expressions over it."""
     parser = _Parts()
     parser.feed(html or "")
     parser.close()
+    headlines = [(a, b) for a, b in parser.headlines if any("@" in x for x in parser.text[a:b])]
+    if headlines or parser.attributes:
+        plain = " ".join("".join(parser.text).split())
+        for a, b in headlines:
+            parser.text[a:b] = [_without_cut_address("".join(parser.text[a:b]), plain), *[""] * (b - a - 1)]
+        parser.attributes = [_without_cut_address(x, plain) for x in parser.attributes]
     # The title is no part of the body: its text counts only on a page without any other.
     text, found = "".join(parser.text), []
     for block in parser.data:

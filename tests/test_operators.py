@@ -377,3 +377,19 @@ def test_addresses_of_one_file_are_dealt_out_and_read_once(spark):
     assert got == [(0, "a@gmail.com", "a@gmail.com", False, 0), (1, "a@b.cy", "A@B.cy", True, 0), (1, "z@b.cy", "z@b.cy", True, 0)]
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(fixed.EMAIL_PATTERN) == 1 and "Repartition" in plan
+
+
+def test_site_emails_headlines_cut_within_an_address(spark):
+    cut = '<meta name="description" content="Write to eva.2@shop.c"><meta name="description" content="Ask us: eva.2@shop.co"><h1>All <b>for</b> you: pec.39@mail0.exampl</h1><p>All for\nyou: pec.39@mail0.example.com &amp; more</p><h2>Of dlo.41@mail4.example.co...</h2>'
+    cut += "<div>Of dlo.41@mail4.example.com. Ask us: eva.2@shop.com.</div>"
+    whole = "<h1>a@shop.com</h1><h2>Write b@shop.com</h2><h3>Or c@shop.com.</h3><h4>Of d@shop.com</h4><p>a@shop.com.cy Write b@shop.com. Or c@shop.com, now of e@shop.com and d@shop.com.cy</p>"
+    pages = spark.createDataFrame([("x.cy", 0, "u", cut), ("y.cy", 0, "u", whole)], "site string, page_order int, url string, html string")
+    got = sorted((r["site"], r["email"]) for r in webpages.emails_of_pages(pages).collect())
+    left = [("x.cy", x) for x in ("dlo.41@mail4.example.com", "eva.2@shop.com", "pec.39@mail0.example.com")]
+    assert got == left + [("y.cy", x) for x in ("a@shop.com", "a@shop.com.cy", "b@shop.com", "c@shop.com", "d@shop.com", "d@shop.com.cy", "e@shop.com")]
+
+
+def test_site_emails_end_with_their_block(spark):
+    page = "<article>Ask x@shop.com</article><section>now<p>y@shop.com<p>or</section><footer>z@shop.com.</footer><a href='/m'>mail</a>"
+    pages = spark.createDataFrame([("x.cy", 0, "u", page)], "site string, page_order int, url string, html string")
+    assert sorted(r["email"] for r in webpages.emails_of_pages(pages).collect()) == ["x@shop.com", "y@shop.com", "z@shop.com"]
