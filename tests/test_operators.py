@@ -393,3 +393,42 @@ def test_site_emails_end_with_their_block(spark):
     page = "<article>Ask x@shop.com</article><section>now<p>y@shop.com<p>or</section><footer>z@shop.com.</footer><a href='/m'>mail</a>"
     pages = spark.createDataFrame([("x.cy", 0, "u", page)], "site string, page_order int, url string, html string")
     assert sorted(r["email"] for r in webpages.emails_of_pages(pages).collect()) == ["x@shop.com", "y@shop.com", "z@shop.com"]
+
+
+def test_pairs_are_those_of_all_places_compared(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(280) if rng.random() < 0.98 else None, rng.choice(["bar", "pub"]), lat + rng.random() * 0.006, lng + rng.random() * wide) for lat, lng, wide in ((35.0, 33.0, 0.006), (-0.003, -0.003, 0.006), (84.0, 10.0, 0.02)) for _ in range(100)]
+    places = spark.createDataFrame(rows, "id long, name_c string, lat double, lng double")
+
+    def metres(a, b):
+        h = math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1, math.sqrt(h)))
+
+    cells = lambda r: (math.floor(r[2] / 0.002), math.floor(r[3] / 0.002))
+    beside = lambda a, b: all(abs(x - y) <= 1 for x, y in zip(cells(a), cells(b), strict=True))
+    known = [r for r in rows if r[0] is not None]
+    want = sorted((a[0], b[0], round(metres(a, b), 6)) for a in known for b in known if a[0] < b[0] and a[1] == b[1] and beside(a, b) and metres(a, b) <= 200)
+    got = sorted((r[0], r[1], round(r[2], 6)) for r in dedupe.name_pairs(places, dedupe.DedupeRules()).collect())
+    assert len(want) > 500 and got == want
+
+
+def test_shuffle_of_pairs_grows_with_the_places(spark, monkeypatch):
+    rng = random.Random(9)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(k, "bar", 35 + rng.random() * 0.0019, 33 + rng.random() * 0.0019) for k in range(100 * n)]
+    places = spark.createDataFrame(rows, "id long, name_c string, lat double, lng double")
+    monkeypatch.setattr(dedupe, "CELL_PLACES", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    context = spark.sparkContext._jsc.sc()
+    stages = lambda: context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    context.listenerBus().waitUntilEmpty()
+    before = {stages().apply(k).stageId() for k in range(stages().size())}
+    try:
+        assert dedupe.name_pairs(places, dedupe.DedupeRules()).count() > 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    context.listenerBus().waitUntilEmpty()
+    found = stages()
+    written = sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()) if found.apply(k).stageId() not in before)
+    # Each place may go to each of the four shares of a partition, but not to a share for every few places.
+    assert len(rows) < written < 4 * n * len(rows)
